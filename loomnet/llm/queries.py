@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomnet.llm.decontamination import decontaminate
+from loomnet.llm.line_dedup import line_dedup
 from loomnet.llm.substring_dedup import substring_dedup
 from loomnet.llm.suffix_dedup import suffix_dedup
+from loomnet.llm.url_filters import url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +24,37 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), lines=3)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: The dated block list of op10: list, pattern, action, date.
+LIST_ENTRIES = [
+    ("spam", "spam-farm.example.org", "add", "2024-02-01"),
+    ("spam", "spam-farm.example.org", "remove", "2024-07-01"),
+    ("spam", "spam-farm.example.org", "add", "2024-09-15"),
+    ("pharma", "cheap-pills.example.com", "add", "2024-01-10"),
+    ("pharma", "cheap-pills.example.com", "remove", "2025-03-01"),
+    ("casino", "casino.example.net", "add", "2024-04-01"),
+    ("tracking", "example.net/en", "add", "2024-06-01"),
+    ("tracking", "example.net/en", "remove", "2024-08-01"),
+    ("mobile", "m.ththth.example.net", "add", "2024-03-01"),
+    ("pages", "example.org/fr/414", "add", "2024-01-01"),
+]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time, so captures are dated from their id: seven hours on for each, over two years from 2024."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7, F.lit(17520)) * 3600).cast("timestamp_ntz").alias("fetched_at"))
+    log = spark.createDataFrame(LIST_ENTRIES, "list_name string, pattern string, action string, day string")
+    return url_filter(pages, log.select("list_name", "pattern", "action", F.to_timestamp_ntz("day").alias("listed_at")))
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -37,8 +72,72 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_remo
 FROM words LEFT JOIN lost USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+  WHERE len(w) > 0
+), grams AS (
+  SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS ws FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)
+), lens AS (SELECT DISTINCT n FROM grams),
+windows AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS ws
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lens WHERE len(w) >= n)
+), hits AS (SELECT doc_id, i, n, item_id FROM windows JOIN grams USING (n, ws)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents
+), windows AS (
+  SELECT doc_id, i, list_slice(ls, i, i + 2) AS ws FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM cut WHERE len(ls) >= 3)
+), ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY ws ORDER BY doc_id, i) AS nth FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM ranked WHERE nth > 1),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string([ls[k] for k in range(1, len(ls) + 1) if ps IS NULL OR NOT list_contains(ps, k)], chr(10))) AS kept_sha256
+FROM cut LEFT JOIN lost USING (doc_id)
+"""
+
+OP10_SQL = (
+    r"""
+WITH entries(list_name, pattern, action, listed_at) AS (VALUES """
+    + ", ".join(f"('{n}', '{p}', '{a}', TIMESTAMP '{d}')" for n, p, a, d in LIST_ENTRIES)
+    + r"""), intervals AS (
+  SELECT *, lead(listed_at) OVER (PARTITION BY list_name, pattern ORDER BY listed_at) AS valid_to FROM entries
+), active AS (SELECT list_name, pattern, listed_at AS valid_from, valid_to FROM intervals WHERE action = 'add'),
+captures AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_hours(((page_id * 7) % 17520)::INT) AS fetched_at,
+         regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '\.$', '') AS host,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path FROM pages
+)
+SELECT page_id, url, fetched_at, host, count(list_name) AS n_active,
+       coalesce(string_agg(DISTINCT list_name, ',' ORDER BY list_name), '') AS lists, count(list_name) > 0 AS blocked
+FROM captures LEFT JOIN active ON (
+  ('.' || host || '/') LIKE ('%.' || split_part(pattern, '/', 1) || '/')
+  AND (NOT contains(pattern, '/') OR (path || '/') LIKE (substr(pattern, strpos(pattern, '/')) || '/%'))
+  AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to))
+GROUP BY page_id, url, fetched_at, host
+"""
+)
+
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_url_filters": op10_url_filters,
+}
+ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
+    "op6_benchmark_decontamination": OP6_SQL,
+    "op7_line_dedup": OP7_SQL,
+    "op10_url_filters": OP10_SQL,
 }
-ORACLES = {"op3_substring_dedup": OP3_SQL}
