@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnet.llm.bpe import bpe
 from loomnet.llm.decontamination import decontaminate
 from loomnet.llm.line_dedup import line_dedup
 from loomnet.llm.substring_dedup import substring_dedup
 from loomnet.llm.suffix_dedup import suffix_dedup
+from loomnet.llm.token_store import token_ids
 from loomnet.llm.url_filters import url_filter
 
 
@@ -24,6 +26,20 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe(_read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -130,8 +146,10 @@ GROUP BY page_id, url, fetched_at, host
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_id_output": op5_token_id_output,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_bpe_encoding_decoding": op8_bpe_encoding_decoding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
 }
