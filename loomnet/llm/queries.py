@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from loomnet.llm.bpe import bpe
 from loomnet.llm.decontamination import decontaminate
+from loomnet.llm.jaccard_join import jaccard_join
 from loomnet.llm.line_dedup import line_dedup
 from loomnet.llm.substring_dedup import substring_dedup
 from loomnet.llm.suffix_dedup import suffix_dedup
 from loomnet.llm.token_store import token_ids
+from loomnet.llm.toxicity import held_out, toxicity, train_on_labels
 from loomnet.llm.url_filters import url_filter
 
 
@@ -18,6 +20,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = train_on_labels(docs, _read(spark, sf_dir, "labels"))
+    return toxicity(docs, grammar).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "matches")
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"), threshold=0.8, n=5)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"), window=13)
 
@@ -145,6 +157,8 @@ GROUP BY page_id, url, fetched_at, host
 )
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_token_id_output": op5_token_id_output,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
