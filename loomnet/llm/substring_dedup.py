@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from loomnet.llm.common import NULL_ID, covered, dealt, hash_words, ids_of, split_words, text_bytes, window_hashes, windows_inside
 
-SENT = "h long, pid int, lo long, hi long"
+#: What groups send of a hash: below the last rung whether two ids here have it; at the last the smallest id and how far the largest lies off.
+SENT, SENT_LAST = "h long, pid int, many boolean", "h long, pid int, lo long, span long"
 
 
 def ladder(window: int, base: int) -> list[int]:
@@ -58,14 +59,14 @@ class Group:
         at = np.flatnonzero(windows_inside(self.first, length, self.n))
         return at, window_hashes(self.hashes, length)[at] if len(at) else np.zeros(0, np.uint64)
 
-    def sent(self, at: np.ndarray, h: np.ndarray, pid: int) -> pa.Table:
-        """Each hash once, with the smallest and largest id that has it here."""
+    def sent(self, at: np.ndarray, h: np.ndarray, pid: int, last: bool) -> pa.Table:
+        """Each hash once."""
         owner = self.ids[self.doc[at]]
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
         new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(h)) - 1 if len(h) else new
-        return pa.table({"h": h[new].view(np.int64), "pid": np.full(len(new), pid, np.int32), "lo": owner[new], "hi": owner[last]})
+        span = owner[np.append(new[1:], len(h)) - 1 if len(h) else new] - owner[new]
+        return pa.table({"h": h[new].view(np.int64), "pid": np.full(len(new), pid, np.int32)} | ({"lo": owner[new], "span": span} if last else {"many": span > 0}))
 
 
 def known(table: pa.Table) -> np.ndarray:
@@ -77,10 +78,11 @@ def among(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def repeated(sent: DataFrame, last: bool) -> DataFrame:
-    """What groups must know: hashes that two ids have; at the last rung only where a later id than the first has it."""
+    """What groups must know: hashes that two documents have; at the last rung, where a later id than the first has it, with that first id."""
     by = W.partitionBy("h")
-    seen = sent.withColumn("lowest", F.min("lo").over(by)).withColumn("highest", F.max("hi").over(by))
-    return seen.where(F.col("hi") > F.col("lowest") if last else F.col("highest") > F.col("lowest")).select("pid", "h", "lowest")
+    if last:
+        return sent.withColumn("lowest", F.min("lo").over(by)).where(F.col("lo") + F.col("span") > F.col("lowest")).select("pid", "h", "lowest")
+    return sent.withColumn("groups", F.count(F.lit(1)).over(by)).where("many or groups > 1").select("pid", "h")
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, texts: bool = False) -> DataFrame:
@@ -97,11 +99,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, texts: boo
 
     def lowest(key, table):
         g = Group(table)
-        return g.sent(*g.thinned(rungs[0], rungs[1]), key[0].as_py())
+        return g.sent(*g.thinned(rungs[0], rungs[1]), key[0].as_py(), last=False)
 
     answers = repeated(groups.groupBy("pid").applyInArrow(lowest, SENT), last=False)
     for k in range(1, len(rungs)):
-        answers = repeated(groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_climb(rungs, k), SENT), last=k == len(rungs) - 1)
+        answers = repeated(groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(_climb(rungs, k), SENT_LAST if k == len(rungs) - 1 else SENT), last=k == len(rungs) - 1)
 
     def cut(key, table, answer):
         g = Group(table)
@@ -151,6 +153,6 @@ def _climb(rungs: list[int], k: int):
             below = among(window_hashes(g.hashes, rungs[k - 1]), have)
             alive = below[at] & below[at + rungs[k] - rungs[k - 1]]
             at, h = at[alive], h[alive]
-        return g.sent(at, h, pid)
+        return g.sent(at, h, pid, last=k == len(rungs) - 1)
 
     return climb
