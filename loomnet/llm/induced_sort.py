@@ -103,20 +103,36 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, starts: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: at each position, how much its suffix shares with the better of its two neighbours in the array, up to ``most``."""
+    """Permuted common prefixes: at each position, how much its suffix shares with the better of its two neighbours in the array, up to ``most``.
+
+    In text order the common prefix with the suffix before falls by one from place to place, unless the letters to the
+    left differ; only at those places it is worked out."""
     n = len(text)
     hashes = PrefixHash(text)
+    first = np.zeros(n, bool)
+    first[starts[:-1]] = True
     end = np.repeat(starts[1:], np.diff(starts))
-    best = np.zeros(n, np.int64)
-    p, q = array[1:], array[:-1]
-    near = end[p] == end[q]
-    p, q = p[near], q[near]
-    room = np.minimum(np.minimum(end[p] - p, end[q] - q), most)
-    low, high = np.zeros(len(p), np.int64), room.copy()
-    for _ in range(int(most).bit_length()):
+    before = np.full(n, -1, np.int64)  # the suffix before each in its shard's array
+    before[array[1:]] = array[:-1]
+    before[array[starts[:-1]]] = -1
+    p = np.arange(n)
+    has = before >= 0
+    led = has & (p > 0)
+    led[led] = (text[p[led] - 1] == text[np.maximum(before[led], 1) - 1]) & ~first[p[led]] & ~first[before[led]]
+    p = np.flatnonzero(has & ~led)
+    q = before[p]
+    low, high = np.zeros(len(p), np.int64), np.minimum(end[p] - p, end[q] - q)
+    full = int(high.max(initial=0))
+    for _ in range(full.bit_length()):
         mid = (low + high + 1) // 2
         same = hashes.of(p, p + mid) == hashes.of(q, q + mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    np.maximum.at(best, p, low)
-    np.maximum.at(best, q, low)
-    return best
+    known = np.zeros(n, np.int64)
+    known[p] = low
+    source = np.maximum.accumulate(np.where(led, 0, np.arange(n)))
+    known = np.where(led, known[source] - (np.arange(n) - source), known)
+    best = known.copy()
+    follows = np.flatnonzero(has)
+    best[before[follows]] = np.maximum(best[before[follows]], known[follows])  # each is before one other at most
+    return np.minimum(best, most)
+

@@ -25,7 +25,9 @@ from loomnet.llm.induced_sort import common_prefixes, suffix_arrays
 SHORT = 16
 #: Symbols that one pass of induced sorting takes.
 PASS = 1_500_000
-FULL, RUNS, ALONE = 0, 1, 2
+FULL, RUNS, ALONE, CROWDED = 0, 1, 2, 3
+#: Bytes of text that are hashed at once; small enough for a processor's cache.
+BLOCK = 200_000
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -46,29 +48,49 @@ class Segments:
         self.ids = ids_of(table["doc_id"])
         self.data, self.first = text_bytes(table["text"])
         self.length = length
-        inside = windows_inside(self.first, length, len(self.data))
-        if not inside.any():
-            self.begin = self.count = self.lead = np.zeros(0, np.int64)
-            self.h = self.digest = np.zeros(0, np.uint64)
-            return
-        h = window_hashes(self.data.astype(np.uint64) + np.uint64(1), SHORT)
-        bits = np.uint64(max(1, len(self.data)).bit_length())
-        keys = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost
-        anchor = (sliding_least(keys, length - SHORT + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        at = np.flatnonzero(inside)
-        anchor = anchor[at]
-        new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))
-        self.begin, self.count = at[new], np.diff(np.append(new, len(at)))
-        self.lead = anchor[new] - self.begin
-        self.h = h[anchor[new]]
-        view = self.data.tobytes()
-        self.view = view
-        self.digest = np.fromiter((xxhash.xxh3_64_intdigest(view[b : b + c + length - 1], seed=d) for b, c, d in zip(self.begin.tolist(), self.count.tolist(), self.lead.tolist(), strict=True)), np.uint64, len(new))
-
-
-def _pairs(h: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    out = np.empty(len(h), [("h", np.uint64), ("d", np.uint64)])
-    out["h"], out["d"] = h, digest
+        self.view = self.data.tobytes()
+        parts = [self._segments(a, b) for a, b in _stretches(self.first, BLOCK)]
+        self.begin, self.count, anchor = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(3))
+        self.lead = anchor - self.begin
+        view, hash_ = self.view, xxhash.xxh3_64_intdigest
+        self.h = np.fromiter((hash_(view[a : a + SHORT]) for a in anchor.tolist()), np.uint64, len(anchor))
+        self.digest = np.fromiter((hash_(view[b:e], d) for b, e, d in zip(self.begin.tolist(), (self.begin + self.count + length - 1).tolist(), self.lead.tolist(), strict=True)), np.uint64, len(anchor))
+
+    def _segments(self, a: int, b: int):
+        """begin, count and anchor of the segments of documents a to b."""
+        low, high = int(self.first[a]), int(self.first[b])
+        first = self.first[a : b + 1] - low
+        inside = np.flatnonzero(windows_inside(first, self.length, high - low))
+        if not len(inside):
+            return (np.zeros(0, np.int64),) * 3
+        h = self.data[low:high].astype(np.uint32) + np.uint32(0x9E3779B1)
+        size = 1
+        while size < SHORT:
+            h = h[:-size] * np.uint32(pow(0x85EBCA6B, size, 2**32)) + h[size:]
+            size *= 2
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        keys = (h ^ (h >> np.uint32(12))).astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)  # ties go to the leftmost
+        anchor = (sliding_least(keys, self.length - SHORT + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)[inside]
+        new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1] + 1)))
+        return inside[new] + low, np.diff(np.append(new, len(inside))), anchor[new] + low
+
+
+def _stretches(first: np.ndarray, size: int):
+    """Runs of documents of about ``size`` bytes in all, one document at least."""
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + size, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def window_ids(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the windows that start at ``at`` (ascending), computed only where some start."""
+    out = np.zeros(len(at), np.uint64)
+    cuts = np.flatnonzero(np.append(True, np.diff(at) > length)) if len(at) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(at)).astype(np.int64), strict=True):
+        low = int(at[a])
+        out[a:b] = window_hashes(data[low : int(at[b - 1]) + length].astype(np.uint64) + np.uint64(1), length)[at[a:b] - low]
     return out
 
 
@@ -77,7 +99,7 @@ def _u64(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 24, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool = False) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else; strings never cross documents.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_bytes. Null and empty texts and those
@@ -87,8 +109,10 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 24, texts: boo
 
     def anchors(key, table):
         s = Segments(table, length)
-        pairs, counts = np.unique(_pairs(s.h, s.digest), return_counts=True)
-        return pa.table({"h": pairs["h"].view(np.int64), "d": pairs["d"].view(np.int64), "pid": np.full(len(pairs), key[0].as_py(), np.int32), "n": counts.astype(np.int64)})
+        order = np.lexsort((s.digest, s.h))
+        h, d = s.h[order], s.digest[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
+        return pa.table({"h": h[new].view(np.int64), "d": d[new].view(np.int64), "pid": np.full(len(new), key[0].as_py(), np.int32), "n": np.diff(np.append(new, len(h)))})
 
     sent = materialize(groups.groupBy("pid").applyInArrow(anchors, "h long, d long, pid int, n long"), "anchors")
     each = sent.groupBy("h", "d").agg(F.sum("n").alias("times"), F.min("pid").alias("by"))
@@ -113,12 +137,14 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 24, texts: boo
                 i = where[h, d]
                 b, c = int(s.begin[i]), int(s.count[i])
                 if crowded:
-                    alone.append(np.repeat(np.arange(b, b + c), 1 + full))
+                    alone.append((b, c, 1 + full))
                     continue
                 for k, v in zip(out, (h % shards, pid, RUNS, h, d, 2 if full else 1, s.view[b : b + c + length - 1]), strict=True):
                     out[k].append(v)
             if alone:
-                w = np.sort(window_hashes(s.data.astype(np.uint64) + np.uint64(1), length)[np.concatenate(alone)])
+                alone.sort()
+                at = np.concatenate([np.arange(b, b + c) for b, c, _ in alone])
+                w = np.sort(np.repeat(window_ids(s.data, at, length), np.repeat([t for _, _, t in alone], [c for _, c, _ in alone])))
                 w = w[np.append(True, w[1:] != w[:-1]) | np.append([True, True], w[2:] != w[:-2])[: len(w)]]  # each twice at most
                 to = (w % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -160,7 +186,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 24, texts: boo
         .groupBy("shard")
         .applyInArrow(sort_shard, "pid int, kind int, h long, d long, runs binary")
     )
-    full = answers.where("full").select("pid", F.lit(FULL).alias("kind"), "h", "d", F.lit(None).cast("binary").alias("runs"))
+    full = answers.where("full or (crowded and send)").select("pid", F.when(F.col("full"), FULL).otherwise(CROWDED).alias("kind"), "h", "d", F.lit(None).cast("binary").alias("runs"))
 
     def cut(key, table, answer):
         s = Segments(table, length)
@@ -170,15 +196,19 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 24, texts: boo
             kinds, h, d = answer["kind"].to_numpy(), _u64(answer["h"]), _u64(answer["d"])
             repeated = set(zip(h[kinds == FULL].tolist(), d[kinds == FULL].tolist(), strict=True))
             runs = {(int(h[i]), int(d[i])): np.frombuffer(answer["runs"][int(i)].as_py(), np.int32) for i in np.flatnonzero(kinds == RUNS)}
+            crowded = set(zip(h[kinds == CROWDED].tolist(), d[kinds == CROWDED].tolist(), strict=True))
+            at = []
             for i, pair in enumerate(zip(s.h.tolist(), s.digest.tolist(), strict=True)):
-                if pair in repeated:
+                if pair in crowded:
+                    at.append(np.arange(s.begin[i], s.begin[i] + s.count[i]))
+                elif pair in repeated:
                     hits.append(np.arange(s.begin[i], s.begin[i] + s.count[i]))
                 elif pair in runs:
                     hits.append(s.begin[i] + runs[pair])
             alone = [np.frombuffer(answer["runs"][int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == ALONE)]
-            if alone:
-                at = np.flatnonzero(windows_inside(s.first, length, n))
-                hits.append(at[np.isin(window_hashes(s.data.astype(np.uint64) + np.uint64(1), length)[at], np.concatenate(alone))])
+            if alone and at:
+                at = np.concatenate(at)
+                hits.append(at[np.isin(window_ids(s.data, at, length), np.concatenate(alone))])
         gone = covered(np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64), length, n)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
