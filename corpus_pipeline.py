@@ -1,18 +1,64 @@
-"""A corpus pipeline of training-data operators; each stage is written and read again before the next."""
+"""A corpus pipeline of training-data operators: toxicity, line dedup, near-duplicate join, benchmark decontamination, BPE.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of documents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomnet.llm.bpe import bpe
+from loomnet.llm.common import materialize
+from loomnet.llm.decontamination import drop_contaminated
+from loomnet.llm.jaccard_join import keep_one
+from loomnet.llm.line_dedup import line_dedup
+from loomnet.llm.queries import tokenizer_file
+from loomnet.llm.toxicity import drop_toxic, train_on_labels
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar scores 0.5 or more go."""
+    grammar = train_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return drop_toxic(docs, grammar)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows leave the texts; every document stays, if need be with an empty text."""
+    columns = docs.columns
+    kept = line_dedup(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the document with the smallest id stays."""
+    return keep_one(docs, threshold=0.8, n=5)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts."""
+    return bpe(docs, tokenizer_file("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("bpe_encoding_decoding", bpe_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table; each result is a table in the shared folder before the next stage reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

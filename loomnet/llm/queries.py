@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnet.llm.additive_search import additive_search
 from loomnet.llm.bpe import bpe
 from loomnet.llm.decontamination import decontaminate
 from loomnet.llm.jaccard_join import jaccard_join
@@ -38,6 +39,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
 
+def op4_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -160,6 +165,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_additive_search": op4_additive_search,
     "op5_token_id_output": op5_token_id_output,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_dedup": op7_line_dedup,
