@@ -32,7 +32,7 @@ def pearson(x: Column, y: Column, w: Column | None = None) -> Column:
     n, sx, sy, sxx, syy, sxy = (total(e) for e in (F.lit(1.0), x, y, x * x, y * y, x * y))
     spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
     r = (n * sxy - sx * sy) / F.sqrt(F.when(spread > 0, spread))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))  # greatest and least pass over nulls
 
 
 def student_p(r: Column, n: Column, alternative: str = "two-sided") -> Column:
