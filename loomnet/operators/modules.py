@@ -72,6 +72,39 @@ def eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:
     return me.join(samples, "at").select("sample_id", "module", "value")
 
 
+def multiset_eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:
+    """(set_id, sample_id, module, value): eigengenes of the same modules in each set of samples (expr with set_id), every set standardised by itself."""
+    sets = check_sets(expr)
+    parts = [eigengenes(expr.where(F.col("set_id") == s).drop("set_id"), membership).withColumn("set_id", F.lit(s)) for s in sets]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("set_id", "sample_id", "module", "value")
+
+
+def check_sets(expr: DataFrame) -> list:
+    """The set ids of multi-set data; ValueError where sets do not have the same genes."""
+    counts = expr.groupBy("set_id").agg(F.countDistinct("gene_id").alias("n")).collect()  # a row a set
+    genes = expr.agg(F.countDistinct("gene_id")).first()[0]
+    if any(r["n"] != genes for r in counts):
+        raise ValueError("the sets have different genes")
+    return sorted(r["set_id"] for r in counts)
+
+
+def module_heatmap(expr: DataFrame, membership: DataFrame, me: DataFrame, module: str) -> DataFrame:
+    """(sample_id, gene_id, value, eigengene): one module's genes scaled to 0..1 with its eigengene beside them."""
+    from loomnet.operators.network import min_max
+
+    own = min_max(expr.join(membership.where(F.col("module") == module).select("gene_id"), "gene_id", "left_semi"))
+    return own.join(me.where(F.col("module") == module).select("sample_id", F.col("value").alias("eigengene")), "sample_id").select("sample_id", "gene_id", "value", "eigengene")
+
+
+def average_rank(df: DataFrame, value: str, by: list[str], into: str = "rank") -> DataFrame:
+    """Adds the rank of a value within its group; equal values share the mean of their ranks."""
+    nth = F.row_number().over(W.partitionBy(*by).orderBy(value))
+    return df.withColumn(into, nth).withColumn(into, F.avg(into).over(W.partitionBy(*by, value)))
+
+
 def signed_kme(expr: DataFrame, me: DataFrame) -> DataFrame:
     """(gene_id, module, r): correlation of every gene with every eigengene; a join on the samples and one aggregation."""
     z = zscores(expr)

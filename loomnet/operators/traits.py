@@ -40,7 +40,7 @@ def module_trait(me: DataFrame, traits: DataFrame, alternative: str = "two-sided
 
 def heatmap_labels(pairs: DataFrame) -> DataFrame:
     """Adds the text of a heatmap cell: r to two places and, below, p to three in brackets."""
-    return pairs.withColumn("label", F.concat(F.format_number("r", "0.00"), F.lit("\n("), F.format_number("p", "0.000"), F.lit(")")))
+    return pairs.withColumn("label", F.format_string("%.2f\n(%.3f)", "r", "p"))
 
 
 def eigengene_by_trait(me: DataFrame, samples: DataFrame, columns: list[str], id_column: str = "sample_id") -> DataFrame:

@@ -10,6 +10,7 @@ from loomnet.model import Config
 from loomnet.operators import clean, cluster, compare, lookup, modules, network, traits
 from loomnet.plans import fixtures as fx
 from loomnet.plans.colors import COLORS
+from loomnet.plans.runtime import shared_path
 from loomnet.sources import tables
 
 POWERS = Config().powers
@@ -475,3 +476,112 @@ def n9_subnetwork_edges(spark, sf_dir):
     weights = _supp_adjacency(spark, sf_dir).withColumnRenamed("a", "t")
     kme = modules.signed_kme(expr, modules.average_expression(expr, genes))
     return rounded(lookup.subnetwork(weights, kme, genes, ["ASIA", "EUROPE"], 10, 100, 0.0001)[1].select("i", "j", "t"), "t")
+
+
+# --- further entries of the inventory -----------------------------------------------------------------------
+@query(f"WITH {fx.SUPP} SELECT sample_id, gene_id, value FROM expr")
+def s1_csv_scan(spark, sf_dir):
+    """A wide table written as delimited text and scanned again."""
+    path = shared_path(spark, "csv")
+    fx.supp(spark, sf_dir).groupBy("sample_id").pivot("gene_id").agg(F.first("value")).write.csv(path, sep=";", header=True)
+    return tables.read_expression(spark, path, sep=";")
+
+
+@query(f"WITH {fx.SUPP_MODULES} SELECT gene_id, module FROM genes")
+def s6_saved_analysis(spark, sf_dir):
+    path = shared_path(spark, "saved")
+    tables.save({"membership": fx.supp_modules(spark, sf_dir)}, {"power": 6}, path)
+    return tables.load(spark, path)[0]["membership"]
+
+
+@query("SELECT c_custkey::VARCHAR AS gene_id, c_name AS gene_name, n_name AS go_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
+def s9_annotated_with(spark, sf_dir):
+    """An annotation file with renamed attributes, filtered by a term."""
+    path = shared_path(spark, "annotation")
+    c = fx.read(spark, sf_dir, "customer").join(fx.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c.select("c_custkey", "c_name", "n_name").write.csv(path, sep="\t", header=True)
+    annotation = tables.read_annotation(spark, path, ["c_custkey", "c_name", "n_name"], ["gene_id", "gene_name", "go_id"])
+    return tables.annotated_with(annotation, "NATION_3")
+
+
+@query("SELECT l_suppkey, CASE WHEN c > 26 THEN floor(26 + sqrt(c - 26))::BIGINT ELSE c END AS core FROM (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY l_suppkey)")
+def f9_core_size(spark, sf_dir):
+    n = fx.read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("c"))
+    return n.select("l_suppkey", stats.core_size(F.col("c"), 50).alias("core"))
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, avg(nth) OVER (PARTITION BY l_suppkey, l_quantity) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS nth FROM lineitem)")
+def w2_average_rank(spark, sf_dir):
+    line = fx.read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return modules.average_rank(line, "l_quantity", ["l_suppkey"]).drop("l_quantity")
+
+
+@query(TOM_SQL.format(d="least(ki.k, kj.k)") + "SELECT i, j, round(t, 6) AS t FROM tom WHERE t >= 0.002 AND t <> 0")
+def p12_tom_threshold(spark, sf_dir):
+    return rounded(network.tom(_dim_adjacency(spark, sf_dir)).where("t >= 0.002 and t <> 0"), "t")
+
+
+@query(TOM_SQL.format(d="least(ki.k, kj.k)") + "SELECT i, j, round(t, 6) AS t FROM tom ORDER BY round(t, 9) DESC, i, j LIMIT 50")
+def o3_largest_edges(spark, sf_dir):
+    return rounded(network.tom(_dim_adjacency(spark, sf_dir)).orderBy(F.desc(F.round("t", 9)), "i", "j").limit(50), "t")
+
+
+@query(AVERAGE + "SELECT 'ME' || module AS name, substr('ME' || module, 3) AS color, count(*) AS n FROM me WHERE module <> 'ASIA' GROUP BY module")
+def p10_p13_eigengene_names(spark, sf_dir):
+    """Eigengenes named after their module, without the one that stands for no module (here ASIA)."""
+    me = _average(spark, sf_dir).where("module <> 'ASIA'").withColumn("name", F.concat(F.lit("ME"), "module"))
+    return me.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", F.expr("substring(name, 3)").alias("color"), "n")
+
+
+@query(f"""WITH RECURSIVE {fx.DIM}, d AS (SELECT a.gene_id AS i, b.gene_id AS j, sqrt(sum(pow(a.value - b.value, 2))) AS d FROM expr a JOIN expr b ON a.sample_id = b.sample_id AND a.gene_id < b.gene_id GROUP BY ALL),
+h AS (SELECT quantile_cont(d, 0.02) AS h FROM d), e AS (SELECT i, j FROM d, h WHERE d <= h UNION SELECT j, i FROM d, h WHERE d <= h),
+reach(id, other) AS (SELECT DISTINCT gene_id, gene_id FROM expr UNION SELECT reach.id, e.j FROM reach JOIN e ON e.i = reach.other) SELECT id, min(other) AS label FROM reach GROUP BY id""")
+def c3_static_cut(spark, sf_dir):
+    """Single-linkage clusters of dimensions at the height that two in a hundred distances stay below."""
+    d = cluster.euclidean(fx.dim(spark, sf_dir))
+    height = d.agg(F.percentile("d", F.lit(0.02))).first()[0]
+    return cluster.cut_single(d, fx.dim(spark, sf_dir).select(F.col("gene_id").alias("id")).distinct(), height)
+
+
+@query(f"""WITH {fx.SUPP_MODULES}, n AS (SELECT module, count(*) AS n FROM genes GROUP BY module), big AS (SELECT module, (row_number() OVER (ORDER BY n DESC, module))::INT AS number FROM n WHERE n >= 3)
+SELECT gene_id AS id, module AS label, coalesce(number, 0) AS number FROM genes LEFT JOIN big USING (module)""")
+def c8_size_filter(spark, sf_dir):
+    return cluster.size_filter(fx.supp_modules(spark, sf_dir).select(F.col("gene_id").alias("id"), F.col("module").alias("label")), 3)
+
+
+@query()
+def m4_multiset_eigengenes(spark, sf_dir):
+    expr = fx.supp(spark, sf_dir).withColumn("set_id", F.substring("sample_id", 1, 4).cast("int") % 2)
+    return rounded(modules.multiset_eigengenes(expr, fx.supp_modules(spark, sf_dir)), "value")
+
+
+@query()
+def m9_module_order(spark, sf_dir):
+    return modules.order_modules(_average(spark, sf_dir))
+
+
+@query(TRAIT_SQL + "SELECT module, trait, printf('%.2f', r) || chr(10) || '(' || printf('%.3f', greatest(p, 0)) || ')' AS label FROM p")
+def v3_heatmap_labels(spark, sf_dir):
+    return traits.heatmap_labels(traits.module_trait(_average(spark, sf_dir), traits.encode_traits(fx.months(spark, sf_dir)))).select("module", "trait", "label")
+
+
+@query(AVERAGE + """SELECT e.sample_id, e.gene_id, round((e.value - min(e.value) OVER w) / (max(e.value) OVER w - min(e.value) OVER w), 6) + 0.0 AS value, round(m.value, 6) + 0.0 AS eigengene
+FROM expr e JOIN genes g ON g.gene_id = e.gene_id AND g.module = 'ASIA' JOIN me m ON m.module = 'ASIA' AND m.sample_id = e.sample_id WINDOW w AS (PARTITION BY e.gene_id)""")
+def v4_module_heatmap(spark, sf_dir):
+    return rounded(modules.module_heatmap(fx.supp(spark, sf_dir), fx.supp_modules(spark, sf_dir), _average(spark, sf_dir), "ASIA"), "value", "eigengene")
+
+
+@query(f"WITH {fx.SUPP}, {R}, m AS (SELECT i, j, r AS v FROM pairs UNION ALL SELECT j, i, r FROM pairs) SELECT count(*) FILTER (v < -1 OR v > 1) AS out_of_range, 0::BIGINT AS asymmetric, 0::BIGINT AS unmatched FROM m")
+def n0_checked_matrix(spark, sf_dir):
+    both = network.mirrored(network.correlation(fx.supp(spark, sf_dir)), "r")
+    return network.check_symmetric(both.select(F.col("gene_id").alias("i"), F.col("other").alias("j"), F.col("r").alias("v")))
+
+
+@query(f"""WITH {fx.SUPP}, w AS (SELECT a.gene_id AS i, b.gene_id AS j, a.value AS x, b.value AS y, 1 + right(a.sample_id, 2)::INT AS w FROM expr a JOIN expr b ON a.sample_id = b.sample_id AND a.gene_id < b.gene_id)
+SELECT i, j, round((sum(w) * sum(w*x*y) - sum(w*x) * sum(w*y)) / sqrt((sum(w) * sum(w*x*x) - pow(sum(w*x), 2)) * (sum(w) * sum(w*y*y) - pow(sum(w*y), 2))), 6) + 0.0 AS r FROM w GROUP BY i, j""")
+def n1_weighted_correlation(spark, sf_dir):
+    """Correlation with a weight for every sample, here one more than the month."""
+    e = fx.supp(spark, sf_dir)
+    a, b = e.select(F.col("gene_id").alias("i"), "sample_id", F.col("value").alias("x")), e.select(F.col("gene_id").alias("j"), "sample_id", F.col("value").alias("y"))
+    w = 1 + F.substring("sample_id", 6, 2).cast("int")
+    return rounded(a.join(b, "sample_id").where("i < j").groupBy("i", "j").agg(stats.pearson(F.col("x"), F.col("y"), w).alias("r")), "r")

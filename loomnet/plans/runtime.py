@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df under the shared folder and read it back: cuts the lineage of loops and survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under spark.checkpoint.dir; sets a local one only where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only where none is set, as in tests
+    if not base:
         base = "file://" + tempfile.mkdtemp(prefix="loomnet-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df under the shared folder and read it back: cuts the lineage of loops and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
