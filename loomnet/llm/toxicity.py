@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, ids_of, pieces, text_bytes
+from loomnet.llm.common import NULL_ID, ids_of, materialize, pieces, split_words, text_bytes
 
 # --- the lexicons that hold without training ------------------------------------
 INSULTS = "idiot moron scum trash loser clown pathetic worthless disgusting stupid imbecile bastard filth vermin subhuman"
@@ -33,7 +33,7 @@ REACH = 4
 PATTERNS = [f"{kind}{t}{m}" for kind in ("insult", "threat") for t in ("", "_at_target") for m in ("", "_negated", "_reported")]
 #: The grammar's own weights, in the order of PATTERNS, and the bias.
 GRAMMAR_WEIGHTS = np.array([3.0, 0.3, 1.0, 4.0, 0.8, 1.5, 0.5, 0.0, 0.2, 4.5, 0.8, 1.5])
-BIAS = -3.0
+BIAS = -2.0
 
 LETTER_BREAKS = np.ones(256, bool)
 LETTER_BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = False
@@ -116,8 +116,10 @@ class Grammar:
         hot = np.unique(clause[(symbols == INSULT) | (symbols == THREAT)])
         marked = np.flatnonzero((symbols != OTHER) & np.isin(clause, hot))
         doc = np.searchsorted(first, marked, side="right") - 1
-        cuts = np.flatnonzero(np.append(True, clause[marked][1:] != clause[marked][:-1])) if len(marked) else []
-        for a, b in zip(cuts, np.append(cuts[1:], len(marked)).astype(int), strict=True):
+        if not len(marked):
+            return out
+        cuts = np.flatnonzero(np.append(True, clause[marked][1:] != clause[marked][:-1]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(marked)), strict=True):
             for p in read_clause(marked[a:b].tolist(), symbols[marked[a:b]].tolist()):
                 out[doc[a], p] += 1
         return np.log1p(out)
@@ -128,8 +130,6 @@ class Grammar:
 
 def lettered(data: np.ndarray, offsets: np.ndarray):
     """Words of letters, digits and apostrophes; each text's first; and each word's clause, numbered through."""
-    from loomnet.llm.common import split_words
-
     words, first = split_words(data, offsets, LETTER_BREAKS)
     inside = ~LETTER_BREAKS[data]
     begins = inside.copy()
@@ -142,15 +142,12 @@ def lettered(data: np.ndarray, offsets: np.ndarray):
     return words, first, np.cumsum(ends)[at], at
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, purity: float = 0.95, share: float = 0.01) -> Grammar:
-    """Fit a grammar to rows of text and label (0 or 1), on at most ``sample_rows`` of them: a bounded sample, chosen by a hash of the text.
+def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar:
+    """Fit a grammar to a bounded sample of rows of text and label (0 or 1).
 
     A stem of four letters or more joins the lexicon if at least ``share`` of the texts labelled 1 (and four at least) have it and
     at least ``purity`` of the texts that have it are labelled 1. Without both labels the grammar's own lexicon and weights stand."""
-    rows = labelled.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    total = rows.count()
-    if total > sample_rows:  # a share by hash, so that no sort of all rows is needed
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total))
+    rows = materialize(rows.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")), "labelled")
 
     def stems(batches):
         for batch in pieces(batches, "text"):
@@ -223,10 +220,14 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train_on_labels(docs: DataFrame, labels: DataFrame, **options) -> Grammar:
-    """A grammar from the label ``toxic`` of rows that are not held out."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__loom_id")).agg(F.max("toxic").alias("label"))
-    return train(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(known, F.col("doc_id") == F.col("__loom_id")).select("text", "label"), **options)
+def train_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, **options) -> Grammar:
+    """A grammar from the label ``toxic`` of rows that are not held out: at most ``sample_rows`` of them, those whose hashed ids are least.
+
+    The sample is chosen among the labels, so what is broadcast to find its texts has a fixed bound, and no text is shuffled."""
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("__loom_id")).agg(F.max("toxic").alias("label"))
+    sample = known.orderBy(F.xxhash64("__loom_id"), "__loom_id").limit(sample_rows)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(sample), F.col("doc_id") == F.col("__loom_id"))
+    return train(texts.select("text", "label"), **options)
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> DataFrame:
