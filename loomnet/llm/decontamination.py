@@ -46,28 +46,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     size = table.count()
     lengths = sorted(r[0] for r in table.select("len").distinct().where(F.col("len") < n).collect())  # n - 1 values at most
     side = (lambda df: F.broadcast(df)) if size <= broadcast_rows else (lambda df: df)
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias(TEXT_HASH), F.monotonically_increasing_id().alias("__loom_row"), normalised_words(F.col("text")).alias("w"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias(TEXT_HASH), normalised_words(F.col("text")).alias("w"))
 
     def scan(length: int, outer: bool) -> DataFrame:
-        probe = words.select("doc_id", TEXT_HASH, "__loom_row", "w", _windows(F.col("w"), length).alias("hs"))
-        probe = probe.select("doc_id", TEXT_HASH, "__loom_row", F.size("w").alias("n_words"), "w", (F.posexplode_outer if outer else F.posexplode)("hs").alias("at", "wh"))
+        probe = words.select("doc_id", TEXT_HASH, "w", _windows(F.col("w"), length).alias("hs"))
+        probe = probe.select("doc_id", TEXT_HASH, F.size("w").alias("n_words"), "w", (F.posexplode_outer if outer else F.posexplode)("hs").alias("at", "wh"))
         known = side(table.where(F.col("len") == length).drop("len"))
         found = probe.join(known, (F.col("wh") == F.col("h")) & (F.slice("w", F.col("at") + 1, length) == F.col("words")), "left" if outer else "inner")
         if outer:  # one row a document at least
             found = found.where(F.col("items").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
         return found.select(
-            "doc_id", TEXT_HASH, "__loom_row", "n_words",
+            "doc_id", TEXT_HASH, "n_words", (F.lit(outer) & F.coalesce(F.col("at") == 0, F.lit(True))).alias("head"),
             F.when(F.col("items").isNotNull(), F.sequence(F.col("at") + 1, F.col("at") + length)).alias("hit"), "items",
         )
 
     hits = scan(n, True)
     for length in lengths:
         hits = hits.unionByName(scan(length, False))
-    merged = hits.groupBy("doc_id", TEXT_HASH, "__loom_row").agg(
+    merged = hits.groupBy("doc_id", TEXT_HASH).agg(
+        F.count_if("head").alias("rows"),  # rows that agree in id and text
         F.max("n_words").cast("long").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
+    merged = merged.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return merged.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", TEXT_HASH,
