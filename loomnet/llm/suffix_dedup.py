@@ -129,7 +129,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
     def segments(key, table, answer):
         s, pid = Segments(table, length), key[0].as_py()
         wanted = answer.filter(answer["send"]) if answer.num_rows else answer
-        out = {k: [] for k in ("shard", "pid", "kind", "h", "d", "n", "payload")}
+        out = {k: [] for k in ("shard", "pid", "kind", "h", "d", "n", "lead", "payload")}
         if wanted.num_rows and len(s.h):
             where = {k: i for i, k in enumerate(zip(s.h.tolist(), s.digest.tolist(), strict=True))}
             alone = []
@@ -139,7 +139,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
                 if crowded:
                     alone.append((b, c, 1 + full))
                     continue
-                for k, v in zip(out, (h % shards, pid, RUNS, h, d, 2 if full else 1, s.view[b : b + c + length - 1]), strict=True):
+                for k, v in zip(out, (h % shards, pid, RUNS, h, d, 2 if full else 1, int(s.lead[i]), s.view[b : b + c + length - 1]), strict=True):
                     out[k].append(v)
             if alone:
                 alone.sort()
@@ -151,14 +151,15 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
                 w, to = w[order], to[order]
                 cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
                 for a, b in zip(cuts, np.append(cuts[1:], len(w)), strict=True):
-                    for k, v in zip(out, (int(to[a]), pid, ALONE, 0, 0, 1, w[a:b].tobytes()), strict=True):
+                    for k, v in zip(out, (int(to[a]), pid, ALONE, 0, 0, 1, 0, w[a:b].tobytes()), strict=True):
                         out[k].append(v)
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "pid": pa.array(out["pid"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "h": signed(out["h"]), "d": signed(out["d"]), "n": pa.array(out["n"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
+        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "pid": pa.array(out["pid"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "h": signed(out["h"]), "d": signed(out["d"]), "n": pa.array(out["n"], pa.int32()), "lead": pa.array(out["lead"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
 
     def sort_shard(key, table):
         kinds = table["kind"].to_numpy()
-        pids, h, d, times, payload = table["pid"].to_numpy(), _u64(table["h"]), _u64(table["d"]), table["n"].to_numpy(), table["payload"]
+        pids, h, d, times, lead = table["pid"].to_numpy(), _u64(table["h"]), _u64(table["d"]), table["n"].to_numpy(), table["lead"].to_numpy()
+        payload = table["payload"].combine_chunks()
         found = [], [], [], [], []
 
         def answer(pid, kind, h, d, runs):
@@ -166,8 +167,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
                 x.append(v)
 
         rows = np.flatnonzero(kinds == RUNS)
-        for chunk in _shards(rows, h, payload):
-            _mark(chunk, payload, times, length, lambda i, starts: answer(int(pids[i]), RUNS, int(h[i]), int(d[i]), starts.astype(np.int32).tobytes()))
+        for chunk in _passes(_shards(rows, h, lead, payload, length)):
+            _mark(chunk, times, length, lambda i, starts: answer(int(pids[i]), RUNS, int(h[i]), int(d[i]), starts.astype(np.int32).tobytes()))
         rows = np.flatnonzero(kinds == ALONE)
         if len(rows):
             each = [np.frombuffer(payload[int(i)].as_py(), np.uint64) for i in rows]
@@ -182,7 +183,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
     sorted_ = (
         groups.groupBy("pid")
         .cogroup(answers.groupBy("pid"))
-        .applyInArrow(segments, "shard int, pid int, kind int, h long, d long, n int, payload binary")
+        .applyInArrow(segments, "shard int, pid int, kind int, h long, d long, n int, lead int, payload binary")
         .groupBy("shard")
         .applyInArrow(sort_shard, "pid int, kind int, h long, d long, runs binary")
     )
@@ -224,49 +225,62 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
     return groups.groupBy("pid").cogroup(full.unionByName(sorted_).groupBy("pid")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts)
 
 
-def _shards(rows: np.ndarray, h: np.ndarray, payload) -> list[list[np.ndarray]]:
-    """Lists of shards (the rows of one anchor each), longest first, about PASS symbols in a list."""
+def _shards(rows: np.ndarray, h: np.ndarray, lead: np.ndarray, payload, length: int):
+    """For each anchor its segments as (row, offset, bytes), trimmed: a repeated window lies in what another segment of the anchor agrees with
+    on both sides of it, so the rest can't matter, nor can a segment with less than ``length`` bytes of that."""
     if not len(rows):
-        return []
+        return
     rows = rows[np.argsort(h[rows], kind="stable")]
     cuts = np.flatnonzero(np.append(True, h[rows][1:] != h[rows][:-1]))
-    shards = [rows[a:b] for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True)]
-    sizes = np.array([sum(len(payload[int(i)].as_buffer()) + 1 for i in s) for s in shards])
-    out, total = [], PASS
-    for k in np.argsort(-sizes, kind="stable"):
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+        own = rows[a:b].tolist()
+        text = [np.frombuffer(payload[i].as_buffer(), np.uint8) for i in own]
+        at = [int(lead[i]) for i in own]
+        left, right = [0] * len(own), [0] * len(own)
+        for j in range(1, len(own)):
+            for k in range(j):
+                m, n = min(at[j], at[k]), min(len(text[j]) - at[j], len(text[k]) - at[k])
+                differ = text[j][at[j] - m : at[j]][::-1] != text[k][at[k] - m : at[k]][::-1]
+                x = int(differ.argmax()) if m else 0
+                x = x if m and differ[x] else m
+                differ = text[j][at[j] : at[j] + n] != text[k][at[k] : at[k] + n]
+                y = int(differ.argmax()) if n else 0
+                y = y if n and differ[y] else n
+                if x + y >= length:
+                    for s in (j, k):
+                        left[s], right[s] = max(left[s], x), max(right[s], y)
+        kept = [(i, p - x, t[p - x : p + y]) for i, p, t, x, y in zip(own, at, text, left, right, strict=True) if x + y >= length]
+        if len(kept) > 1:
+            yield kept
+
+
+def _passes(shards):
+    """Lists of shards, longest first, about PASS symbols in a list."""
+    sized = sorted(((sum(len(t) + 1 for _, _, t in s) + 1, k, s) for k, s in enumerate(shards)), reverse=True)
+    out, total = [], 0
+    for size, _, shard in sized:
+        out.append((size, shard))
+        total += size
         if total >= PASS:
-            out.append([])
-            total = 0
-        out[-1].append(shards[k])
-        total += sizes[k]
-    return out
+            yield out
+            out, total = [], 0
+    if out:
+        yield out
 
 
-def _mark(shards: list[np.ndarray], payload, times: np.ndarray, length: int, answer) -> None:
+def _mark(shards, times: np.ndarray, length: int, answer) -> None:
     """Sort the shards and tell for each segment that occurs once where its repeated windows start."""
-    parts, sizes, bounds, owners, at = [], [], [], [], 0
-    for shard in shards:
-        begin = at
-        for i in shard:
-            seg = np.frombuffer(payload[int(i)].as_buffer(), np.uint8).astype(np.int64) + 2
-            parts += [seg, [1]]
-            bounds.append((at, at + len(seg)))
-            owners.append(i)
-            at += len(seg) + 1
-        parts.append([0])
-        at += 1
-        sizes.append(at - begin)
-    text = np.concatenate(parts).astype(np.int64)
-    order = np.argsort(-np.array(sizes), kind="stable")
-    assert (order == np.arange(len(sizes))).all() or len(sizes) == 1 or (np.diff(np.array(sizes)[order]) <= 0).all()
-    starts = np.append(0, np.cumsum(sizes))
-    if (order != np.arange(len(sizes))).any():  # sizes differ from the estimate by the sentinel only, so this is rare
-        moved = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in order])
-        place = np.empty(len(text), np.int64)
-        place[moved] = np.arange(len(text))
-        text, starts = text[moved], np.append(0, np.cumsum(np.array(sizes)[order]))
-        bounds = [(int(place[a]), int(place[a]) + b - a) for a, b in bounds]
+    starts = np.append(0, np.cumsum([size for size, _ in shards]))
+    text = np.zeros(starts[-1], np.int64)  # 0 ends a shard, 1 a segment
+    bounds = []
+    for at, (_, shard) in zip(starts.tolist(), shards, strict=False):
+        for i, offset, t in shard:
+            text[at : at + len(t)] = t
+            text[at : at + len(t)] += 2
+            text[at + len(t)] = 1
+            bounds.append((i, offset, at, at + len(t)))
+            at += len(t) + 1
     shared = common_prefixes(text, starts, suffix_arrays(text, starts), length)
-    for i, (a, b) in zip(owners, bounds, strict=True):
+    for i, offset, a, b in bounds:
         if times[i] == 1 and len(hit := np.flatnonzero(shared[a : b - length + 1] >= length)):
-            answer(i, hit)
+            answer(i, hit + offset)
