@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, group_count, ids_of, materialize, mix, pieces, shared_dir, text_bytes
+from loomnet.llm.common import NULL_ID, after_letters, as_bytes, group_count, ids_of, kinds_without, materialize, mix, pieces, shared_dir, text_bytes
 
 MAGIC = b"LOOMIDS1"
 BUCKET_KEYS = 200_000
 #: Most chunks whose ids a Python worker remembers.
-REMEMBER = 400_000
+REMEMBER = 500_000
 _ENCODERS: dict = {}
 
 
@@ -118,47 +119,60 @@ def look_up(index: bytes, doc_id: np.ndarray, nth: np.ndarray) -> dict[str, np.n
 # --- encoding ------------------------------------------------------------------
 
 
+class Memory(dict):
+    """A dict that starts afresh when it would outgrow a limit."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+
+    def grow(self, n: int) -> None:
+        if len(self) + n > self.limit:
+            self.clear()
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each different chunk once.
 
-    A text is cut before a single space with no white space beside it. No token of a byte-level tokenizer with the usual word
-    pattern reaches across such a place: a space can only begin a match there."""
+    A text is cut where the usual word pattern of byte-level tokenizers always ends a match: before a single space with no white space beside
+    it (a space can only begin a match there), between an ASCII letter and ASCII punctuation, and around a line feed that stands alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = Memory(REMEMBER)
+        self.kind = kinds_without(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def __call__(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        chunks, of = _chunks(data, first)
+        chunks, of = _chunks(data, first, self.kind)
         if not len(chunks):
             return np.zeros(0, np.uint32), np.zeros(len(first) - 1, np.int64)
         coded = chunks.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        new = [c for c in different if c not in self.known]
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, np.uint32)
-        each = [self.known[c] for c in different]
+        different = as_bytes(coded.dictionary)
+        each = list(map(self.known.get, different))
+        new = [k for k, ids in enumerate(each) if ids is None]
+        if new:
+            self.known.grow(len(new))
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([different[k].decode() for k in part], add_special_tokens=False), strict=True):
+                each[k] = self.known[different[k]] = array("I", e.ids).tobytes()
         ids, counts = gather(each, coded.indices.to_numpy(zero_copy_only=False))
         return ids, np.diff(np.append(0, np.cumsum(counts))[of])
 
 
-def gather(each: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """each[i] for i in index, in a row; and their lengths."""
-    sizes = np.array([len(x) for x in each], np.int64)
-    flat, begins = np.concatenate(each), np.append(0, np.cumsum(sizes))[:-1]
+def gather(each: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in each[i] (four bytes an id) for i in index, in a row; and how many each has."""
+    sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat, begins = np.frombuffer(b"".join(each), np.uint32), np.append(0, np.cumsum(sizes))[:-1]
     counts = sizes[index]
     ends = np.cumsum(counts)
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[index] - (ends - counts), counts)], counts
 
 
-def _chunks(data: np.ndarray, first: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+def _chunks(data: np.ndarray, first: np.ndarray, kind: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     n = len(data)
     cut = np.zeros(n, bool)
     if n > 2:
@@ -168,7 +182,10 @@ def _chunks(data: np.ndarray, first: np.ndarray) -> tuple[pa.LargeBinaryArray, n
         before[1:] |= data[:-1] == 0xC2
         before[2:] |= wide[:-2]
         after = ascii_space | wide | (data == 0xC2)
-        cut[1:-1] = (data[1:-1] == 0x20) & ~before[:-2] & ~after[2:]
+        alone = ~before[:-2] & ~after[2:]
+        cut[1:-1] = ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) & alone
+        cut[2:] |= (data[1:-1] == 0x0A) & alone
+        cut |= after_letters(data, kind)
     begins = first[:-1]
     cut[begins[begins < n]] = True
     starts = np.flatnonzero(cut)
