@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -17,11 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomnet.llm.common import NULL_ID, ids_of, pieces, split_words, text_bytes
-from loomnet.llm.token_store import gather
+from loomnet.llm.common import NULL_ID, after_letters, as_bytes, ids_of, kinds_without, pieces, split_words, text_bytes
+from loomnet.llm.token_store import Memory, gather
 
-#: Most words whose ids a Python worker remembers.
-REMEMBER = 300_000
+#: Most pieces and most words whose ids a Python worker remembers.
+REMEMBER = 400_000
 #: A letter that ends a word is written this much higher, so that end marks need no symbol of their own.
 FINAL = 256
 _CODECS: dict = {}
@@ -62,7 +63,7 @@ class Bpe:
         for k, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.rank.setdefault((symbols(a), symbols(b)), k)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits = Memory(REMEMBER)
         usable = [s for s in self.symbols if len(s) == 1 or self.merged(s) == [s]]
         self.automaton = ahocorasick.Automaton()
         for s in usable:
@@ -71,7 +72,9 @@ class Bpe:
         # the longest token that begins a token
         usable_set = set(usable)
         self.shorter = {s: next((s[:k] for k in range(len(s) - 1, 0, -1) if s[:k] in usable_set), None) for s in usable}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.kind = kinds_without(self.special)
+        self.known = Memory(REMEMBER)  # ids of pieces of text
+        self.words = Memory(REMEMBER)  # and of what the pattern makes of them
         # decoding: all token texts in a row, each with the space that joins tokens, and where each begins
         by_id = {i: t for t, i in (names | self.special).items()}
         pieces_ = [(by_id.get(i, "") + " ").encode() if i in by_id else b"" for i in range(max(by_id) + 1)]
@@ -92,8 +95,7 @@ class Bpe:
     def compatible(self, a: str, b: str) -> bool:
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) > 4 * REMEMBER:
-                self.fits.clear()
+            self.fits.grow(1)
             ok = self.fits[a, b] = self.merged(a + b) == [a, b]
         return ok
 
@@ -102,12 +104,8 @@ class Bpe:
         if word in self.shorter:
             return [word]
         n = len(word)
-        longest: list = [None] * n
-        for end, token in self.automaton.iter(word):
-            start = end - len(token) + 1
-            if longest[start] is None or len(token) > len(longest[start]):
-                longest[start] = token
-        out, at, token, dead = [], 0, longest[0], bytearray(n + 1)
+        longest = lambda at: next(self.automaton.iter_long(word, at))[1]  # noqa: E731  every letter is a token, so some match begins here
+        out, at, token, dead = [], 0, longest(0), bytearray(n + 1)
         while True:
             while token is not None and (dead[at + len(token)] or (out and not self.compatible(out[-1], token))):
                 token = self.shorter[token]
@@ -116,7 +114,7 @@ class Bpe:
                 at += len(token)
                 if at == n:
                     return out
-                token = longest[at]
+                token = longest(at)
             else:  # nothing fits here: the token before must be shorter
                 dead[at] = 1
                 if not out:
@@ -136,25 +134,29 @@ class Bpe:
                 part = self.space.sub(" ", part if plain else unicodedata.normalize("NFC", part))
                 part = part.lower() if plain else "".join(c.lower() for c in part)
                 for word in self.pattern.findall(part):
-                    raw = [*word.encode()]
-                    if self.suffix:
-                        raw[-1] += FINAL
-                    out += [self.symbols[s] for s in self.encode_word("".join(map(chr, raw)))]
+                    ids = self.words.get(word)
+                    if ids is None:
+                        raw = word.encode().decode("latin-1")
+                        if self.suffix:
+                            raw = raw[:-1] + chr(ord(raw[-1]) + FINAL)
+                        ids = self.words[word] = [self.symbols[s] for s in self.encode_word(raw)]
+                    out += ids
         return out
 
     def encode(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row (bytes and offsets as text_bytes() has them), and how many each has. Each different word is encoded once."""
-        words, of = split_words(data, first)
+        words, of = split_words(data, first, also=after_letters(data, self.kind))  # the pattern always ends a match there
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(first) - 1, np.int64)
         coded = words.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        for w in different:
-            if w not in self.known:
-                self.known[w] = np.array(self.encode_text(w.decode()), np.uint32)
-        ids, counts = gather([self.known[w] for w in different], coded.indices.to_numpy(zero_copy_only=False))
+        different = as_bytes(coded.dictionary)
+        each = list(map(self.known.get, different))
+        new = [k for k, ids in enumerate(each) if ids is None]
+        self.known.grow(len(new))
+        self.words.grow(len(new))
+        for k in new:
+            each[k] = self.known[different[k]] = array("I", self.encode_text(different[k].decode())).tobytes()
+        ids, counts = gather(each, coded.indices.to_numpy(zero_copy_only=False))
         return ids, np.diff(np.append(0, np.cumsum(counts))[of])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -181,7 +183,7 @@ def bpe(docs: DataFrame, path: str, tokens: bool = False) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in pieces(batches, "text", 2_000_000):
+        for batch in pieces(batches, "text", 3_000_000):
             keys = ids_of(batch.column("doc_id"))
             ids, counts = own.encode(*text_bytes(batch.column("text")))
             decoded = own.decode(ids, counts)
