@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomnet.functions.stats import pearson
 from loomnet.operators.cluster import cut_tree, linkage
-from loomnet.operators.network import zscores
+from loomnet.operators.network import dense, packed, places, zscores
 from loomnet.plans.runtime import materialize
 
 
@@ -47,14 +47,12 @@ def eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:
     Tasks multiply the genes they have into samples x samples products by module; only these are brought together, so a module may have any number of
     genes. Missing values count as the gene's mean."""
     z = zscores(expr).join(membership.select("gene_id", "module"), "gene_id")
-    samples = materialize(expr.select("sample_id").distinct().withColumn("at", F.row_number().over(W.orderBy("sample_id")) - 1), "samples")
-    p = samples.count()
-    rows = z.join(samples, "sample_id").groupBy("module", "gene_id").agg(F.map_from_entries(F.collect_list(F.struct("at", F.coalesce("value", F.lit(0.0))))).alias("m"))
-    rows = rows.select("module", F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("v"))
-
+    samples = places(expr, "sample_id")
+    rows, p = packed(z.withColumn("row", F.struct("module", "gene_id")), "row", "sample_id", place=samples)
+    rows = rows.select(F.col("id.module").alias("module"), "at", "v")
     def products(batches):
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = dense(batch, p)
             module = np.array(batch.column("module").to_pylist(), object)
             names = sorted(set(module))
             grams = [x[module == m] for m in names]
@@ -69,7 +67,7 @@ def eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:
         return pa.table({"module": pa.array([key[0].as_py()] * p), "at": pa.array(range(p), pa.int32()), "value": vector})
 
     me = rows.mapInArrow(products, "module string, gram binary, total binary").groupBy("module").applyInArrow(first, "module string, at int, value double")
-    return me.join(samples, "at").select("sample_id", "module", "value")
+    return me.join(samples.withColumnRenamed("__at", "at"), "at").select("sample_id", "module", "value")
 
 
 def multiset_eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:

@@ -30,34 +30,48 @@ def min_max(expr: DataFrame) -> DataFrame:
     return expr.withColumn("value", (F.col("value") - low) / F.when(high > low, high - low))
 
 
-def packed(long: DataFrame, row: str, column: str, value: str = "value") -> DataFrame:
-    """(id, v): each row's values as an array in the order of the columns; absent cells as 0."""
-    columns = long.select(column).distinct()
-    place = columns.withColumn("__at", F.row_number().over(W.orderBy(column)) - 1)
-    width = place.count()
-    cells = long.join(place, column).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("__at", F.coalesce(value, F.lit(0.0))))).alias("m"))
-    return cells.select(F.col(row).alias("id"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("v"))
+def places(long: DataFrame, column: str) -> DataFrame:
+    """(column, __at): each value's place, from 0, in sorted order; a row a column of the matrix."""
+    return long.select(column).distinct().withColumn("__at", F.row_number().over(W.orderBy(column)) - 1)
 
 
-def block_products(vectors: DataFrame, rows: int) -> DataFrame:
-    """(i, j, dot) of all pairs i < j of (id, v), by products of blocks."""
+def packed(long: DataFrame, row: str, column: str, value: str = "value", place: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(id, at, v), a row's cells as places among the sorted columns and values, and how many columns there are. Null cells are left out."""
+    place = places(long, column) if place is None else place
+    cells = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("__at", value)))
+    rows = long.join(place, column).groupBy(row).agg(cells.alias("c"))
+    return rows.select(F.col(row).alias("id"), F.col("c.__at").alias("at"), F.col(f"c.{value}").alias("v")), place.count()
+
+
+def dense(batch, width: int) -> np.ndarray:
+    """The matrix of packed rows, 0 where a cell is absent."""
+    at, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["at"], batch["v"]))
+    out = np.zeros((len(at), width))
+    rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+    out[rows, at.flatten().to_numpy(zero_copy_only=False)] = v.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def block_products(vectors: DataFrame, width: int, rows: int) -> DataFrame:
+    """(i, j, dot) of all pairs i < j of packed rows, by products of blocks."""
     blocks = max(1, -(-rows // BLOCK))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(F.least(b, F.col("mine")).alias("a"), F.greatest(b, F.col("mine")).alias("b")))
-    dealt = vectors.withColumn("mine", mine).select("id", "v", "mine", F.explode(cells).alias("c")).select("id", "v", "mine", "c.a", "c.b")
+    dealt = vectors.withColumn("mine", mine).select("id", "at", "v", "mine", F.explode(cells).alias("c")).select("id", "at", "v", "mine", "c.a", "c.b")
 
     def multiply(key, table):
         ids, mine_ = np.array(table["id"].to_pylist(), object), table["mine"].to_numpy()
-        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        order = np.argsort(ids)  # so that the smaller name comes first within a block
+        ids, mine_, x = ids[order], mine_[order], dense(table, width)[order]
         left, right = (np.flatnonzero(mine_ == k.as_py()) for k in key)
         dots = x[left] @ x[right].T
         if key[0] == key[1]:
             i, j = np.triu_indices(len(left), 1)
         else:
             i, j = (m.ravel() for m in np.indices(dots.shape))
-        p, q = ids[left[i]], ids[right[j]]
-        swap = p > q
-        return pa.table({"i": pa.array(np.where(swap, q, p).tolist(), pa.string()), "j": pa.array(np.where(swap, p, q).tolist(), pa.string()), "dot": dots[i, j]})
+        p, q = left[i], right[j]
+        names = pa.array(ids.tolist(), pa.string())  # sorted, so the smaller place has the smaller name
+        return pa.table({"i": names.take(pa.array(np.minimum(p, q))), "j": names.take(pa.array(np.maximum(p, q))), "dot": dots[i, j]})
 
     return dealt.groupBy("a", "b").applyInArrow(multiply, "i string, j string, dot double")
 
@@ -71,7 +85,7 @@ def correlation(expr: DataFrame, plan: str = "auto") -> DataFrame:
         plan = "block" if complete and genes[0] >= BLOCK_FROM else "join"
     if plan == "block":
         counts = expr.agg(F.countDistinct("gene_id"), F.countDistinct("sample_id")).first()
-        dots = block_products(packed(z, "gene_id", "sample_id"), counts[0])
+        dots = block_products(*packed(z, "gene_id", "sample_id"), counts[0])
         flat = expr.groupBy("gene_id").agg(F.stddev_pop("value").alias("sd")).where("sd = 0").select("gene_id")
         r = dots.select("i", "j", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot") / counts[1])).alias("r"))
         for side in ("i", "j"):  # pairs of a gene without spread have none
@@ -162,7 +176,7 @@ def tom(adj: DataFrame, denominator: str = "min", plan: str = "auto") -> DataFra
     k = both.groupBy("gene_id").agg(F.sum("a").alias("k"))
     genes = k.count() if plan == "auto" else 0
     if plan == "block" or genes >= BLOCK_FROM // 4:
-        shared = block_products(packed(both.withColumnRenamed("a", "value"), "gene_id", "other"), genes or k.count()).withColumnRenamed("dot", "l")
+        shared = block_products(*packed(both.withColumnRenamed("a", "value"), "gene_id", "other"), genes or k.count()).withColumnRenamed("dot", "l")
     else:
         near = both.where("a <> 0")
         a = near.select(F.col("gene_id").alias("i"), F.col("other").alias("u"), F.col("a").alias("x"))
