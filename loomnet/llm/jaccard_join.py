@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, n: int, runs: int) -> DataFrame:
     seeds = _seeds(runs * LEVELS + SKETCH)
 
     def sign(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             sets = shingle_sets(*text_bytes(batch.column("text")), n)
             least = np.stack([_least(s, seeds) for s in sets])
             paths = pa.FixedSizeListArray.from_arrays(pa.array(mix(least[:, : runs * LEVELS]).view(np.int64).ravel()), runs * LEVELS).cast(pa.list_(pa.int64()))
@@ -180,12 +180,13 @@ def connected(edges: DataFrame, name: str = "connected") -> DataFrame:
     edges = materialize(edges.select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).where("node <> to").distinct(), name)
     last = None
     while True:
-        both = edges.unionByName(edges.select(F.col("to").alias("node"), F.col("node").alias("to")))
-        least = both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("m"))
-        large = both.join(least, "node").where("to > node").select(F.col("to").alias("node"), F.col("m").alias("to")).distinct()
-        least = large.groupBy("node").agg(F.min("to").alias("m"))
+        # minima are tables of their own, so that their joins are of two plain shuffles, whose hot nodes Spark can split
+        both = edges.select(F.explode(F.array(F.struct("node", "to"), F.struct(F.col("to").alias("node"), F.col("node").alias("to")))).alias("e")).select("e.node", "e.to")
+        least = materialize(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("m")), name)
+        large = materialize(both.where("to > node").join(least, "node").select(F.col("to").alias("node"), F.col("m").alias("to")).distinct(), name)
+        least = materialize(large.groupBy("node").agg(F.min("to").alias("m")), name)
         small = large.join(least, "node")
-        small = small.select("node", F.col("m").alias("to")).unionByName(small.where("to <> m").select(F.col("to").alias("node"), F.col("m").alias("to"))).where("node <> to").distinct()
+        small = small.select(F.explode(F.array(F.struct("node", F.col("m").alias("to")), F.struct(F.col("to").alias("node"), F.col("m").alias("to")))).alias("e")).select("e.node", "e.to").where("node <> to").distinct()
         edges = materialize(small, name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first()
         if now == last:
@@ -232,7 +233,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     sent = texts.join(wanted.groupBy("owner", "k1", "k2", "node", "root", "mine").agg(F.collect_list(F.struct("i", "j", "slot")).alias("cells")), F.col("doc_id").eqNullSafe(F.col("owner")))
 
     def sets(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             each = shingle_sets(*text_bytes(batch.column("text")), n)
             k1, k2 = _keys(each)
             ok = (k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy())  # an id may have other texts
