@@ -24,7 +24,7 @@ from loomnet.llm.induced_sort import common_prefixes, suffix_arrays
 #: Length of the short strings that anchors are chosen from.
 SHORT = 16
 #: Symbols that one pass of induced sorting takes.
-PASS = 1_500_000
+PASS = 1_000_000
 FULL, RUNS, ALONE, CROWDED = 0, 1, 2, 3
 #: Bytes of text that are hashed at once; small enough for a processor's cache.
 BLOCK = 200_000
@@ -105,7 +105,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_bytes. Null and empty texts and those
     shorter than ``length`` lose nothing. Rows are judged as given: identical rows are copies of each other and lose all
     that is long enough, also when they share an id; a null doc_id is kept as null. An empty table gives none."""
-    groups = dealt(docs)
+    groups = dealt(docs, mb=3)
 
     def anchors(key, table):
         s = Segments(table, length)
@@ -116,7 +116,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
 
     sent = materialize(groups.groupBy("pid").applyInArrow(anchors, "h long, d long, pid int, n long"), "anchors")
     each = sent.groupBy("h", "d").agg(F.sum("n").alias("times"), F.min("pid").alias("by"))
-    whole = each.groupBy("h").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
+    # a table of its own, so that the join on h is of two plain shuffles, whose hot keys Spark can split
+    whole = materialize(each.groupBy("h").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1"), "repeated")
     each = each.join(whole, "h").select("h", "d", "times", "by", "kinds")
     answers = materialize(
         sent.join(each, ["h", "d"]).select(
@@ -124,7 +125,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
         ),
         "answers",
     )
-    shards = group_count(docs)
+    shards = group_count(docs, mb=3)
 
     def segments(key, table, answer):
         s, pid = Segments(table, length), key[0].as_py()
