@@ -9,6 +9,7 @@ Files are written under a name of their own and then renamed, so a task that is
 from __future__ import annotations
 
 import io
+import os
 import uuid
 import zlib
 from array import array
@@ -138,6 +139,7 @@ class ChunkEncoder:
     it (a space can only begin a match there), between an ASCII letter and ASCII punctuation, and around a line feed that stands alone."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -216,7 +218,7 @@ def write_store(docs: DataFrame, path: str, uri: str | None = None, end_id: int
         shard, encode = TaskContext.get().partitionId(), encoder(path)
         size = 2 if encode.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         payload, at, last, nth = [], 0, None, 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 6_000_000):
             keys = ids_of(batch.column("doc_id"))
             ids, counts = encode(*text_bytes(batch.column("text")))
             ends = np.cumsum(counts)
