@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, ids_of, materialize, pieces, split_words, text_bytes
+from loomnet.llm.common import NULL_ID, as_bytes, ids_of, materialize, pieces, split_words, text_bytes
 
 # --- the lexicons that hold without training ------------------------------------
 INSULTS = "idiot moron scum trash loser clown pathetic worthless disgusting stupid imbecile bastard filth vermin subhuman"
@@ -111,7 +111,7 @@ class Grammar:
         if not len(words):
             return out
         coded = words.dictionary_encode()
-        kinds = np.fromiter((self.symbol(w.decode(errors="replace").lower()) for w in coded.dictionary.to_pylist()), np.int8, len(coded.dictionary))
+        kinds = np.fromiter((self.symbol(w.decode(errors="replace").lower()) for w in as_bytes(coded.dictionary)), np.int8, len(coded.dictionary))
         symbols = kinds[coded.indices.to_numpy(zero_copy_only=False)]
         hot = np.unique(clause[(symbols == INSULT) | (symbols == THREAT)])
         marked = np.flatnonzero((symbols != OTHER) & np.isin(clause, hot))
@@ -150,11 +150,11 @@ def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar
     rows = materialize(rows.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")), "labelled")
 
     def stems(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             data, offsets = text_bytes(batch.column("text"))
             words, first, _, _ = lettered(data, offsets)
-            all_words = words.to_pylist()
+            all_words = as_bytes(words)
             for k, label in enumerate(batch.column("label").to_pylist()):
                 own = {w.decode(errors="replace").lower() for w in set(all_words[first[k] : first[k + 1]])}
                 seen[label].update({w[:n] for w in own for n in range(4, min(len(w), 7) + 1)} | {w for w in own if len(w) >= 4})
@@ -171,7 +171,7 @@ def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar
     grammar = Grammar(chosen)
 
     def features(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(grammar.features(batch.column("text")).tolist(), pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
     sample = rows.mapInArrow(features, "x array<double>, label int").groupBy("x", "label").count().toPandas()  # different feature rows of a bounded sample
@@ -204,7 +204,7 @@ def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     a null doc_id is kept, an empty table gives none."""
 
     def score(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             x = grammar.features(batch.column("text"))
             s = grammar.scores(x)
             keys = ids_of(batch.column("doc_id"))
@@ -234,7 +234,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
     """The rows of ``docs``, all columns, whose text scores below the threshold; every row is judged where it stands, without a shuffle."""
 
     def keep(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             yield batch.filter(pa.array(grammar.scores(grammar.features(batch.column("text"))) < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
