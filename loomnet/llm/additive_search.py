@@ -83,7 +83,8 @@ def fit(x: np.ndarray, books: int = 16, entries: int = 256, rounds: int = 6, see
     for i in range(books):
         np.add.at(sums, codes[:, i], x)
     start = own.words.reshape(-1, x.shape[1]).astype(np.float64)
-    solved = np.linalg.solve(pairs + np.eye(len(pairs)), sums + start)  # ridge towards the first codebooks
+    pairs.flat[:: len(pairs) + 1] += 1  # ridge towards the first codebooks
+    solved = np.linalg.solve(pairs, sums + start)
     return Codebooks(solved.reshape(own.words.shape).astype(np.float32))
 
 
