@@ -18,11 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomnet.llm.common import NULL_ID, after_letters, as_bytes, ids_of, kinds_without, pieces, split_words, text_bytes
+from loomnet.llm.common import NULL_ID, after_letters, as_bytes, bounded_batches, ids_of, kinds_without, pieces, split_words, text_bytes
 from loomnet.llm.token_store import Memory, gather
 
 #: Most pieces and most words whose ids a Python worker remembers.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: A letter that ends a word is written this much higher, so that end marks need no symbol of their own.
 FINAL = 256
 _CODECS: dict = {}
@@ -196,4 +196,5 @@ def bpe(docs: DataFrame, path: str, tokens: bool = False) -> DataFrame:
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * tokens)

@@ -47,6 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let the session hand texts to Python in batches of at most ``rows`` rows, so that a task's buffers hold a few MB; a lower setting stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def group_count(df: DataFrame, mb: float = 4.0) -> int:
     """How many groups of about ``mb`` stored MB the input makes; grows with the input, so a group's size doesn't."""
     stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -57,6 +64,7 @@ def dealt(docs: DataFrame, mb: float = 4.0) -> DataFrame:
     """(pid int, doc_id long, text string): every document in one of group_count() groups, chosen by its id and text.
 
     The text takes part so that many rows with one id (or none) still spread. Identical rows meet in one group."""
+    bounded_batches(docs.sparkSession)
     n = group_count(docs, mb)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.pmod(F.xxhash64("doc_id", F.substring(text, 1, 4096)), F.lit(n)).cast("int").alias("pid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))

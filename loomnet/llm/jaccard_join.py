@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import hash_words, materialize, mix, pieces, split_words, text_bytes, window_hashes
+from loomnet.llm.common import bounded_batches, hash_words, materialize, mix, pieces, split_words, text_bytes, window_hashes
 
 SKETCH = 64  # coordinates of a sketch, two bytes each
 LEVELS = 3
@@ -64,6 +64,7 @@ def _seeds(n: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, n: int, runs: int) -> DataFrame:
     """doc_id, size, class key (k1, k2), path tokens and sketch of every document."""
+    bounded_batches(docs.sparkSession)
     seeds = _seeds(runs * LEVELS + SKETCH)
 
     def sign(batches):
@@ -94,7 +95,7 @@ def buckets(reps: DataFrame, runs: int, leaf: int) -> DataFrame:
     open_ = walk.withColumn("bucket", F.col("path")[0])
     done = None
     for level in range(1, LEVELS + 1):
-        sizes = open_.groupBy("run", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        sizes = materialize(open_.groupBy("run", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
         open_ = open_.join(sizes, ["run", "bucket"])
         small = open_ if level == LEVELS else open_.where(F.col("members") <= leaf)
         small = small.select("node", "run", "bucket", "members")
@@ -227,7 +228,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     cells = _celled(met, ["run", "bucket"], slots).join(reps.select("node", "size", "sketch"), "node")
     parts = connected(cells.groupBy("slot").applyInArrow(likely, "node long, to long"), "likely")
     parts = materialize(parts.unionByName(parts.select(F.col("root").alias("node"), "root")).distinct(), "parts")
-    parts = parts.join(parts.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root").join(reps.select("node", "k1", "k2", "class_id"), "node")
+    parts = parts.join(materialize(parts.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "members"), "root").join(reps.select("node", "k1", "k2", "class_id"), "node")
     wanted = _celled(parts.withColumnRenamed("class_id", "owner"), ["root"], slots)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text is not null")
     sent = texts.join(wanted.groupBy("owner", "k1", "k2", "node", "root", "mine").agg(F.collect_list(F.struct("i", "j", "slot")).alias("cells")), F.col("doc_id").eqNullSafe(F.col("owner")))

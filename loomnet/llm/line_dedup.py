@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomnet.llm.common import NULL_ID, covered
+from loomnet.llm.common import NULL_ID, bounded_batches, covered
 
 ID, TEXT_HASH, STARTS = "__loom_id", "__loom_text", "__loom_starts"
 
@@ -60,4 +60,5 @@ def line_dedup(docs: DataFrame, lines: int = 3) -> DataFrame:
             arrays = [pa.array(out, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
 
+    bounded_batches(docs.sparkSession)
     return _keyed(docs.select(*columns)).join(later_windows(docs, lines), [ID, TEXT_HASH], "left").select(*columns, STARTS).mapInArrow(cut, schema)

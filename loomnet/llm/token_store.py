@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, after_letters, as_bytes, group_count, ids_of, kinds_without, materialize, mix, pieces, shared_dir, text_bytes
+from loomnet.llm.common import NULL_ID, after_letters, as_bytes, bounded_batches, group_count, ids_of, kinds_without, materialize, mix, pieces, shared_dir, text_bytes
 
 MAGIC = b"LOOMIDS1"
 BUCKET_KEYS = 200_000
@@ -209,6 +209,7 @@ def write_store(docs: DataFrame, path: str, uri: str | None = None, end_id: int
 
     The directory is a table (doc_id, nth, shard, offset, length), written as Parquet beside the shards. A null text is empty and has only
     the end id; a null doc_id comes last; rows with one id are told apart by nth, in the order of their texts."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     uri = uri or shared_dir(spark, "tokens")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, as_bytes, ids_of, materialize, pieces, split_words, text_bytes
+from loomnet.llm.common import NULL_ID, as_bytes, bounded_batches, ids_of, materialize, pieces, split_words, text_bytes
 
 # --- the lexicons that hold without training ------------------------------------
 INSULTS = "idiot moron scum trash loser clown pathetic worthless disgusting stupid imbecile bastard filth vermin subhuman"
@@ -161,6 +161,7 @@ def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar
             both = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both), pa.array([seen[1][s] for s in both], pa.int64()), pa.array([seen[0][s] for s in both], pa.int64())], names=["stem", "toxic", "clean"])
 
+    bounded_batches(rows.sparkSession)
     toxic = rows.where("label = 1").count()
     counted = rows.mapInArrow(stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     found = counted.where((F.col("toxic") >= max(4, share * toxic)) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).select("stem").collect()
@@ -212,6 +213,7 @@ def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
                 [pa.array(keys, mask=keys == NULL_ID), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.rint(np.expm1(x).sum(axis=1)).astype(np.int64))], names=["doc_id", "score", "predicted", "matches"]
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(score, "doc_id long, score double, predicted int, matches long")
 
 
@@ -237,4 +239,5 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.5) -> Dat
         for batch in pieces(batches, "text", 2_000_000):
             yield batch.filter(pa.array(grammar.scores(grammar.features(batch.column("text"))) < threshold))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
