@@ -22,7 +22,7 @@ from loomnet.llm.common import NULL_ID, after_letters, as_bytes, bounded_batches
 from loomnet.llm.token_store import Memory, gather
 
 #: Most pieces and most words whose ids a Python worker remembers.
-REMEMBER = 200_000
+REMEMBER = 100_000
 #: A letter that ends a word is written this much higher, so that end marks need no symbol of their own.
 FINAL = 256
 _CODECS: dict = {}
