@@ -10,8 +10,6 @@ Conventions of the whole subpackage
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomnet.plans.runtime import materialize, shared_path
+
+__all__ = ["materialize", "shared_path"]  # used from here by the operators
+
 #: Sorts after every other id; stands for a null doc_id.
 NULL_ID = np.iinfo(np.int64).max
 #: The bytes that part words: space and the five ASCII controls from tab to carriage return.
@@ -31,22 +33,6 @@ KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which all machines see; sets a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomnet-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let the session hand texts to Python in batches of at most ``rows`` rows, so that a task's buffers hold a few MB; a lower setting stands."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -132,12 +118,12 @@ def as_bytes(words: pa.LargeBinaryArray) -> list[bytes]:
     return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def hash_words(words: pa.LargeBinaryArray) -> np.ndarray:
+def hash_words(words: pa.LargeBinaryArray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word; computed once for each different word."""
     if not len(words):
         return np.zeros(0, np.uint64)
     coded = words.dictionary_encode()
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, as_bytes(coded.dictionary)), np.uint64, len(coded.dictionary))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in as_bytes(coded.dictionary)), np.uint64, len(coded.dictionary))
     return each[coded.indices.to_numpy(zero_copy_only=False)]
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomnet.llm.common import materialize
+
 
 def host_of(url: Column) -> Column:
     """Host in lower case without user, port and last dot; '' if there is none."""
@@ -31,20 +33,26 @@ def validity(entries: DataFrame) -> DataFrame:
     return log.withColumn("valid_to", until).where("action = 'add'").select("list_name", "pattern", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
-def url_filter(captures: DataFrame, entries: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def url_filter(captures: DataFrame, entries: DataFrame, broadcast_rows: int = 200_000, broadcast_bytes: int = 50_000_000) -> DataFrame:
     """Per capture (page_id, url, fetched_at): host, n_active (entries that match and are active then), lists (their list names,
     sorted and comma-joined) and blocked (n_active > 0).
 
     A null or malformed url has host '' and matches nothing, and so does a capture without a date; an empty list
     blocks nothing. Matching ignores the case of host and path. Rows that agree in page_id, url and date give one row each. Entries are broadcast only
-    while they make at most ``broadcast_rows`` intervals; otherwise the join is by shuffle, in which Spark splits hot keys."""
-    active = validity(entries)
-    if active.count() <= broadcast_rows:
+    while they make at most ``broadcast_rows`` intervals of ``broadcast_bytes`` in all; otherwise the join is by shuffle, in which Spark splits hot keys.
+    A capture is probed with as many labels of its host and steps of its path as the longest pattern has, so a very long url costs no more than others."""
+    active = materialize(validity(entries), "intervals")
+    steps_in = F.size(F.split("pattern", "/")) - 1
+    size = active.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("pattern") + F.length("list_name") + 40), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max(steps_in), F.lit(0)).alias("steps"), F.coalesce(F.max(F.size(F.split(F.split("pattern", "/")[0], r"\."))), F.lit(0)).alias("labels"),
+    ).first()
+    if size["rows"] <= broadcast_rows and size["bytes"] <= broadcast_bytes:
         active = F.broadcast(active)
     rows = captures.select("page_id", "url", F.col("fetched_at"), F.monotonically_increasing_id().alias("__row"), host_of(F.col("url")).alias("host"), F.lower(path_of(F.col("url"))).alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.filter(F.split("path", "/"), lambda s: s != "")
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - size["labels"] + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    steps = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, size["steps"])
     below = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     paths = F.concat(F.array(F.lit("")), below)
     keys = F.flatten(F.transform("suffixes", lambda s: F.transform("paths", lambda p: F.concat(s, p))))
