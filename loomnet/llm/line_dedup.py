@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomnet.llm.common import NULL_ID, bounded_batches, covered
+from loomnet.llm.common import NULL_ID, bounded_batches, covered, materialize
 
 ID, TEXT_HASH, STARTS = "__loom_id", "__loom_text", "__loom_starts"
 
@@ -30,6 +31,7 @@ def later_windows(docs: DataFrame, lines: int = 3) -> DataFrame:
     windows = cut.select(ID, TEXT_HASH, F.posexplode(hashed).alias("at", "h")).select(ID, TEXT_HASH, "at", "h.a", "h.b")
     place = F.struct(ID, TEXT_HASH, "at")
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    firsts = materialize(firsts, "windows")  # a table of its own, so that the join is of two plain shuffles, whose hot windows Spark can split
     return windows.join(firsts, ["a", "b"]).where(place > F.col("first")).groupBy(ID, TEXT_HASH).agg(F.sort_array(F.collect_set("at")).alias(STARTS))
 
 
@@ -45,20 +47,19 @@ def line_dedup(docs: DataFrame, lines: int = 3) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            texts, lost, n_lines, n_removed, out = batch.column("text"), batch.column(STARTS), [], [], []
-            for k in range(batch.num_rows):
-                text, starts = texts[k].as_py(), lost[k]
-                n = text.count("\n") + 1 if text else 0
-                n_lines.append(n)
-                if starts.is_valid:
-                    gone = covered(np.array(starts.as_py()), lines, n)
-                    text = "\n".join(x for x, g in zip(text.split("\n"), gone.tolist(), strict=True) if not g)
-                    n_removed.append(int(gone.sum()))
-                else:
-                    n_removed.append(0)
-                out.append(text)
-            arrays = [pa.array(out, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
+            texts, lost = batch.column("text"), batch.column(STARTS)
+            long = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > 0
+            n_lines = np.where(long, pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy(zero_copy_only=False) + 1, 0).astype(np.int64)
+            n_removed, cut_texts = np.zeros(batch.num_rows, np.int64), []
+            hit = lost.is_valid().to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(hit).tolist():  # only texts that lose lines are taken apart
+                gone = covered(np.array(lost[k].as_py()), lines, int(n_lines[k]))
+                cut_texts.append("\n".join(x for x, g in zip(texts[k].as_py().split("\n"), gone.tolist(), strict=True) if not g))
+                n_removed[k] = int(gone.sum())
+            if cut_texts:
+                texts = pc.replace_with_mask(texts, pa.array(hit), pa.array(cut_texts, texts.type))
+            arrays = [texts if c == "text" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines), pa.array(n_removed)], names=[*columns, "n_lines", "n_removed"])
 
     bounded_batches(docs.sparkSession)
     return _keyed(docs.select(*columns)).join(later_windows(docs, lines), [ID, TEXT_HASH], "left").select(*columns, STARTS).mapInArrow(cut, schema)
