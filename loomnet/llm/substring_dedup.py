@@ -7,7 +7,8 @@ equal ones), which sends about a quarter of the positions and loses nothing.
 
 Spark's part: documents are dealt into groups of bounded size; each group sends each hash at most once (so a passage
 that a third of all documents share costs a row a group, not a row an occurrence), one shuffle by hash finds what
-repeats, and the answers go back to the groups.
+repeats, and the answers go back to the groups. Below the last rung 64 bits tell windows apart (a false match there only extends a window in vain);
+at the last rung, which decides, 96 bits do: two independent hashes of 64 and 32 bits.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from loomnet.llm.common import NULL_ID, covered, dealt, hash_words, ids_of, split_words, text_bytes, window_hashes, windows_inside
 
 #: What groups send of a hash: below the last rung whether two ids here have it; at the last the smallest id and how far the largest lies off.
-SENT, SENT_LAST = "h long, pid int, many boolean", "h long, pid int, lo long, span long"
+SENT, SENT_LAST = "h long, pid int, many boolean", "h long, pid int, lo long, span long, more int"
 
 
 def ladder(window: int, base: int) -> list[int]:
@@ -34,6 +35,10 @@ def ladder(window: int, base: int) -> list[int]:
     return rungs
 
 
+#: The multiplier of the second hash.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 class Group:
     """The words of one group of documents."""
 
@@ -59,14 +64,21 @@ class Group:
         at = np.flatnonzero(windows_inside(self.first, length, self.n))
         return at, window_hashes(self.hashes, length)[at] if len(at) else np.zeros(0, np.uint64)
 
-    def sent(self, at: np.ndarray, h: np.ndarray, pid: int, last: bool) -> pa.Table:
-        """Each hash once."""
-        owner = self.ids[self.doc[at]]
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    def more(self, at: np.ndarray, length: int) -> np.ndarray:
+        """32 further bits of the windows at some positions, from word hashes of their own."""
+        if not len(at):
+            return np.zeros(0, np.int32)
+        again = hash_words(self.words, int(SECOND >> np.uint64(32)))
+        return (window_hashes(again, length, SECOND)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def sent(self, at: np.ndarray, h: np.ndarray, pid: int, last: int = 0) -> pa.Table:
+        """Each hash once; with 32 further bits of it where ``last``, the window length, is given."""
+        owner, more = self.ids[self.doc[at]], self.more(at, last) if last else np.zeros(len(at), np.int32)
+        order = np.lexsort((owner, more, h))
+        h, more, owner = h[order], more[order], owner[order]
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1]))) if len(h) else np.zeros(0, np.int64)
         span = owner[np.append(new[1:], len(h)) - 1 if len(h) else new] - owner[new]
-        return pa.table({"h": h[new].view(np.int64), "pid": np.full(len(new), pid, np.int32)} | ({"lo": owner[new], "span": span} if last else {"many": span > 0}))
+        return pa.table({"h": h[new].view(np.int64), "pid": np.full(len(new), pid, np.int32)} | ({"lo": owner[new], "span": span, "more": more[new]} if last else {"many": span > 0}))
 
 
 def known(table: pa.Table) -> np.ndarray:
@@ -78,10 +90,14 @@ def among(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def repeated(sent: DataFrame, last: bool) -> DataFrame:
-    """What groups must know: hashes that two documents have; at the last rung, where a later id than the first has it, with that first id."""
+    """What groups must know: hashes that two documents have; at the last rung, where a later id than the first has it, with that first id.
+
+    A hash has one row a group, whatever the number of documents with it, and a window spills what it holds; a join with an aggregate in tables of
+    their own would let Spark split the rows of one hash, but writes all windows twice more."""
     by = W.partitionBy("h")
     if last:
-        return sent.withColumn("lowest", F.min("lo").over(by)).where(F.col("lo") + F.col("span") > F.col("lowest")).select("pid", "h", "lowest")
+        by = W.partitionBy("h", "more")
+        return sent.withColumn("lowest", F.min("lo").over(by)).where(F.col("lo") + F.col("span") > F.col("lowest")).select("pid", "h", "more", "lowest")
     return sent.withColumn("groups", F.count(F.lit(1)).over(by)).where("many or groups > 1").select("pid", "h")
 
 
@@ -99,7 +115,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, texts: boo
 
     def lowest(key, table):
         g = Group(table)
-        return g.sent(*g.thinned(rungs[0], rungs[1]), key[0].as_py(), last=False)
+        return g.sent(*g.thinned(rungs[0], rungs[1]), key[0].as_py())
 
     answers = repeated(groups.groupBy("pid").applyInArrow(lowest, SENT), last=False)
     for k in range(1, len(rungs)):
@@ -110,11 +126,17 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, texts: boo
         at, h = g.at(window)
         hit = np.zeros(len(at), bool)
         if answer.num_rows and len(at):
-            known_h, low = answer["h"].to_numpy().view(np.uint64), answer["lowest"].to_numpy()
-            order = np.argsort(known_h)
-            known_h, low = known_h[order], low[order]
-            k = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
-            hit = (known_h[k] == h) & (g.ids[g.doc[at]] > low[k])
+            known_h, known_more, low = answer["h"].to_numpy().view(np.uint64), answer["more"].to_numpy(), answer["lowest"].to_numpy()
+            maybe = np.flatnonzero(among(h, np.sort(known_h)))
+            more = g.more(at[maybe], window)
+            # pair windows with answers by both hashes: sort the two together, answers first
+            both_h, both_more = np.append(known_h, h[maybe]), np.append(known_more, more)
+            order = np.lexsort((np.arange(len(both_h)), both_more, both_h))
+            new = np.append(True, (both_h[order][1:] != both_h[order][:-1]) | (both_more[order][1:] != both_more[order][:-1]))
+            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # the first of each run of equals
+            window_, ok = order >= len(known_h), head < len(known_h)
+            found = maybe[order[window_ & ok] - len(known_h)]
+            hit[found] = g.ids[g.doc[at[found]]] > low[head[window_ & ok]]
         gone = covered(at[hit], window, g.n)
         sizes = np.diff(np.frombuffer(g.words.buffers()[1], np.int64))
         data = np.frombuffer(g.words.buffers()[2], np.uint8) if g.n else np.zeros(0, np.uint8)
@@ -153,6 +175,6 @@ def _climb(rungs: list[int], k: int):
             below = among(window_hashes(g.hashes, rungs[k - 1]), have)
             alive = below[at] & below[at + rungs[k] - rungs[k - 1]]
             at, h = at[alive], h[alive]
-        return g.sent(at, h, pid, last=k == len(rungs) - 1)
+        return g.sent(at, h, pid, rungs[k] if k == len(rungs) - 1 else 0)
 
     return climb
