@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from loomnet.llm.common import NULL_ID, after_letters, as_bytes, bounded_batches, ids_of, kinds_without, pieces, split_words, text_bytes
 from loomnet.llm.token_store import Memory, gather
 
-#: Most pieces and most words whose ids a Python worker remembers.
+#: Pieces, words and pairs that a Python worker remembers, in each of two generations.
 REMEMBER = 100_000
 #: A letter that ends a word is written this much higher, so that end marks need no symbol of their own.
 FINAL = 256
@@ -57,6 +57,8 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.space = regex.compile(r"\s+")
+        alphabet = "thequickbrownfoxjumpsoverthelazydogsdstllremve"
+        self.letters_together = all(self.pattern.findall(w) == [w] for w in (alphabet, *alphabet)) and not any(s.isalpha() for s in self.special)
         names = {t: i for t, i in model["vocab"].items() if t not in self.special}
         self.symbols = {symbols(t): i for t, i in names.items()}
         self.rank = {}
@@ -92,10 +94,13 @@ class Bpe:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
+    def ended(self, raw: str) -> str:
+        """A word's bytes as letters, the last one marked."""
+        return raw[:-1] + chr(ord(raw[-1]) + FINAL) if self.suffix else raw
+
     def compatible(self, a: str, b: str) -> bool:
         ok = self.fits.get((a, b))
         if ok is None:
-            self.fits.grow(1)
             ok = self.fits[a, b] = self.merged(a + b) == [a, b]
         return ok
 
@@ -136,13 +141,17 @@ class Bpe:
                 for word in self.pattern.findall(part):
                     ids = self.words.get(word)
                     if ids is None:
-                        raw = word.encode().decode("latin-1")
-                        if self.suffix:
-                            raw = raw[:-1] + chr(ord(raw[-1]) + FINAL)
-                        ids = self.words[word] = [self.symbols[s] for s in self.encode_word(raw)]
+                        raw = self.ended(word.encode().decode("latin-1"))
+                        ids = self.words[word] = array("I", [self.symbols[s] for s in self.encode_word(raw)])
                     out += ids
         return out
 
+    def encode_piece(self, piece: bytes) -> bytes:
+        """The ids of a piece, four bytes each. A piece of ASCII letters only is one word to the pattern, if it takes letters together."""
+        if self.letters_together and piece.isalpha():
+            return array("I", [self.symbols[s] for s in self.encode_word(self.ended(piece.lower().decode("latin-1")))]).tobytes()
+        return array("I", self.encode_text(piece.decode())).tobytes()
+
     def encode(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row (bytes and offsets as text_bytes() has them), and how many each has. Each different word is encoded once."""
         words, of = split_words(data, first, also=after_letters(data, self.kind))  # the pattern always ends a match there
@@ -152,10 +161,8 @@ class Bpe:
         different = as_bytes(coded.dictionary)
         each = list(map(self.known.get, different))
         new = [k for k, ids in enumerate(each) if ids is None]
-        self.known.grow(len(new))
-        self.words.grow(len(new))
         for k in new:
-            each[k] = self.known[different[k]] = array("I", self.encode_text(different[k].decode())).tobytes()
+            each[k] = self.known[different[k]] = self.encode_piece(different[k])
         ids, counts = gather(each, coded.indices.to_numpy(zero_copy_only=False))
         return ids, np.diff(np.append(0, np.cumsum(counts))[of])
 

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, after_letters, as_bytes, bounded_batches, group_count, ids_of, kinds_without, materialize, mix, pieces, shared_dir, text_bytes
+from loomnet.llm.common import NULL_ID, after_letters, as_bytes, bounded_batches, group_count, ids_of, kinds_without, materialize, mix, pieces, shared_path, text_bytes
 
 MAGIC = b"LOOMIDS1"
 BUCKET_KEYS = 200_000
 #: Most chunks whose ids a Python worker remembers.
-REMEMBER = 500_000
+REMEMBER = 250_000
 _ENCODERS: dict = {}
 
 
@@ -120,16 +120,25 @@ def look_up(index: bytes, doc_id: np.ndarray, nth: np.ndarray) -> dict[str, np.n
 # --- encoding ------------------------------------------------------------------
 
 
-class Memory(dict):
-    """A dict that starts afresh when it would outgrow a limit."""
+class Memory:
+    """What was computed last, in two generations of at most ``limit`` entries each: when the young one is full it becomes the old one, and what
+    is asked for again moves back to the young one, so frequent entries stay."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
+        self.limit, self.young, self.old = limit, {}, {}
 
-    def grow(self, n: int) -> None:
-        if len(self) + n > self.limit:
-            self.clear()
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self[key] = value
+        return value
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
 class ChunkEncoder:
@@ -155,8 +164,6 @@ class ChunkEncoder:
         different = as_bytes(coded.dictionary)
         each = list(map(self.known.get, different))
         new = [k for k, ids in enumerate(each) if ids is None]
-        if new:
-            self.known.grow(len(new))
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([different[k].decode() for k in part], add_special_tokens=False), strict=True):
@@ -211,7 +218,7 @@ def write_store(docs: DataFrame, path: str, uri: str | None = None, end_id: int
     the end id; a null doc_id comes last; rows with one id are told apart by nth, in the order of their texts."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    uri = uri or shared_dir(spark, "tokens")
+    uri = uri or shared_path(spark, "tokens")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = keyed.repartitionByRange(group_count(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
@@ -282,6 +289,15 @@ def read_back(uri: str, width: int, located: DataFrame, ids: bool = False) -> Da
     return located.groupBy("shard").applyInArrow(read, "doc_id long, nth int, shard int, offset long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
+def _running(totals: DataFrame, run: int = 1024) -> DataFrame:
+    """(shard, base): the ids of all shards before each, in two steps: runs of ``run`` shards are summed and placed, then the shards within each run."""
+    totals = totals.withColumn("run", F.floor(F.col("shard") / run))
+    runs = totals.groupBy("run").agg(F.sum("ids").alias("ids"))
+    placed = runs.select("run", (F.sum("ids").over(W.orderBy("run")) - F.col("ids")).alias("before"))  # a row for every ``run`` shards
+    within = totals.withColumn("upto", F.sum("ids").over(W.partitionBy("run").orderBy("shard")))
+    return within.join(placed, "run").select("shard", (F.col("before") + F.col("upto") - F.col("ids")).alias("base"))
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Write the store and read every document back through the index: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
@@ -291,6 +307,6 @@ def token_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     buckets = max(1, -(-directory.count() // BUCKET_KEYS))
     width = directory.agg(F.max("width")).first()[0] or 4
     totals = directory.groupBy("shard").agg(F.sum("length").alias("ids"))  # a row a shard
-    starts = materialize(totals.select("shard", (F.sum("ids").over(W.orderBy("shard")) - F.col("ids")).alias("base")), "starts")
+    starts = materialize(_running(totals), "starts")
     rows = read_back(uri, width, locate(spark.read.parquet(f"{uri}/directory").select("doc_id", "nth"), uri, buckets))
     return rows.join(starts, "shard").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
