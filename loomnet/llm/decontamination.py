@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID
+from loomnet.llm.common import NULL_ID, materialize
 
 #: What parts words once A-Z are lower case: every ASCII byte but digits and a-z.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,24 +35,26 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return each.groupBy("len", "words").agg(F.sort_array(F.collect_set(F.coalesce("item", F.lit("")))).alias("items")).select(F.xxhash64("words").alias("h"), "words", "len", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_rows: int = 1_000_000, broadcast_bytes: int = 200_000_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any benchmark window), n_items, items_sha256, contaminated, and the
     hit positions as ``hits`` (sorted array of word positions from 1).
 
     Null and empty texts have no words and no hits, and null or wordless benchmark items no windows; with an empty benchmark
     nothing is hit. A null item_id counts as an item with the empty name. A null doc_id is kept. Rows that agree in doc_id and text give
-    one row each, with the same values. The benchmark is broadcast only while it has at most ``broadcast_rows`` windows."""
-    table = benchmark_windows(benchmark, n).cache()
-    size = table.count()
-    lengths = sorted(r[0] for r in table.select("len").distinct().where(F.col("len") < n).collect())  # n - 1 values at most
-    side = (lambda df: F.broadcast(df)) if size <= broadcast_rows else (lambda df: df)
+    one row each, with the same values. The benchmark is broadcast only while it has at most ``broadcast_rows`` windows of
+    ``broadcast_bytes`` in all. Windows of fewer words than n come from items that short; all their lengths are probed in one further scan."""
+    table = materialize(benchmark_windows(benchmark, n), "benchmark")
+    held = F.sum(64 + F.length(F.array_join("words", " ")) + F.length(F.array_join("items", " ")) + 16 * (F.size("words") + F.size("items")))
+    size = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(held, F.lit(0)).alias("bytes"), F.sort_array(F.collect_set(F.when(F.col("len") < n, F.col("len")))).alias("lengths")).first()  # n - 1 lengths at most
+    side = (lambda df: F.broadcast(df)) if size["rows"] <= broadcast_rows and size["bytes"] <= broadcast_bytes else (lambda df: df)
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias(TEXT_HASH), normalised_words(F.col("text")).alias("w"))
 
-    def scan(length: int, outer: bool) -> DataFrame:
-        probe = words.select("doc_id", TEXT_HASH, "w", _windows(F.col("w"), length).alias("hs"))
-        probe = probe.select("doc_id", TEXT_HASH, F.size("w").alias("n_words"), "w", (F.posexplode_outer if outer else F.posexplode)("hs").alias("at", "wh"))
-        known = side(table.where(F.col("len") == length).drop("len"))
-        found = probe.join(known, (F.col("wh") == F.col("h")) & (F.slice("w", F.col("at") + 1, length) == F.col("words")), "left" if outer else "inner")
+    def scan(lengths: list[int], outer: bool) -> DataFrame:
+        probe = words.select("doc_id", TEXT_HASH, "w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _windows(F.col("w"), k).alias("hs")) for k in lengths])).alias("each"))
+        length = F.col("k")
+        probe = probe.select("doc_id", TEXT_HASH, F.size("w").alias("n_words"), "w", "each.k", (F.posexplode_outer if outer else F.posexplode)("each.hs").alias("at", "wh"))
+        known = side(table.where(F.col("len").isin(lengths)))
+        found = probe.join(known, (F.col("wh") == F.col("h")) & (length == F.col("len")) & (F.slice("w", F.col("at") + 1, length) == F.col("words")), "left" if outer else "inner")
         if outer:  # one row a document at least
             found = found.where(F.col("items").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
         return found.select(
@@ -60,9 +62,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
             F.when(F.col("items").isNotNull(), F.sequence(F.col("at") + 1, F.col("at") + length)).alias("hit"), "items",
         )
 
-    hits = scan(n, True)
-    for length in lengths:
-        hits = hits.unionByName(scan(length, False))
+    hits = scan([n], True)
+    if size["lengths"]:
+        hits = hits.unionByName(scan(list(size["lengths"]), False))
     merged = hits.groupBy("doc_id", TEXT_HASH).agg(
         F.count_if("head").alias("rows"),  # rows that agree in id and text
         F.max("n_words").cast("long").alias("n_words"),
