@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import sys
+import time
 import zlib
 
 import duckdb
@@ -160,6 +161,21 @@ def test_url_filters(spark):
     assert url_filters.url_filter(c.where("false"), e).count() == 0
 
 
+def test_long_urls(spark):
+    """A path of 50,000 steps and a host of 2,000 labels take no longer than others."""
+    log = spark.createDataFrame([("a", "x.example/p/q", "add", datetime.datetime(2024, 1, 1))], "list_name string, pattern string, action string, listed_at timestamp_ntz")
+    urls = ["http://x.example/p/q" + "/s" * 50_000, "http://x.example" + "/s" * 50_000, "http://" + "a." * 2000 + "x.example/p/q/", "http://x.example/p//q"]
+    c = spark.createDataFrame([(k, u, datetime.datetime(2024, 2, 1)) for k, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    start = time.time()
+    assert sorted(r.page_id for r in url_filters.url_filter(c, log).where("blocked").collect()) == [0, 2, 3]
+    assert time.time() - start < 60
+
+
+def test_running_totals(spark):
+    totals = spark.createDataFrame([(k, k + 1) for k in range(3000)], "shard int, ids long")
+    assert {(r.shard, r.base) for r in token_store._running(totals, 64).collect()} == {(k, k * (k + 1) // 2) for k in range(3000)}
+
+
 def fuzz():
     rng = random.Random(5)
     letters = "abcdefghijklmnopqrstuvwxyzABCÉéßİıΣσςΑΩ你好한😀🇩🪿́̈  　\u0085\x1c\x1f\x0b '’s\t\n\r .,!?0123½Ⅻ‍​-_=#<|>ﬁ"
