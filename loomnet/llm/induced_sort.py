@@ -18,6 +18,23 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def ragged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each begin up to its end, in a row."""
+    size = end - begin
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+def agreeing(symbols: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of ``size`` (one at least) symbols from p and from q agree before the first that doesn't, by comparing them."""
+    if not len(p):
+        return np.zeros(0, np.int64)
+    differ = symbols[ragged(p, p + size)] != symbols[ragged(q, q + size)]
+    begins = np.append(0, np.cumsum(size)[:-1])
+    place = np.where(differ, np.arange(len(differ)), len(differ))
+    return np.minimum(np.minimum.reduceat(place, begins) - begins, size)
+
+
 class PrefixHash:
     """Hashes of any stretches of one array of symbols, from running sums."""
 
@@ -86,8 +103,10 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     until = np.minimum(until, starts[shard[places] + 1] - 1)
     stops = np.zeros(n, np.int64)
     stops[places] = until + 1
-    hashed = PrefixHash(text).of(first, stops[first])
-    same = (hashed[1:] == hashed[:-1]) & ((stops[first] - first)[1:] == (stops[first] - first)[:-1]) & (shard[first][1:] == shard[first][:-1])
+    size = stops[first] - first
+    same = (size[1:] == size[:-1]) & (shard[first][1:] == shard[first][:-1])
+    maybe = np.flatnonzero(same)
+    same[maybe] = agreeing(text, first[maybe], first[maybe + 1], size[maybe]) == size[maybe]
     if not same.any():
         return induce(first)
     names = np.cumsum(np.append(0, ~same))
@@ -102,11 +121,11 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return induce(places[moved[lower[back]]])
 
 
-def common_prefixes(text: np.ndarray, starts: np.ndarray, array: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, starts: np.ndarray, array: np.ndarray, least: int, most: int) -> np.ndarray:
     """Permuted common prefixes: at each position, how much its suffix shares with the better of its two neighbours in the array, up to ``most``.
 
     In text order the common prefix with the suffix before falls by one from place to place, unless the letters to the
-    left differ; only at those places it is worked out."""
+    left differ; only at those places it is worked out: by bisection on hashes, and where ``least`` or more is found by comparing the symbols."""
     n = len(text)
     hashes = PrefixHash(text)
     first = np.zeros(n, bool)
@@ -127,6 +146,8 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, array: np.ndarray, mos
         mid = (low + high + 1) // 2
         same = hashes.of(p, p + mid) == hashes.of(q, q + mid)
         low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    long = np.flatnonzero(low >= least)  # what decides is compared, whatever the hashes say
+    low[long] = agreeing(text, p[long], q[long], low[long])
     known = np.zeros(n, np.int64)
     known[p] = low
     source = np.maximum.accumulate(np.where(led, 0, np.arange(n)))

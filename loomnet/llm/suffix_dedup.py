@@ -1,12 +1,15 @@
 """Suffix-array dedup: remove every byte of any long string that occurs more than once, in one document or in several.
 
 Suffix arrays need equal strings in one shard. Each window of ``length`` bytes has an anchor: the smallest hash among the
-short strings in it. Equal windows have equal anchors, so the windows of one anchor make a shard of their own,
-and a segment (the windows that share one anchor's place) is short. First only hashes travel: anchors that occur once are out, a
-segment with an identical twin is repeated as a whole. What is left is sorted by induction (induced_sort.py), and permuted common prefixes of ``length`` or
-more mark repeated windows. Anchors with more than ``crowd`` different segments, such as those at the rim of a passage
-that very many documents share, would make one huge shard; for them each window goes alone by its hash, spread over all tasks.
-"""
+short strings in it. Equal windows have equal anchors at equal places, so the windows of one anchor make a shard of their own, and a
+segment (the windows in a row that share one anchor's place) is short. First only hashes travel: anchors that occur once are out, and of
+segments that look alike two are sent, whatever their number. Suffix arrays, sorted by induction (induced_sort.py), and their permuted
+common prefixes alone decide which windows repeat: in shards of the different segments of an anchor, byte by byte, and in shards of two
+copies of one segment, eight bytes a symbol. A further copy shares the verdict of the two by a 128-bit digest; nothing goes that was not sorted.
+
+An anchor with more than ``most`` different segments, such as those at the rim of a passage that very many documents share, is split by
+further context: its windows are parted by how far left of the anchor they start, and all windows of a part share more bytes than the
+anchor, whose digest makes the shard. Parts are split again until a shard is small; a part of one window has one content."""
 
 from __future__ import annotations
 
@@ -18,16 +21,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import NULL_ID, covered, dealt, group_count, ids_of, materialize, text_bytes, window_hashes, windows_inside
-from loomnet.llm.induced_sort import common_prefixes, suffix_arrays
+from loomnet.llm.common import NULL_ID, covered, dealt, group_count, ids_of, materialize, pieces, text_bytes, windows_inside
+from loomnet.llm.induced_sort import common_prefixes, ragged, suffix_arrays
 
 #: Length of the short strings that anchors are chosen from.
 SHORT = 16
-#: Symbols that one pass of induced sorting takes.
-PASS = 1_000_000
-FULL, RUNS, ALONE, CROWDED = 0, 1, 2, 3
+#: Symbols that one pass of induced sorting takes, and bytes in a symbol for copies of one segment.
+PASS, WIDE = 1_000_000, 8
+#: Parts that the windows of a crowded anchor are split into at a time.
+PARTS = 8
+TWIN, MIXED, CROWDED = 0, 1, 2
 #: Bytes of text that are hashed at once; small enough for a processor's cache.
 BLOCK = 200_000
+#: A unit is a stretch of text whose windows share an anchor. (c1, c2) is its shard, (d1, d2) its digest; (h, k1, k2) the segment it belongs
+#: to, ``at`` its first window's place there, ``lead`` the anchor's place in it, ``answer`` whether its windows' repeats are asked for.
+UNIT = "slot int, kind int, c1 long, c2 long, d1 long, d2 long, h long, k1 long, k2 long, at int, lead int, lo int, hi int, answer boolean, payload binary"
+#: What sorting found: windows at .. at + count of a segment if runs is null, else those that runs lists.
+MARK = "kind int, c1 long, c2 long, d1 long, d2 long, h long, k1 long, k2 long, at int, count int, runs binary"
+SHARD, DIGEST, SEGMENT = ["c1", "c2"], ["c1", "c2", "d1", "d2"], ["h", "k1", "k2"]
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -41,20 +52,37 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def digests(texts, seeds) -> np.ndarray:
+    """128-bit digests as rows of two int64."""
+    raw = b"".join([xxhash.xxh3_128_digest(t, s) for t, s in zip(texts, seeds, strict=True)])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
 class Segments:
-    """The segments of a group of documents: runs of windows with one anchor each."""
+    """The segments of some documents: runs of windows with one anchor each."""
 
-    def __init__(self, table: pa.Table, length: int):
+    def __init__(self, table, length: int):
         self.ids = ids_of(table["doc_id"])
         self.data, self.first = text_bytes(table["text"])
-        self.length = length
-        self.view = self.data.tobytes()
+        self.length, self.view = length, self.data.tobytes()
         parts = [self._segments(a, b) for a, b in _stretches(self.first, BLOCK)]
         self.begin, self.count, anchor = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(3))
         self.lead = anchor - self.begin
-        view, hash_ = self.view, xxhash.xxh3_64_intdigest
-        self.h = np.fromiter((hash_(view[a : a + SHORT]) for a in anchor.tolist()), np.uint64, len(anchor))
-        self.digest = np.fromiter((hash_(view[b:e], d) for b, e, d in zip(self.begin.tolist(), (self.begin + self.count + length - 1).tolist(), self.lead.tolist(), strict=True)), np.uint64, len(anchor))
+        self.h = np.fromiter((xxhash.xxh3_64_intdigest(self.view[a : a + SHORT]) for a in anchor.tolist()), np.uint64, len(anchor)).view(np.int64)
+        self.k = digests(map(self.text, range(len(anchor))), self.lead.tolist())
+
+    def text(self, i: int) -> bytes:
+        b = int(self.begin[i])
+        return self.view[b : b + int(self.count[i]) + self.length - 1]
+
+    def find(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(row, segment) for every segment that a row of the table names by h, k1, k2; rows ascending."""
+        h, k1, k2 = (table[c].to_numpy() for c in SEGMENT)
+        order = np.argsort(self.k[:, 0], kind="stable")
+        low, high = (np.searchsorted(self.k[order, 0], k1, side) for side in ("left", "right"))
+        row, own = np.repeat(np.arange(len(k1)), high - low), order[ragged(low, high)]
+        same = (self.k[own, 1] == k2[row]) & (self.h[own] == h[row])
+        return row[same], own[same]
 
     def _segments(self, a: int, b: int):
         """begin, count and anchor of the segments of documents a to b."""
@@ -84,134 +112,91 @@ def _stretches(first: np.ndarray, size: int):
         a = b
 
 
-def window_ids(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of the windows that start at ``at`` (ascending), computed only where some start."""
-    out = np.zeros(len(at), np.uint64)
-    cuts = np.flatnonzero(np.append(True, np.diff(at) > length)) if len(at) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(at)).astype(np.int64), strict=True):
-        low = int(at[a])
-        out[a:b] = window_hashes(data[low : int(at[b - 1]) + length].astype(np.uint64) + np.uint64(1), length)[at[a:b] - low]
-    return out
+def _rows(schema: str, rows: list) -> pa.Table:
+    """An Arrow table of rows, by a schema of int, long, boolean and binary columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def _u64(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def _counted(each: DataFrame, most: int) -> DataFrame:
+    """Shards with more than one occurrence in all: their digests with how many occurrences (times) each has and how many digests (kinds) the shard."""
+    # a table of its own, so that the join is of two plain shuffles, whose hot keys Spark can split
+    shards = materialize(each.groupBy(*SHARD).agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1").drop("total"), "shards")
+    known = each.join(shards, SHARD).withColumn("twin", F.col("times") > 1)
+    known = known.withColumn("group", F.when(F.col("kinds") == 1, -1).when(F.col("kinds") <= most, MIXED).otherwise(CROWDED))
+    return materialize(known.where("twin or kinds > 1").select(*DIGEST, "twin", "group", "low", "high"), "digests")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, most: int = 128, texts: bool = False) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else; strings never cross documents.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_bytes. Null and empty texts and those
     shorter than ``length`` lose nothing. Rows are judged as given: identical rows are copies of each other and lose all
-    that is long enough, also when they share an id; a null doc_id is kept as null. An empty table gives none."""
-    groups = dealt(docs, mb=3)
-
-    def anchors(key, table):
-        s = Segments(table, length)
-        order = np.lexsort((s.digest, s.h))
-        h, d = s.h[order], s.digest[order]
-        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
-        return pa.table({"h": h[new].view(np.int64), "d": d[new].view(np.int64), "pid": np.full(len(new), key[0].as_py(), np.int32), "n": np.diff(np.append(new, len(h)))})
-
-    sent = materialize(groups.groupBy("pid").applyInArrow(anchors, "h long, d long, pid int, n long"), "anchors")
-    each = sent.groupBy("h", "d").agg(F.sum("n").alias("times"), F.min("pid").alias("by"))
-    # a table of its own, so that the join on h is of two plain shuffles, whose hot keys Spark can split
-    whole = materialize(each.groupBy("h").agg(F.sum("times").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1"), "repeated")
-    each = each.join(whole, "h").select("h", "d", "times", "by", "kinds")
-    answers = materialize(
-        sent.join(each, ["h", "d"]).select(
-            "pid", "h", "d", (F.col("times") > 1).alias("full"), ((F.col("kinds") > 1) & (F.col("by") == F.col("pid"))).alias("send"), (F.col("kinds") > crowd).alias("crowded")
-        ),
-        "answers",
-    )
+    that is long enough, also when they share an id; a null doc_id is kept as null. An empty table gives none. ``most`` bounds the segments
+    of a shard and has no say in what is found."""
+    rows = dealt(docs, mb=3)
     shards = group_count(docs, mb=3)
 
-    def segments(key, table, answer):
-        s, pid = Segments(table, length), key[0].as_py()
-        wanted = answer.filter(answer["send"]) if answer.num_rows else answer
-        out = {k: [] for k in ("shard", "pid", "kind", "h", "d", "n", "lead", "payload")}
-        if wanted.num_rows and len(s.h):
-            where = {k: i for i, k in enumerate(zip(s.h.tolist(), s.digest.tolist(), strict=True))}
-            alone = []
-            for h, d, full, crowded in zip(_u64(wanted["h"]).tolist(), _u64(wanted["d"]).tolist(), wanted["full"].to_pylist(), wanted["crowded"].to_pylist(), strict=True):
-                i = where[h, d]
-                b, c = int(s.begin[i]), int(s.count[i])
-                if crowded:
-                    alone.append((b, c, 1 + full))
-                    continue
-                for k, v in zip(out, (h % shards, pid, RUNS, h, d, 2 if full else 1, int(s.lead[i]), s.view[b : b + c + length - 1]), strict=True):
-                    out[k].append(v)
-            if alone:
-                alone.sort()
-                at = np.concatenate([np.arange(b, b + c) for b, c, _ in alone])
-                w = np.sort(np.repeat(window_ids(s.data, at, length), np.repeat([t for _, _, t in alone], [c for _, c, _ in alone])))
-                w = w[np.append(True, w[1:] != w[:-1]) | np.append([True, True], w[2:] != w[:-2])[: len(w)]]  # each twice at most
-                to = (w % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                w, to = w[order], to[order]
-                cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-                for a, b in zip(cuts, np.append(cuts[1:], len(w)), strict=True):
-                    for k, v in zip(out, (int(to[a]), pid, ALONE, 0, 0, 1, 0, w[a:b].tobytes()), strict=True):
-                        out[k].append(v)
-        signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "pid": pa.array(out["pid"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "h": signed(out["h"]), "d": signed(out["d"]), "n": pa.array(out["n"], pa.int32()), "lead": pa.array(out["lead"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
+    def anchors(batches):
+        for batch in pieces(batches, "text", 3_000_000):
+            s = Segments(batch, length)
+            pid = batch.column("pid").to_numpy()[np.searchsorted(s.first, s.begin, side="right") - 1]
+            order = np.lexsort((pid, s.k[:, 1], s.k[:, 0], s.h))
+            columns = [s.h[order], s.k[order, 0], s.k[order, 1], pid[order]]
+            new = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(order) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[new]) for c in columns), pa.array(np.diff(np.append(new, len(order))))], names=[*SEGMENT, "pid", "n"])
+
+    sent = materialize(rows.mapInArrow(anchors, "h long, k1 long, k2 long, pid int, n long"), "anchors")
+    each = sent.groupBy(*SEGMENT).agg(F.sum("n").alias("times"), F.min("pid").alias("low"), F.max("pid").alias("high"))
+    known = _counted(each.select(F.col("h").alias("c1"), F.lit(0).cast("long").alias("c2"), F.col("k1").alias("d1"), F.col("k2").alias("d2"), "times", "low", "high"), most)
+    asked = known.select(
+        F.explode(F.when(F.col("twin") & (F.col("low") != F.col("high")), F.array("low", "high")).otherwise(F.array("low"))).alias("pid"),
+        F.col("c1").alias("h"), F.col("d1").alias("k1"), F.col("d2").alias("k2"), "twin", "group", "low", "high",
+    )
+    asked = asked.select("pid", *SEGMENT, F.when(F.col("twin"), F.when(F.col("low") == F.col("high"), 2).otherwise(1)).otherwise(0).alias("copies"), F.when(F.col("pid") == F.col("low"), F.col("group")).otherwise(-1).alias("group"), (~F.col("twin")).alias("answer"))
+    groups = rows.groupBy("pid")
+
+    def units(crowded: bool):
+        def emit(key, table, ask):
+            s, out = Segments(table, length), []
+            if ask.num_rows and len(s.h):
+                row, own = s.find(ask)
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+                last = np.append(first[1:], len(row)) - 1
+                copies, group, answer = (ask[c].to_numpy(zero_copy_only=False) for c in ("copies", "group", "answer"))
+                for r, a, b in zip(row[first].tolist(), own[first].tolist(), own[last].tolist() if len(row) else [], strict=True):
+                    h, k1, k2 = int(s.h[a]), int(s.k[a, 0]), int(s.k[a, 1])
+                    kinds = [(group[r], h, a)] if crowded else [(MIXED, h, a)] * int(group[r] == MIXED) + [(TWIN, k1, a)] * int(copies[r] > 0) + [(TWIN, k1, b)] * int(copies[r] > 1)
+                    out += [(to % shards, kind, h, 0, k1, k2, h, k1, k2, 0, int(s.lead[i]), 0, length - SHORT + 1, bool(answer[r]), s.text(i)) for kind, to, i in kinds]
+            return _rows(UNIT, out)
+
+        return emit
 
     def sort_shard(key, table):
-        kinds = table["kind"].to_numpy()
-        pids, h, d, times, lead = table["pid"].to_numpy(), _u64(table["h"]), _u64(table["d"]), table["n"].to_numpy(), table["lead"].to_numpy()
-        payload = table["payload"].combine_chunks()
-        found = [], [], [], [], []
-
-        def answer(pid, kind, h, d, runs):
-            for x, v in zip(found, (pid, kind, h, d, runs), strict=True):
-                x.append(v)
-
-        rows = np.flatnonzero(kinds == RUNS)
-        for chunk in _passes(_shards(rows, h, lead, payload, length)):
-            _mark(chunk, times, length, lambda i, starts: answer(int(pids[i]), RUNS, int(h[i]), int(d[i]), starts.astype(np.int32).tobytes()))
-        rows = np.flatnonzero(kinds == ALONE)
-        if len(rows):
-            each = [np.frombuffer(payload[int(i)].as_py(), np.uint64) for i in rows]
-            values, counts = np.unique(np.concatenate(each), return_counts=True)
-            twice = values[counts > 1]
-            for i, w in zip(rows, each, strict=True):
-                if len(hit := np.intersect1d(w, twice)):
-                    answer(int(pids[i]), ALONE, 0, 0, hit.tobytes())
-        signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return pa.table({"pid": pa.array(found[0], pa.int32()), "kind": pa.array(found[1], pa.int32()), "h": signed(found[2]), "d": signed(found[3]), "runs": pa.array(found[4], pa.binary())})
-
-    sorted_ = (
-        groups.groupBy("pid")
-        .cogroup(answers.groupBy("pid"))
-        .applyInArrow(segments, "shard int, pid int, kind int, h long, d long, n int, lead int, payload binary")
-        .groupBy("shard")
-        .applyInArrow(sort_shard, "pid int, kind int, h long, d long, runs binary")
-    )
-    full = answers.where("full or (crowded and send)").select("pid", F.when(F.col("full"), FULL).otherwise(CROWDED).alias("kind"), "h", "d", F.lit(None).cast("binary").alias("runs"))
+        return _rows(MARK, list(_sorted(table, length)))
+
+    sorted_ = groups.cogroup(asked.where(f"copies > 0 or `group` = {MIXED}").groupBy("pid")).applyInArrow(units(False), UNIT).groupBy("slot").applyInArrow(sort_shard, MARK)
+    marks = sorted_.select(*SEGMENT, "at", "count", "runs")
+    crowded = asked.where(f"`group` = {CROWDED}")
+    if crowded.limit(1).count():
+        for found in _split(groups.cogroup(crowded.groupBy("pid")).applyInArrow(units(True), UNIT), length, most, shards, sort_shard):
+            marks = marks.unionByName(found)
+    answers = sent.select(*SEGMENT, "pid").join(marks, SEGMENT)
 
     def cut(key, table, answer):
         s = Segments(table, length)
         n = len(s.data)
-        hits = []
+        hits = [np.zeros(0, np.int64)]
         if answer.num_rows and len(s.h):
-            kinds, h, d = answer["kind"].to_numpy(), _u64(answer["h"]), _u64(answer["d"])
-            repeated = set(zip(h[kinds == FULL].tolist(), d[kinds == FULL].tolist(), strict=True))
-            runs = {(int(h[i]), int(d[i])): np.frombuffer(answer["runs"][int(i)].as_py(), np.int32) for i in np.flatnonzero(kinds == RUNS)}
-            crowded = set(zip(h[kinds == CROWDED].tolist(), d[kinds == CROWDED].tolist(), strict=True))
-            at = []
-            for i, pair in enumerate(zip(s.h.tolist(), s.digest.tolist(), strict=True)):
-                if pair in crowded:
-                    at.append(np.arange(s.begin[i], s.begin[i] + s.count[i]))
-                elif pair in repeated:
-                    hits.append(np.arange(s.begin[i], s.begin[i] + s.count[i]))
-                elif pair in runs:
-                    hits.append(s.begin[i] + runs[pair])
-            alone = [np.frombuffer(answer["runs"][int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == ALONE)]
-            if alone and at:
-                at = np.concatenate(at)
-                hits.append(at[np.isin(window_ids(s.data, at, length), np.concatenate(alone))])
-        gone = covered(np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64), length, n)
+            row, own = s.find(answer)
+            at, count, runs = answer["at"].to_numpy(), answer["count"].to_numpy(), answer["runs"].combine_chunks()
+            whole = ~runs.is_valid().to_numpy(zero_copy_only=False)[row]
+            begin = s.begin[own[whole]] + at[row[whole]]
+            hits.append(ragged(begin, begin + count[row[whole]]))
+            hits += [s.begin[i] + np.frombuffer(runs[r].as_buffer(), np.int32) for r, i in zip(row[~whole].tolist(), own[~whole].tolist(), strict=True)]
+        gone = covered(np.unique(np.concatenate(hits)), length, n)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         begins = s.first[:-1][s.first[:-1] < n]
@@ -223,44 +208,134 @@ def suffix_dedup(docs: DataFrame, length: int = 400, crowd: int = 8, texts: bool
         out = {"doc_id": pa.array(s.ids, mask=s.ids == NULL_ID), "n_bytes": np.diff(s.first), "n_removed": np.diff(upto), "n_spans": np.diff(spans), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return pa.table(out | ({"kept_bytes": pa.array(kept, pa.binary())} if texts else {}))
 
-    return groups.groupBy("pid").cogroup(full.unionByName(sorted_).groupBy("pid")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts)
-
-
-def _shards(rows: np.ndarray, h: np.ndarray, lead: np.ndarray, payload, length: int):
-    """For each anchor its segments as (row, offset, bytes), trimmed: a repeated window lies in what another segment of the anchor agrees with
-    on both sides of it, so the rest can't matter, nor can a segment with less than ``length`` bytes of that."""
-    if not len(rows):
-        return
-    rows = rows[np.argsort(h[rows], kind="stable")]
-    cuts = np.flatnonzero(np.append(True, h[rows][1:] != h[rows][:-1]))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
-        own = rows[a:b].tolist()
-        text = [np.frombuffer(payload[i].as_buffer(), np.uint8) for i in own]
-        at = [int(lead[i]) for i in own]
-        left, right = [0] * len(own), [0] * len(own)
-        for j in range(1, len(own)):
-            for k in range(j):
-                m, n = min(at[j], at[k]), min(len(text[j]) - at[j], len(text[k]) - at[k])
-                differ = text[j][at[j] - m : at[j]][::-1] != text[k][at[k] - m : at[k]][::-1]
-                x = int(differ.argmax()) if m else 0
-                x = x if m and differ[x] else m
-                differ = text[j][at[j] : at[j] + n] != text[k][at[k] : at[k] + n]
-                y = int(differ.argmax()) if n else 0
-                y = y if n and differ[y] else n
-                if x + y >= length:
-                    for s in (j, k):
-                        left[s], right[s] = max(left[s], x), max(right[s], y)
-        kept = [(i, p - x, t[p - x : p + y]) for i, p, t, x, y in zip(own, at, text, left, right, strict=True) if x + y >= length]
+    return groups.cogroup(answers.groupBy("pid")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts)
+
+
+def _parts(at: int, lead: int, lo: int, hi: int, payload: bytes, length: int):
+    """The parts of a unit: (lo, hi, first window, windows, lead, shared bytes). Windows that start lo .. hi - 1 bytes left of the anchor are parted by that."""
+    windows, step = len(payload) - length + 1, -(-(hi - lo) // PARTS)
+    for low in range(lo, hi, step):
+        high = min(low + step, hi)
+        a, b = max(0, lead - high + 1), min(windows, lead - low + 1)
+        if a < b:
+            yield low, high, a, b - a, lead - a, payload[lead - low : lead - high + 1 + length]
+
+
+def _split(crowded: DataFrame, length: int, most: int, shards: int, sort_shard) -> list[DataFrame]:
+    """The marks of crowded anchors. Every round splits the units of crowded shards and sorts the shards that are small by then; a part
+    of one window is never crowded, so there are as many rounds as it takes to come from all windows of a segment to one, a factor PARTS at a time."""
+    own = [*SEGMENT, "at", "lead", "lo", "hi", "answer", "payload"]
+    numbered = lambda df: materialize(df.select(F.monotonically_increasing_id().alias("uid"), *own), "crowded")
+    units, found = numbered(crowded), []
+
+    def children(batches):
+        for batch in pieces(batches, "payload"):
+            out, texts, seeds, shared, lows = [], [], [], [], []
+            for r in batch.to_pylist():
+                for low, high, a, count, lead, common in _parts(*(r[c] for c in ("at", "lead", "lo", "hi", "payload")), length):
+                    out.append((r["uid"], *(r[c] for c in SEGMENT), r["at"] + a, count, r["answer"], low))
+                    texts.append(r["payload"][a : a + count + length - 1])
+                    seeds.append(lead)
+                    shared.append(common)
+                    lows.append(low)
+            c, d = digests(shared, lows), digests(texts, seeds)
+            table = _rows("uid long, h long, k1 long, k2 long, at int, count int, answer boolean, lo int", out)
+            for name, column in (("c1", c[:, 0]), ("c2", c[:, 1]), ("d1", d[:, 0]), ("d2", d[:, 1])):
+                table = table.append_column(name, pa.array(column))
+            yield from table.to_batches()
+
+    def cut(batches):
+        for batch in pieces(batches, "payload"):
+            out = []
+            for r in batch.to_pylist():
+                wanted = {w["lo"]: w for w in r["wanted"]}
+                for low, high, a, count, lead, _ in _parts(*(r[c] for c in ("at", "lead", "lo", "hi", "payload")), length):
+                    if low in wanted:
+                        w = wanted[low]
+                        for kind, to in [(TWIN, w["d1"])] * w["copy"] + [(w["group"], w["c1"])] * (w["group"] >= 0):
+                            out.append((to % shards, kind, *(w[c] for c in DIGEST), *(r[c] for c in SEGMENT), r["at"] + a, lead, low, high, r["answer"] and not w["twin"], r["payload"][a : a + count + length - 1]))
+            yield from _rows(UNIT, out).to_batches()
+
+    while True:
+        small = materialize(units.mapInArrow(children, "uid long, h long, k1 long, k2 long, at int, count int, answer boolean, lo int, c1 long, c2 long, d1 long, d2 long"), "parts")
+        known = _counted(small.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("times"), F.min("uid").alias("low"), F.max("uid").alias("high")), most)
+        alive = small.join(known, DIGEST)
+        first, ends = F.col("uid") == F.col("low"), (F.col("uid") == F.col("low")) | (F.col("uid") == F.col("high"))
+        wanted = alive.select("uid", "lo", *DIGEST, "twin", (F.col("twin") & ends).cast("int").alias("copy"), F.when(first, F.col("group")).otherwise(-1).alias("group")).where("copy > 0 or `group` >= 0")
+        wanted = wanted.groupBy("uid").agg(F.collect_list(F.struct("lo", *DIGEST, "twin", "copy", "group")).alias("wanted"))  # PARTS at most
+        parts = materialize(units.join(wanted, "uid").select("uid", *own, "wanted").mapInArrow(cut, UNIT), "units")
+        marks = materialize(parts.where(F.col("kind") != CROWDED).groupBy("slot").applyInArrow(sort_shard, MARK), "marks")
+        whole = marks.where(F.col("kind") == TWIN).select(*DIGEST).distinct()
+        found.append(alive.where("answer").join(whole, DIGEST).select(*SEGMENT, "at", "count", F.lit(None).cast("binary").alias("runs")))
+        found.append(marks.where(F.col("kind") == MIXED).select(*SEGMENT, "at", "count", "runs"))
+        units = numbered(parts.where(F.col("kind") == CROWDED))
+        if not units.limit(1).count():
+            return found
+
+
+# --- inside a shard ----------------------------------------------------------
+
+
+def _sorted(table: pa.Table, length: int):
+    """The rows of MARK for the units of a slot."""
+    names = [*DIGEST, *SEGMENT, "at", "lead", "answer"]
+    columns = {c: table[c].to_pylist() for c in names}
+    payload, kinds = table["payload"].combine_chunks(), table["kind"].to_numpy()
+    key = [list(zip(*(columns[c] for c in by), strict=True)) for by in (DIGEST, SHARD)]
+    mark = lambda kind, i, at, count, runs: (kind, *(columns[c][i] for c in (*DIGEST, *SEGMENT)), at, count, runs)
+
+    twins: dict = {}
+    for i in np.flatnonzero(kinds == TWIN).tolist():
+        twins.setdefault(key[0][i], []).append(i)
+    pairs = [v[:2] for v in twins.values() if len(v) > 1]
+    for some in _passes(((pair, [payload[i].as_py() for i in pair]) for pair in pairs), WIDE):
+        for pair, text, same in _wide(some, length):
+            if same:
+                yield mark(TWIN, pair[0], 0, len(text) - length + 1, None)
+
+    mixed: dict = {}
+    for i in np.flatnonzero(kinds == MIXED).tolist():
+        mixed.setdefault(key[1][i], []).append(i)
+    for some in _passes(_trimmed(mixed.values(), columns["lead"], payload, length), 1):
+        for i, starts in _narrow(some, length):
+            if columns["answer"][i]:
+                yield mark(MIXED, i, 0, 0, (starts + columns["at"][i]).astype(np.int32).tobytes())
+
+
+def _agree(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def _reach(texts: list[bytes]) -> list[int]:
+    """How much of each text some other one agrees with from the start: with a neighbour in sorted order."""
+    order, out = sorted(range(len(texts)), key=texts.__getitem__), [0] * len(texts)
+    for a, b in zip(order, order[1:], strict=False):
+        n = _agree(texts[a], texts[b])
+        out[a], out[b] = max(out[a], n), max(out[b], n)
+    return out
+
+
+def _trimmed(shards, lead: list[int], payload: pa.BinaryArray, length: int):
+    """For each shard its units as (rows and offsets, texts), cut down to what others agree with on either side of the anchor: a repeated window
+    lies within, so the rest can't matter, nor can a unit with less than ``length`` bytes of that."""
+    for rows in shards:
+        texts = [payload[i].as_py() for i in rows]
+        right = _reach([t[lead[i] :] for i, t in zip(rows, texts, strict=True)])
+        left = _reach([t[: lead[i]][::-1] for i, t in zip(rows, texts, strict=True)])
+        kept = [(i, lead[i] - x, t[lead[i] - x : lead[i] + y]) for i, t, x, y in zip(rows, texts, left, right, strict=True) if x + y >= length]
         if len(kept) > 1:
-            yield kept
+            yield [(i, offset) for i, offset, _ in kept], [t for _, _, t in kept]
 
 
-def _passes(shards):
+def _passes(shards, wide: int):
     """Lists of shards, longest first, about PASS symbols in a list."""
-    sized = sorted(((sum(len(t) + 1 for _, _, t in s) + 1, k, s) for k, s in enumerate(shards)), reverse=True)
+    sized = sorted(((sum(-(-len(t) // wide) + 1 for t in texts) + 1, k, (what, texts)) for k, (what, texts) in enumerate(shards)), reverse=True)
     out, total = [], 0
     for size, _, shard in sized:
-        out.append((size, shard))
+        out.append((size, *shard))
         total += size
         if total >= PASS:
             yield out
@@ -269,19 +344,49 @@ def _passes(shards):
         yield out
 
 
-def _mark(shards, times: np.ndarray, length: int, answer) -> None:
-    """Sort the shards and tell for each segment that occurs once where its repeated windows start."""
-    starts = np.append(0, np.cumsum([size for size, _ in shards]))
-    text = np.zeros(starts[-1], np.int64)  # 0 ends a shard, 1 a segment
-    bounds = []
-    for at, (_, shard) in zip(starts.tolist(), shards, strict=False):
-        for i, offset, t in shard:
-            text[at : at + len(t)] = t
-            text[at : at + len(t)] += 2
-            text[at + len(t)] = 1
-            bounds.append((i, offset, at, at + len(t)))
-            at += len(t) + 1
-    shared = common_prefixes(text, starts, suffix_arrays(text, starts), length)
-    for i, offset, a, b in bounds:
-        if times[i] == 1 and len(hit := np.flatnonzero(shared[a : b - length + 1] >= length)):
-            answer(i, hit + offset)
+def _prefixes(some: list, wide: int, least: int, most: int):
+    """Sort the shards of a pass; (shard, unit, begin, end) of every unit in the text and the permuted common prefixes, in symbols."""
+    starts = np.append(0, np.cumsum([size for size, _, _ in some]))
+    text, bounds = np.zeros(starts[-1], np.int64), []  # 0 ends a shard, 1 a unit
+    letters = np.zeros(starts[-1], np.uint64)
+    for k, (at, (_, _, texts)) in enumerate(zip(starts.tolist(), some, strict=False)):
+        for u, t in enumerate(texts):
+            n = -(-len(t) // wide)
+            letters[at : at + n] = np.frombuffer(t.ljust(n * wide, b"\0"), np.uint64 if wide == 8 else np.uint8)
+            text[at : at + n] = 2
+            text[at + n] = 1
+            bounds.append((k, u, at, at + n))
+            at += n + 1
+    if wide == 1:
+        text += letters.astype(np.int64)
+    else:  # number the symbols of each shard
+        inside = np.flatnonzero(text == 2)
+        shard = np.searchsorted(starts, inside, side="right")
+        order = np.lexsort((letters[inside], shard))
+        s, w = shard[order], letters[inside][order]
+        fresh = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
+        number = np.cumsum(np.append(0, (w[1:] != w[:-1]) | fresh[1:])) if len(s) else np.zeros(0, np.int64)
+        text[inside[order]] = 2 + number - number[np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))]
+    return bounds, common_prefixes(text, starts, suffix_arrays(text, starts), least, most)
+
+
+def _wide(some: list, length: int):
+    """(rows, text, whether all its windows repeat) for pairs that should be copies. Copies agree in step, so every WIDE bytes a suffix
+    is enough: what a suffix shares with its neighbour, the places up to the next one share but for the bytes between."""
+    bounds, shared = _prefixes(some, WIDE, length // WIDE, length // WIDE + 2)
+    for k, u, a, _ in bounds:
+        if u == 0:
+            _, pair, (text, other) = some[k]
+            p = np.arange(max(0, len(text) - length + 1))
+            need = (p % WIDE + length + WIDE - 1) // WIDE
+            yield pair, text, len(text) == len(other) and bool((shared[a + p // WIDE] >= need).all())
+
+
+def _narrow(some: list, length: int):
+    """(row, places of repeated windows) for the units of shards of different units."""
+    bounds, shared = _prefixes(some, 1, length, length)
+    for k, u, a, b in bounds:
+        i, offset = some[k][1][u]
+        hit = np.flatnonzero(shared[a : b - length + 1] >= length)
+        if len(hit):
+            yield i, hit + offset
