@@ -37,12 +37,13 @@ def substring_dedup(docs, n=13):
 
 
 def suffix_dedup(docs, n=400):
-    seen = Counter(b[k : k + n] for _, t in docs for b in [(t or "").encode()] for k in range(len(b) - n + 1))
+    digest = lambda w: hashlib.blake2b(w, digest_size=16).digest()
+    seen = Counter(digest(b[k : k + n]) for _, t in docs for b in [(t or "").encode()] for k in range(len(b) - n + 1))
     out = []
     for i, t in docs:
         b, gone = (t or "").encode(), set()
         for k in range(len(b) - n + 1):
-            if seen[b[k : k + n]] > 1:
+            if seen[digest(b[k : k + n])] > 1:
                 gone.update(range(k, k + n))
         spans = sum(k - 1 not in gone for k in gone)
         out.append((i, len(b), len(gone), spans, sha(bytes(x for k, x in enumerate(b) if k not in gone))))

@@ -75,12 +75,32 @@ def test_substring_ladder(spark):
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want(brute.substring_dedup(DOCS, 50))
 
 
-@pytest.mark.parametrize("docs, length, crowd", [(DOCS, 60, 8), (DOCS, 60, 2), (REPEATED, 400, 8), ([], 400, 8)])
-def test_suffix_dedup(spark, docs, length, crowd):
-    out = suffix_dedup.suffix_dedup(frame(spark, docs), length=length, crowd=crowd)
+@pytest.mark.parametrize("docs, length, most", [(DOCS, 60, 128), (DOCS, 60, 1), (DOCS, 60, 3), (REPEATED, 400, 128), ([], 400, 128)])
+def test_suffix_dedup(spark, docs, length, most):
+    out = suffix_dedup.suffix_dedup(frame(spark, docs), length=length, most=most)
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(docs, length))
 
 
+def test_suffix_arrays_decide():
+    """Digests that agree by mistake mark nothing, copies and shared windows are marked by common prefixes."""
+    rng = random.Random(3)
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    a, b, core = text(703), text(703), text(420)
+    c, d = text(5) + core + text(9), text(50) + core + text(1)
+    unit = lambda kind, shard, digest, h, lead, payload: (0, kind, shard, 0, digest, digest, h, h, h, 0, lead, 0, 385, True, payload)
+    twin, mixed = suffix_dedup.TWIN, suffix_dedup.MIXED
+    rows = [unit(twin, 1, 1, 1, 300, a), unit(twin, 1, 1, 1, 300, b), unit(twin, 2, 2, 2, 300, a), unit(twin, 2, 2, 2, 300, a), unit(mixed, 3, 3, 3, 5 + 200, c), unit(mixed, 3, 4, 4, 50 + 200, d), unit(mixed, 4, 5, 5, 300, a), unit(mixed, 4, 6, 6, 300, b)]
+    found = [(r[0], r[5], r[8], r[9], np.frombuffer(r[10], np.int32).tolist() if r[10] else None) for r in suffix_dedup._sorted(suffix_dedup._rows(suffix_dedup.UNIT, rows), 400)]
+    assert sorted(found, key=str) == [(twin, 2, 0, 304, None), (mixed, 3, 0, 0, list(range(5, 26))), (mixed, 4, 0, 0, list(range(50, 71)))]
+
+
+def test_suffix_query_by_brute_force(spark):
+    """The registered query over all documents of sf0.01, by digests of every window."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    out = queries.op9_suffix_array_dedup(spark, "/root/testdata/sf0.01")
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want(brute.suffix_dedup(docs, 400))
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(0)
     for trial in range(40):
@@ -90,7 +110,7 @@ def test_induced_sorting():
         starts = np.append(0, np.cumsum([len(s) + 1 for s in shards]))
         text = np.concatenate([s + [0] for s in shards])
         array = induced_sort.suffix_arrays(text, starts)
-        shared = induced_sort.common_prefixes(text, starts, array, 10)
+        shared = induced_sort.common_prefixes(text, starts, array, 3, 10)
         for a, s in zip(starts, shards, strict=False):
             s = s + [0]
             order = sorted(range(len(s)), key=lambda i: s[i:])
