@@ -1,15 +1,20 @@
 """N-gram Jaccard self-join by chosen paths.
 
-Texts become sets of hashed five-word shingles; equal sets make one class, which takes part once. In every run each class walks
-down one path of sampled tokens (the shingle that a hash function of the run and the level ranks least): classes that
-chose the same path so far share a bucket. Buckets of more than ``leaf`` classes are split on the next token, small ones
-are compared in full. Runs are repeated until a pair at the threshold is missed with a probability below 1 - recall, also
-if all its buckets were split to the last level. A bucket that is still large then is dealt into blocks, and every pair of
-blocks is compared by itself.
-
-Buckets compare sketches, and send a spanning forest of the likely pairs. What hangs together is then compared exactly: the sets of
-each connected part are sent once (or block by block, if it is large), all its pairs are counted in the tasks, and again only
-link counts and a spanning forest leave them. So a group of copies makes rows in proportion to its size, and no link is lost."""
+Texts become sets of hashed five-word shingles; equal sets make one class, which takes part once. In every run all classes start in one
+bucket. A bucket samples one or two tokens from each of its sets - 1 / threshold of them on average - as the shingles that hash functions of the run,
+the level and the branch rank least, and sends the set down a path for each: sets that chose the same token share the next bucket. Buckets of
+more than ``leaf`` classes are split again, small ones are compared in full. Runs are repeated until a pair at the threshold is missed with a
+probability below 1 - recall, also if all its buckets were split to the last level.
+
+Comparing a bucket takes sketches, every pair of it: they are cheap to send to each of a set's buckets, and miss a pair at the threshold with a
+probability of about a millionth. A bucket that is large at the last level holds sets that are much alike; there all are compared with one of
+them, and only those that are far from it with all others, block by block. Either way only a spanning forest of the likely pairs leaves.
+
+What hangs together is then compared exactly, on the sets themselves. Parts of up to ``BLOCK`` sets are compared pair by pair. In larger parts each
+set is written as its difference from one of them: of weight w for every token missing and 1 - w for every token added. Two sets whose
+weights together stay below a bound that follows from the size of that one set are linked whatever the differences are; how many such partners a set has is a rank among weights. Only sets
+of more than half that weight are compared with others, block by block, by their (short) differences. So a group of copies or near copies
+makes rows in proportion to its size, links are counted, not listed, and none is lost."""
 
 from __future__ import annotations
 
@@ -19,18 +24,37 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomnet.llm.common import bounded_batches, hash_words, materialize, mix, pieces, split_words, text_bytes, window_hashes
+from loomnet.llm.common import bounded_batches, group_count, hash_words, materialize, mix, pieces, split_words, text_bytes, window_hashes
 
 SKETCH = 64  # coordinates of a sketch, two bytes each
 LEVELS = 3
-BLOCK = 512
+BLOCK = 128
+#: Weights of differences are whole numbers of this many to a token; what rounding may cost is SLACK of them.
+UNITS, SLACK = 1_000_000, 3
+
+
+def branches(threshold: float) -> tuple[int, float]:
+    """How many tokens every bucket samples, and the share of buckets that sample one more: 1 / threshold on average."""
+    each = math.floor(1 / threshold + 1e-9)
+    return each, max(0.0, 1 / threshold - each)
+
+
+def survival(threshold: float, levels: int = LEVELS) -> float:
+    """The probability that a pair at the threshold still shares a bucket after so many levels."""
+    (each, share), alive = branches(threshold), 1.0
+    for _ in range(levels):
+        apart = 1 - threshold * alive
+        alive = (1 - share) * (1 - apart**each) + share * (1 - apart ** (each + 1))
+    return alive
 
 
 def run_count(threshold: float, recall: float, levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold was together at the last level with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels)))
+    alive = survival(threshold, levels)
+    return 1 if alive >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - alive)))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -62,17 +86,17 @@ def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def signatures(docs: DataFrame, n: int, runs: int) -> DataFrame:
-    """doc_id, size, class key (k1, k2), path tokens and sketch of every document."""
+def signatures(docs: DataFrame, n: int, tokens: int) -> DataFrame:
+    """doc_id, size, class key (k1, k2), sampled tokens (paths) and sketch of every document."""
     bounded_batches(docs.sparkSession)
-    seeds = _seeds(runs * LEVELS + SKETCH)
+    seeds = _seeds(tokens + SKETCH)
 
     def sign(batches):
         for batch in pieces(batches, "text", 2_000_000):
             sets = shingle_sets(*text_bytes(batch.column("text")), n)
             least = np.stack([_least(s, seeds) for s in sets])
-            paths = pa.FixedSizeListArray.from_arrays(pa.array(mix(least[:, : runs * LEVELS]).view(np.int64).ravel()), runs * LEVELS).cast(pa.list_(pa.int64()))
-            sketch = (mix(least[:, runs * LEVELS :]) & np.uint64(0xFFFF)).astype(np.uint16)
+            paths = pa.FixedSizeListArray.from_arrays(pa.array(mix(least[:, :tokens]).view(np.int64).ravel()), tokens).cast(pa.list_(pa.int64()))
+            sketch = (mix(least[:, tokens:]) & np.uint64(0xFFFF)).astype(np.uint16)
             k1, k2 = _keys(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(k1), pa.array(k2), paths, pa.array([x.tobytes() for x in sketch], pa.binary())],
@@ -89,35 +113,42 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def buckets(reps: DataFrame, runs: int, leaf: int) -> DataFrame:
-    """node, run, bucket, members: the bucket of every class in every run, without those it is alone in. Large buckets are split level by level."""
-    walk = reps.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("paths", r * LEVELS + 1, LEVELS))).alias("run", "path"))
-    open_ = walk.withColumn("bucket", F.col("path")[0])
+def buckets(reps: DataFrame, runs: int, leaf: int, threshold: float) -> DataFrame:
+    """node, bucket, members, head (the least node in it): the buckets of every class in which it isn't alone, split level by level while they are large."""
+    each, share = branches(threshold)
+    width = each + (share > 0)
+    run = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("paths", r * LEVELS * width + 1, LEVELS * width))).alias("run", "path")
+    open_ = reps.select("node", run).select("node", "path", F.xxhash64("run").alias("bucket"))
     done = None
-    for level in range(1, LEVELS + 1):
-        sizes = materialize(open_.groupBy("run", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
-        open_ = open_.join(sizes, ["run", "bucket"])
-        small = open_ if level == LEVELS else open_.where(F.col("members") <= leaf)
-        small = small.select("node", "run", "bucket", "members")
+    for level in range(LEVELS):
+        more = (F.pmod(F.xxhash64("bucket", F.lit(level)), F.lit(1_000_000)) < int(share * 1_000_000)).cast("int")
+        chosen = F.transform(F.sequence(F.lit(0), F.lit(each - 1) + more), lambda b: F.xxhash64("bucket", b, F.element_at("path", b + (level * width + 1))))  # noqa: B023
+        open_ = open_.select("node", "path", F.explode(chosen).alias("bucket"))
+        # a table of its own, so that the join is of two plain shuffles, whose hot buckets Spark can split
+        sizes = materialize(open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("head")).where("members > 1"), "sizes")
+        split = (F.col("members") > leaf) if level < LEVELS - 1 else F.lit(False)
+        met = materialize(open_.join(sizes, "bucket").select("node", "bucket", "members", "head", split.alias("split"), F.when(split, F.col("path")).alias("path")), "met")
+        small = met.where("not split").select("node", "bucket", "members", "head")
         done = small if done is None else done.unionByName(small)
-        if level < LEVELS:
-            open_ = open_.where(F.col("members") > leaf).select("node", "run", "path", F.xxhash64("bucket", F.col("path")[level]).alias("bucket"))
+        open_ = met.where("split").select("node", "path", "bucket")
     return done
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all pairwise intersections, from products of 0/1 matrices over the tokens that two sets share."""
+def _common(sets: list[np.ndarray], asks: int | None = None) -> np.ndarray:
+    """The sizes of the intersections of the first ``asks`` sets (of all, if not given) with all others (with all), from products of
+    0/1 matrices over the tokens that two sets share."""
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
+    rows = slice(0, m) if asks is None else slice(0, asks)
+    columns = slice(0, m) if asks is None else slice(asks, m)
+    out = np.zeros((rows.stop, m - columns.start), np.float32)
     if not m:
         return out
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    new = np.append(True, tokens[1:] != tokens[:-1])
+    new = np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]
     column = np.cumsum(new) - 1
-    counts = np.bincount(column)
-    shared = counts[column] > 1
+    shared = np.bincount(column)[column] > 1
     column, owner = column[shared], owner[shared]
     if not len(column):
         return out
@@ -128,7 +159,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         if b > a:
             grid = np.zeros((m, min(step, column[b - 1] - k * step + 1)), np.float32)
             grid[owner[a:b], column[a:b] - k * step] = 1
-            out += grid @ grid.T
+            out += grid[rows] @ grid[columns].T
     return out
 
 
@@ -159,20 +190,86 @@ def _groups(table: pa.Table, keys: list[str]):
         yield table.slice(a, b - a)
 
 
-def _celled(df: DataFrame, keys: list[str], slots: int) -> DataFrame:
-    """Deal the ``members`` rows of each key into blocks and send every row to the cells (pairs of blocks) of its block; adds i, j, mine and slot."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node", *keys), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("mine")).alias("i"), F.greatest(b, F.col("mine")).alias("j")))
-    out = df.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("cell", F.explode(cells)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")})
-    return out.withColumn("slot", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(slots)).cast("int")).drop("blocks", "cell", "members")
+def _alike(sketch: list[bytes], size: np.ndarray, threshold: float, asks: int | None = None) -> np.ndarray:
+    """Which pairs are likely by their sketches and sizes: of all, or of the first ``asks`` with all others."""
+    x, size = np.frombuffer(b"".join(sketch), np.uint16).reshape(len(sketch), SKETCH), size.astype(np.float64)
+    a, b = (slice(0, None),) * 2 if asks is None else (slice(0, asks), slice(asks, None))
+    same = np.zeros((len(x[a]), len(x[b])), np.int16)
+    for k in range(SKETCH):
+        same += x[a, k, None] == x[None, b, k]
+    least, most = np.minimum(size[a, None], size[None, b]), np.maximum(size[a, None], size[None, b])
+    return (same >= _sketch_least(threshold)) & (least >= threshold * most - 1e-9)
+
+
+def _edges(node: np.ndarray, linked: np.ndarray, asks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (node, to) of linked pairs."""
+    if asks is not None:
+        square = np.zeros((len(node), len(node)), bool)
+        square[:asks, asks:] = linked
+        linked = square | square.T
+    label = _forest(linked)
+    own = np.flatnonzero(label != np.arange(len(node)))
+    return node[own], node[label[own]]
+
+
+def _slot(slots: int, *keys: str):
+    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int").alias("slot")
+
+
+def _against(asking: DataFrame, base: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of ``asking`` and ``base`` (with key, node, and the key's totals n_asks and n_base) in cells (key, i, j) of at most BLOCK of each
+    on average, so that each row that asks meets each of the base once. Adds asks (boolean)."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    a = asking.select(key, *columns, F.lit(True).alias("asks"), mine("n_asks").alias("i"), every("n_base").alias("j"))
+    b = base.select(key, *columns, F.lit(False).alias("asks"), every("n_asks").alias("i"), mine("n_base").alias("j"))
+    return a.unionByName(b)
+
+
+def likely_pairs(met: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """node, to: a forest of likely pairs of every bucket."""
+    sketches = reps.select("node", "size", "sketch")
+    slots = group_count(met, 0.5)
+
+    def whole(key, table):
+        out = [_edges(c["node"].to_numpy(), _alike(c["sketch"].to_pylist(), c["size"].to_numpy(), threshold)) for c in _groups(table, ["bucket"])]
+        return _pairs(out)
+
+    small = met.where(F.col("members") <= BLOCK).join(sketches, "node").withColumn("slot", _slot(slots, "bucket"))
+    found = small.groupBy("slot").applyInArrow(whole, "node long, to long")
+    large = met.where(F.col("members") > BLOCK)
+    if not large.limit(1).count():
+        return found
+
+    def near(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("sketch", "head_sketch"))
+            size, other = (batch.column(c).to_numpy().astype(np.float64) for c in ("size", "head_size"))
+            ok = ((x == y).sum(axis=1) >= _sketch_least(threshold)) & (np.minimum(size, other) >= threshold * np.maximum(size, other) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "node", "head", "members", "size", "sketch")), pa.array(ok)], names=["bucket", "node", "head", "members", "size", "sketch", "near"])
+
+    heads = materialize(large.select("head").distinct().join(sketches.withColumnRenamed("node", "head"), "head").select("head", F.col("size").alias("head_size"), F.col("sketch").alias("head_sketch")), "heads")
+    judged = large.join(sketches, "node").join(heads, "head").mapInArrow(near, "bucket long, node long, head long, members long, size int, sketch binary, near boolean")
+    judged = materialize(judged, "judged")
+    found = found.unionByName(judged.where("near and node <> head").select("node", F.col("head").alias("to")))
+    far = materialize(judged.where("not near").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_asks")), "far")
+    counted = judged.join(far, "bucket").withColumn("n_base", F.col("members"))
+    cells = _against(counted.where("not near"), counted, "bucket", ["node", "size", "sketch"]).withColumn("slot", _slot(slots, "bucket", "i", "j"))
+
+    def across(key, table):
+        out = []
+        for c in _groups(table, ["bucket", "i", "j"]):
+            c = c.sort_by([("asks", "descending")])
+            asks = int(c["asks"].to_numpy(zero_copy_only=False).sum())
+            out.append(_edges(c["node"].to_numpy(), _alike(c["sketch"].to_pylist(), c["size"].to_numpy(), threshold, asks), asks))
+        return _pairs(out)
+
+    return found.unionByName(cells.groupBy("slot").applyInArrow(across, "node long, to long"))
 
 
-def _across(cell: pa.Table) -> np.ndarray:
-    """The pairs that a cell is to compare, each once: within its block, or between its two."""
-    mine = cell["mine"].to_numpy()
-    upper = np.triu(np.ones((len(mine), len(mine)), bool), 1)
-    return upper if cell["i"][0] == cell["j"][0] else upper & (mine[:, None] != mine[None, :])
+def _pairs(out: list) -> pa.Table:
+    return pa.table({name: np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k, name in enumerate(("node", "to"))})
 
 
 def connected(edges: DataFrame, name: str = "connected") -> DataFrame:
@@ -196,6 +293,91 @@ def connected(edges: DataFrame, name: str = "connected") -> DataFrame:
     return edges.groupBy("node").agg(F.min("to").alias("root"))
 
 
+def exact_links(sent: DataFrame, threshold: float, n: int, slots: int) -> DataFrame:
+    """node, n_links, to: how many others of its part each node is linked to (in several rows that add up) and a forest of the links.
+
+    ``sent`` has text, k1, k2, node, root and members (how many nodes the root's part has)."""
+    share = threshold / (1 + threshold)  # linked if the intersection is at least this share of both sizes together
+    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
+    chunk = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))  # the root goes everywhere
+    dealt = sent.select("text", "k1", "k2", "node", "root", chunks.alias("chunks"), chunk.alias("to"))
+
+    def sets(batches):
+        for batch in pieces(batches, "text", 2_000_000):
+            each = shingle_sets(*text_bytes(batch.column("text")), n)
+            k1, k2 = _keys(each)
+            ok = (k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy())  # an id may have other texts
+            rows = [(root, c, chunks, node, s.tobytes()) for k, (root, to, chunks, node, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "to", "chunks", "node")), each, strict=True)) if ok[k] for c in to]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["root", "chunk", "chunks", "node", "tokens"])
+
+    def compare(key, table):
+        out = []
+        for part in _groups(table, ["root", "chunk"]):
+            _, once = np.unique(part["node"].to_numpy(), return_index=True)  # repeated rows
+            part = part.take(once)
+            node, root, chunk, many = part["node"].to_numpy(), part["root"][0].as_py(), part["chunk"][0].as_py(), part["chunks"][0].as_py() > 1
+            own = [np.frombuffer(x, np.uint64) for x in part["tokens"].to_pylist()]
+            if many:
+                base = own[int(np.flatnonzero(node == root)[0])]
+                for v, x in zip(node.tolist(), own, strict=True):
+                    if v == root and chunk:
+                        continue  # it counts once
+                    apart = np.setxor1d(base, x, assume_unique=True)
+                    added = (len(x) - len(base) + len(apart)) // 2
+                    weight = round(UNITS * ((1 - share) * (len(apart) - added) + share * added))
+                    out.append((root, v, 0, v, weight, round(UNITS * (1 - 2 * share) * len(base)) + SLACK, apart.tobytes()))
+                continue
+            common, size = _common(own), np.array([len(x) for x in own], np.float64)
+            linked = common >= threshold * (size[:, None] + size - common) - 1e-6
+            np.fill_diagonal(linked, False)
+            out += [(root, v, k, to, None, None, None) for v, k, to in zip(node.tolist(), linked.sum(axis=1).tolist(), node[_forest(linked)].tolist(), strict=True)]
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("root", "node", "n_links", "to", "weight", "bound", "apart"), columns, kinds, strict=True)})
+
+    told = dealt.mapInArrow(sets, "root long, chunk int, chunks int, node long, tokens binary")
+    compared = told.withColumn("slot", _slot(slots, "root", "chunk")).groupBy("slot").applyInArrow(compare, "root long, node long, n_links long, to long, weight long, bound long, apart binary")
+    compared = materialize(compared, "compared")
+    large = compared.where("weight is not null")
+    found = compared.where("weight is null and n_links > 0").select("node", "n_links", "to")
+    if not large.limit(1).count():
+        return found
+
+    # partners that are linked by weight alone: a rank among the weights of the part, of which there are no more than differences can have
+    heap = large.groupBy("root", "bound", "weight").agg(F.count(F.lit(1)).alias("n"))
+    points = heap.select("root", "weight", F.col("weight").alias("at"), "n", F.lit(0).alias("asks")).unionByName(heap.select("root", "weight", (F.col("bound") - F.col("weight")).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asks")))
+    rank = F.sum("n").over(W.partitionBy("root").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranks = points.withColumn("free", rank).where("asks = 1").select("root", "weight", "free")
+    free = large.join(ranks, ["root", "weight"]).select(
+        "node", (F.col("free") - (2 * F.col("weight") <= F.col("bound")).cast("long")).alias("n_links"), F.when(F.col("weight") <= F.col("bound"), F.col("root")).otherwise(F.col("node")).alias("to")
+    )
+    # the rest: every set of more than half the bound against all that it isn't linked to by weight alone
+    heavy = 2 * F.col("weight") > F.col("bound")
+    totals = large.groupBy("root").agg(F.count_if(heavy).alias("n_asks"), F.max("weight").alias("top")).where("n_asks > 0")
+    asked = large.join(totals, "root").where(F.col("weight") + F.col("top") > F.col("bound"))
+    sizes = materialize(asked.groupBy("root").agg(F.count(F.lit(1)).alias("n_base"), F.first("n_asks").alias("n_asks")), "heavy")
+    asked = large.join(totals.drop("n_asks"), "root").where(F.col("weight") + F.col("top") > F.col("bound")).join(sizes, "root")
+    cells = _against(asked.where(heavy), asked, "root", ["node", "weight", "bound", "apart"]).withColumn("slot", _slot(group_count(large, 0.5), "root", "i", "j"))
+
+    def weigh(key, table):
+        out = []
+        for c in _groups(table, ["root", "i", "j"]):
+            c = c.sort_by([("asks", "descending")])
+            asks = int(c["asks"].to_numpy(zero_copy_only=False).sum())
+            node, weight = c["node"].to_numpy(), c["weight"].to_numpy()
+            over = weight[:asks, None] + weight[None, asks:] - c["bound"][0].as_py()
+            common = _common([np.frombuffer(x, np.uint64) for x in c["apart"].to_pylist()], asks)
+            linked = (over > 0) & (common.astype(np.float64) * UNITS >= over) & (node[:asks, None] != node[None, asks:])
+            light = 2 * weight[asks:] <= c["bound"][0].as_py()  # those don't ask, so the pair counts here for both
+            v, to = _edges(node, linked, asks)
+            out.append((np.concatenate([node[:asks], node[asks:][light], v]), np.concatenate([linked.sum(axis=1), linked[:, light].sum(axis=0), np.zeros(len(v), np.int64)]), np.concatenate([node[:asks], node[asks:][light], to])))
+        return pa.table({name: np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]).astype(np.int64) for k, name in enumerate(("node", "n_links", "to"))})
+
+    return found.unionByName(free).unionByName(cells.groupBy("slot").applyInArrow(weigh, "node long, n_links long, to long").where("n_links > 0 or node <> to"))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, leaf: int = 64) -> DataFrame:
     """doc_id, class_id, n_copies, n_links, group_id, one row a document.
 
@@ -203,64 +385,18 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     classes with a Jaccard similarity of at least ``threshold``, and group_id the smallest doc_id that links and copies lead to. Words
     are parted by white space and not changed; a text of fewer than ``n`` words is one shingle. Null, empty and blank texts have no shingles: each is a class
     and a group of its own (class_id = group_id = doc_id, n_copies 1, n_links 0). Repeated rows are copies. An empty table gives none."""
-    spark = docs.sparkSession
     runs = run_count(threshold, recall)
-    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = materialize(signatures(docs, n, runs), "signatures")
+    each, share = branches(threshold)
+    signed = materialize(signatures(docs, n, runs * LEVELS * (each + (share > 0))), "signatures")
     reps = signed.where("size > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps.withColumn("node", F.xxhash64("k1", "k2")), "classes")
-
-    def likely(key, table):
-        out = []
-        for cell in _groups(table, ["run", "bucket", "i", "j"]):
-            m = cell.num_rows
-            sketch = np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint16).reshape(m, SKETCH)
-            size = cell["size"].to_numpy().astype(np.float64)
-            same = np.zeros((m, m), np.int16)
-            for k in range(SKETCH):
-                same += sketch[:, k, None] == sketch[None, :, k]
-            ok = (same >= _sketch_least(threshold)) & (np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - 1e-9) & _across(cell)
-            label, node = _forest(ok | ok.T), cell["node"].to_numpy()
-            out.append((node[label != np.arange(m)], node[label[label != np.arange(m)]]))
-        return pa.table({"node": np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)]), "to": np.concatenate([x for _, x in out] or [np.zeros(0, np.int64)])})
-
-    met = buckets(reps.select(F.col("node"), "paths"), runs, leaf)
-    cells = _celled(met, ["run", "bucket"], slots).join(reps.select("node", "size", "sketch"), "node")
-    parts = connected(cells.groupBy("slot").applyInArrow(likely, "node long, to long"), "likely")
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, when the table is written
+    met = materialize(buckets(reps.select("node", "paths"), runs, leaf, threshold), "buckets")
+    parts = connected(likely_pairs(met, reps, threshold), "likely")
     parts = materialize(parts.unionByName(parts.select(F.col("root").alias("node"), "root")).distinct(), "parts")
     parts = parts.join(materialize(parts.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "members"), "root").join(reps.select("node", "k1", "k2", "class_id"), "node")
-    wanted = _celled(parts.withColumnRenamed("class_id", "owner"), ["root"], slots)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("text is not null")
-    sent = texts.join(wanted.groupBy("owner", "k1", "k2", "node", "root", "mine").agg(F.collect_list(F.struct("i", "j", "slot")).alias("cells")), F.col("doc_id").eqNullSafe(F.col("owner")))
-
-    def sets(batches):
-        for batch in pieces(batches, "text", 2_000_000):
-            each = shingle_sets(*text_bytes(batch.column("text")), n)
-            k1, k2 = _keys(each)
-            ok = (k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy())  # an id may have other texts
-            cells = batch.column("cells")
-            rows = [(c["slot"], r, c["i"], c["j"], m, v, s.tobytes()) for k, (r, m, v, s) in enumerate(zip(batch.column("root").to_pylist(), batch.column("mine").to_pylist(), batch.column("node").to_pylist(), each, strict=True)) if ok[k] for c in cells[k].as_py()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["slot", "root", "i", "j", "mine", "node", "tokens"])
-
-    def verify(key, table):
-        out = []
-        for cell in _groups(table, ["root", "i", "j"]):
-            node = cell["node"].to_numpy()
-            _, once = np.unique(node, return_index=True)  # repeated rows
-            cell = cell.take(once)
-            node, across = node[once], _across(cell)
-            own = [np.frombuffer(x, np.uint64) for x in cell["tokens"].to_pylist()]
-            common, size = _common(own), np.array([len(x) for x in own], np.float64)
-            linked = (common >= threshold * (size[:, None] + size - common) - 1e-6) & across
-            linked |= linked.T
-            out.append((node, linked.sum(axis=1), node[_forest(linked)]))
-        columns = [np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3)]
-        return pa.table(dict(zip(("node", "n_links", "to"), columns, strict=True)))
-
-    checked = sent.select("text", "k1", "k2", "node", "root", "mine", "cells").mapInArrow(sets, "slot int, root long, i int, j int, mine int, node long, tokens binary")
-    checked = materialize(checked.groupBy("slot").applyInArrow(verify, "node long, n_links long, to long").where("n_links > 0"), "links")
+    sent = texts.join(parts, F.col("doc_id").eqNullSafe(F.col("class_id"))).select("text", "k1", "k2", "node", "root", "members")
+    checked = materialize(exact_links(sent, threshold, n, group_count(docs, 2.0)), "links")
     roots = connected(checked.select("node", "to"), "linked")
     links = checked.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     owners = reps.select("k1", "k2", "node", "class_id", "n_copies").join(links, "node", "left").join(roots, "node", "left")
