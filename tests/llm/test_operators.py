@@ -146,8 +146,34 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert kept == {i for i, _, _, _, g in brute.jaccard(docs) if i == g}
 
 
+def test_near_copies_of_many_kinds(spark, monkeypatch):
+    """A large part with sets near to its first one, far from it, and linked only to each other."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["new"], [f"n{k}", "x"], [f"s{at}"]])
+        texts.append(" ".join(words))
+    docs = list(enumerate(texts, 5))
+    out = jaccard_join.jaccard_join(frame(spark, docs), leaf=4)
+    assert got(out, "doc_id", "class_id", "n_copies", "n_links", "group_id") == want(brute.jaccard(docs))
+
+
 def test_run_count():
-    assert 1 - (1 - 0.8**3) ** jaccard_join.run_count(0.8, 0.999) >= 0.999
+    """The recall that the runs are chosen for, against pairs that walk through random buckets."""
+    assert jaccard_join.branches(0.8) == (1, pytest.approx(0.25))
+    rng, alive = random.Random(2), 0
+    for _ in range(20_000):
+        paths = 1
+        for _ in range(jaccard_join.LEVELS):
+            paths = sum(rng.random() < 0.8 for _ in range(sum(1 + (rng.random() < 0.25) for _ in range(paths))))
+        alive += paths > 0
+    assert abs(alive / 20_000 - jaccard_join.survival(0.8)) < 0.02
+    assert 1 - (1 - jaccard_join.survival(0.8)) ** jaccard_join.run_count(0.8, 0.999) >= 0.999
 
 
 def test_decontamination(spark):
