@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of one full-dimensional codeword from each codebook. Codebooks are fitted to what the ones before left over, then jointly by
-least squares; encoding is a beam search over all codebooks. Each code is stored with its norm, and of the reconstruction and the original. A
-query's inner products with all codewords make lookup tables, so a candidate's score is a sum of table entries; the best of each
-block are scored again on the original vectors in double precision.
+least squares; encoding is a beam search over all codebooks. Each code is stored with its norm: the ratio of the vector's own length to its
+reconstruction's, which every score is scaled by, as sums of codewords come out too short. A query's inner products with all codewords make
+lookup tables, so a candidate's score is a sum of table entries times its stored norm. The best of the whole index by that make one shortlist a
+query, which is scored again on the original vectors in double precision.
 
-Spark's part: the index is cut into blocks of rows and the queries into blocks of queries; each pair of blocks is a task that leaves
-the best few of every query."""
+Spark's part: only codes (a few bytes a vector) are scanned, in blocks of the index against blocks of queries, and each pair of blocks leaves its share of the
+shortlist. Original vectors stay where they are: shortlists go to the blocks that hold their vectors, each query's vector once a block, and
+blocks that very many queries ask are split by query."""
 
 from __future__ import annotations
 
@@ -17,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomnet.llm.common import materialize
 
-INDEX_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Codes and queries of a pair of blocks; original vectors of a block, and how many scores are worked out on one at once.
+INDEX_BLOCK, QUERY_BLOCK, FETCH_BLOCK, FETCHED = 65_536, 16_384, 8192, 200_000
 
 
 @dataclass
@@ -95,13 +99,19 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
     return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
 
-def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 16, sample_rows: int = 8192, rerank: int = 256, beam: int = 4) -> DataFrame:
+def block_share(shortlist: int, blocks: int) -> int:
+    """How many of a shortlist to take from each of several blocks. Blocks are dealt by hash, so the best are spread as by chance: six deviations above the mean."""
+    mean = shortlist / blocks
+    return shortlist if blocks == 1 else min(shortlist, int(np.ceil(mean + 6 * np.sqrt(mean) + 6)))
+
+
+def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 16, sample_rows: int = 8192, shortlist: int = 512, beam: int = 4) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row where ``is_query`` (on vec_id) holds, the ``k`` rows of largest inner product among all
     others that were found, exactly scored, nearest first and ties to the smaller vec_id.
 
-    Codebooks are fitted to at most ``sample_rows`` vectors, chosen by a hash of their id; every row is encoded. In each block of the index the ``rerank`` best by
-    lookup (and all that tie with the last) are scored exactly. Vectors that are null, zero, of another length than most, or hold null or non-finite
-    components take no part, nor do rows without an id. Rows that repeat an id count once (the smallest vector). Empty tables give none."""
+    Codebooks are fitted to at most ``sample_rows`` vectors, chosen by a hash of their id; every row is encoded. The ``shortlist`` best of the index by
+    lookup (ties to the smaller vec_id, so equal vectors come in the right order) are scored exactly. Vectors that are null, zero, of another length than most, or hold null or
+    non-finite components take no part, nor do rows without an id. Rows that repeat an id count once (the smallest vector). Empty tables give none."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -111,12 +121,12 @@ def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: in
     rows = rows.where(F.size("v") == size["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
     total = int(size["count"])
     share = F.lit(True) if total <= sample_rows else F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total)
-    sample = np.array([r[0] for r in rows.where(share).select("v").orderBy(F.xxhash64("v")).collect()])  # bounded by sample_rows
+    sample = np.array([r[0] for r in rows.where(share).select("v").orderBy(F.xxhash64("v")).limit(sample_rows).collect()])  # bounded by sample_rows
     books_ = spark.sparkContext.broadcast(fit(sample, books)) if len(sample) else None
     if books_ is None:
         return spark.createDataFrame([], schema)
-    index_blocks = max(1, -(-total // INDEX_BLOCK))
-    query_blocks = max(1, -(-rows.where(is_query).count() // QUERY_BLOCK))
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    stored = np.dtype("<f4" if single else "<f8")  # as exact as the source, half the bytes
 
     def encode(batches):
         for batch in batches:
@@ -124,43 +134,72 @@ def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: in
                 continue
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             codes = books_.value.encode(v, beam)
-            norms = (books_.value.decode(codes) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array(np.linalg.norm(v, axis=1))], names=["vec_id", "v", "codes", "code_norm", "norm"])
-
-    index = materialize(rows.mapInArrow(encode, "vec_id long, v binary, codes binary, code_norm float, norm double"), "codes")
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+            coded = np.linalg.norm(books_.value.decode(codes), axis=1)
+            norm = np.linalg.norm(v, axis=1) / np.where(coded > 0, coded, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([x.tobytes() for x in v.astype(stored)], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32))], names=["vec_id", "v", "codes", "norm"])
+
+    index = materialize(rows.mapInArrow(encode, "vec_id long, v binary, codes binary, norm float"), "codes")
+    queries = index.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("asked"))
+    index_blocks = max(-(-total // INDEX_BLOCK), min(-(-total // FETCH_BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = lambda n, by="vec_id": F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = index.select(block(index_blocks).alias("b"), every(query_blocks).alias("q"), "vec_id", "v", "codes", F.lit(False).alias("asks"))
-    asked = index.where(is_query).select(every(index_blocks).alias("b"), block(query_blocks).alias("q"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(True).alias("asks"))
-
-    def search(key, table):
-        asks = table["asks"].to_numpy(zero_copy_only=False)
-        ids = table["vec_id"].to_numpy()
-        x = np.frombuffer(b"".join(table["v"].to_pylist()), np.float64).reshape(len(ids), -1)
-        own, vectors_ = ids[~asks], x[~asks]
+    base = index.select(block(index_blocks).alias("b"), every(query_blocks).alias("q"), "vec_id", "codes", "norm")
+    asked = queries.select(every(index_blocks).alias("b"), block(query_blocks, "query_id").alias("q"), "query_id", "asked")
+    take = block_share(shortlist, index_blocks)
+
+    def look_up(key, codes, asked):
         out = []
-        if len(own) and asks.any():
+        if codes.num_rows and asked.num_rows:
+            own = codes["vec_id"].to_numpy()
             order = np.argsort(own)
-            own, vectors_ = own[order], vectors_[order]
+            own, norm = own[order], codes["norm"].to_numpy()[order]
             words = books_.value.words
             m, entries = words.shape[:2]
-            codes = np.frombuffer(b"".join(c for c in table["codes"].to_pylist() if c is not None), np.uint8).reshape(-1, m)[order]
-            places = np.ascontiguousarray((codes.astype(np.int32) + entries * np.arange(m, dtype=np.int32)).T)
-            tables = x[asks].astype(np.float32) @ words.reshape(m * entries, -1).T
-            take = min(rerank, len(own))
-            for query, vector, table_ in zip(ids[asks].tolist(), x[asks], tables, strict=True):
-                scores = table_[places[0]]
-                for j in range(1, m):
-                    scores += table_[places[j]]
-                least = np.partition(scores, len(own) - take)[len(own) - take]
-                near = np.flatnonzero(scores >= least)
-                near = near[own[near] != query]
-                exact = (vectors_[near] * vector).sum(1)
-                best = np.lexsort((own[near], -exact))[:k]
-                out.append((np.full(len(best), query), own[near][best], exact[best]))
-        columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.float64 if c == 2 else np.int64) for c in range(3)]
+            code = np.frombuffer(b"".join(codes["codes"].to_pylist()), np.uint8).reshape(-1, m)[order]
+            places = np.ascontiguousarray((code.astype(np.int32) + entries * np.arange(m, dtype=np.int32)).T)
+            vectors_ = np.frombuffer(b"".join(asked["asked"].to_pylist()), stored).reshape(asked.num_rows, -1).astype(np.float32)
+            ids, flat = asked["query_id"].to_numpy(), words.reshape(m * entries, -1).T
+            for a in range(0, len(ids), 256):
+                for query, table in zip(ids[a : a + 256].tolist(), vectors_[a : a + 256] @ flat, strict=True):
+                    scores = table[places[0]]
+                    for j in range(1, m):
+                        scores += table[places[j]]
+                    scores *= norm
+                    itself = np.searchsorted(own, query)
+                    if itself < len(own) and own[itself] == query:
+                        scores[itself] = -np.inf
+                    n = min(take, len(own))
+                    least = np.partition(scores, len(own) - n)[len(own) - n]
+                    better = np.flatnonzero(scores > least)
+                    near = np.concatenate([better, np.flatnonzero(scores == least)[: n - len(better)]])
+                    near = near[scores[near] > -np.inf]
+                    out.append((np.full(len(near), query), own[near], scores[near]))
+        columns = [np.concatenate([np.zeros(0, np.float32 if c == 2 else np.int64), *(o[c] for o in out)]) for c in range(3)]
+        return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1], "about": columns[2].astype(np.float32)})
+
+    found = base.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(look_up, "query_id long, vec_id long, about float")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
+    short = found.withColumn("nth", nth).where(F.col("nth") <= shortlist).select("query_id", "vec_id", block(-(-total // FETCH_BLOCK)).alias("b"))
+    wanted = short.groupBy("query_id", "b").agg(F.collect_list("vec_id").alias("wanted"))  # a shortlist at most
+    wanted = materialize(wanted.join(queries, "query_id"), "shortlists")
+    splits = materialize(wanted.groupBy("b").agg(F.ceil(F.sum(F.size("wanted")) / FETCHED).cast("int").alias("splits")), "splits")
+    requests = wanted.join(splits, "b").select("b", F.pmod(F.xxhash64("query_id"), F.col("splits")).cast("int").alias("part"), "query_id", "asked", "wanted")
+    originals = index.select(block(-(-total // FETCH_BLOCK)).alias("b"), "vec_id", "v").join(splits, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part"), "vec_id", "v")
+
+    def exact(key, requests, originals):
+        own = originals["vec_id"].to_numpy()
+        order = np.argsort(own)
+        own, vectors_ = own[order], np.frombuffer(b"".join(originals["v"].to_pylist()), stored).reshape(len(own), -1).astype(np.float64)[order]
+        out = []
+        for query, asked, ids in zip(*(requests[c].to_pylist() for c in ("query_id", "asked", "wanted")), strict=True):
+            near = np.searchsorted(own, np.array(ids))
+            scores = (vectors_[near] * np.frombuffer(asked, stored).astype(np.float64)).sum(1)
+            best = np.lexsort((own[near], -scores))[:k]
+            out.append((np.full(len(best), query), own[near][best], scores[best]))
+        columns = [np.concatenate([np.zeros(0, np.float64 if c == 2 else np.int64), *(o[c] for o in out)]) for c in range(3)]
         return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2]})
 
-    found = base.unionByName(asked).groupBy("b", "q").applyInArrow(search, "query_id long, vec_id long, score double")
+    scored = requests.groupBy("b", "part").cogroup(originals.groupBy("b", "part")).applyInArrow(exact, "query_id long, vec_id long, score double")
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", nth.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", nth.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
