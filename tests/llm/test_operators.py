@@ -291,7 +291,7 @@ def test_additive_search(spark):
     x[5] = x[900] = x[901]
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(4000, None), (4020, [0.0] * 16), (4040, [float("nan")] + [1.0] * 15), (4060, [None] + [1.0] * 15), (None, [1.0] * 16), (4080, [1.0] * 3)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, norm int").repartition(4)
-    out = additive_search.additive_search(df, F.col("vec_id") % 20 == 0, k=20, books=8, rerank=200).collect()
+    out = additive_search.additive_search(df, F.col("vec_id") % 20 == 0, k=20, books=8, shortlist=200).collect()
     assert {r.query_id for r in out} == set(range(0, 3000, 20))
     found = 0
     for q in range(0, 3000, 20):
@@ -307,6 +307,29 @@ def test_additive_search(spark):
     assert len(additive_search.additive_search(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()) == 2
 
 
+def test_block_shares():
+    """Of a shortlist dealt over blocks by chance none is cut off."""
+    rng = np.random.default_rng(4)
+    for blocks in (1, 7, 100, 1000):
+        counts = rng.multinomial(512, [1 / blocks] * blocks, 300)
+        assert counts.max() <= additive_search.block_share(512, blocks)
+
+
+def test_search_query(spark):
+    """The registered query: recall against exact search, with equal vectors in the order of their ids."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    out = queries.op4_additive_search(spark, SF).collect()
+    found = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = (x * x[q]).sum(1)
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:20]
+        own = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == ids[q])
+        assert [r for r, _, _ in own] == list(range(1, len(order) + 1))
+        found += len({v for _, v, _ in own} & {int(ids[i]) for i in order}) / len(order)
+    assert found / (ids % 20 == 0).sum() >= 0.95
+
+
 def test_patterns():
     own = toxicity.Grammar()
     names = lambda text: {toxicity.PATTERNS[k] for k in np.flatnonzero(own.features(pa.array([text]))[0])}
