@@ -1,15 +1,16 @@
 """Toxicity from a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, other), clauses become strings of symbols, and three small transducers
-- reported speech, negation, target - are composed into one machine that reads a clause once and emits a pattern for every insult or
-threat: plain, at a target, negated or reported. A text's score weighs the patterns of its clauses, not isolated words.
+Words become symbols, clauses strings of symbols. Five transducers pass them on from one to the next: the insult transducer reads an insult by itself, one
+that is stressed ("such an utter idiot") and phrases ("waste of space", "piece of trash"); the threat transducer tells a verb of violence after
+an intention ("going to hurt") from one without; report and negation give each find its mode; the target transducer holds a find
+back for a few words, so that whom it is aimed at may come before or after it. Composed, they are one machine that reads a clause once; its states
+are worked out as clauses reach them. Every find's path weighs what its arcs weigh, and a text's score adds clauses, not isolated words.
 
 The insult lexicon grows from labelled rows: stems that hardly occur in texts labelled clean. Weights start from the grammar's own and are fitted
 to labelled rows by regularised logistic regression. Labels, language, source and id are never inputs of a score."""
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,13 +27,20 @@ THREATS = "kill murder hurt destroy stab shoot strangle burn beat exterminate"
 TARGETS = "you your yours u he his him she her they them their it this that these those everyone"
 NEGATIONS = "not no never none nobody isn't aren't don't doesn't won't wasn't weren't nor without"
 REPORTS = "said says say called calls told tells wrote writes claimed claims quoted quote reported alleged allegedly"
+INTENTIONS = "will going gonna shall want wants wanna gotta i'll we'll should must plan plans ready"
+STRESSES = "such so very really utter utterly absolute absolutely total totally complete completely bloody damn"
+MEASURES, LINKS, REFUSE_WORDS = "piece waste load bunch sack bag heap", "of", "space skin oxygen air dirt garbage"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: How many words on a negation or a target is still felt.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENTION, STRESS, MEASURE, LINK, REFUSE = range(11)
+LEXICON = ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENTION, INTENTIONS), (STRESS, STRESSES), (MEASURE, MEASURES), (LINK, LINKS), (REFUSE, REFUSE_WORDS))
+#: How many words on a negation, an intention or a target is still felt.
 REACH = 4
-PATTERNS = [f"{kind}{t}{m}" for kind in ("insult", "threat") for t in ("", "_at_target") for m in ("", "_negated", "_reported")]
-#: The grammar's own weights, in the order of PATTERNS, and the bias.
-GRAMMAR_WEIGHTS = np.array([3.0, 0.3, 1.0, 4.0, 0.8, 1.5, 0.5, 0.0, 0.2, 4.5, 0.8, 1.5])
+KINDS = ("insult", "strong_insult", "violence", "threat")
+MODES = ("", "_negated", "_reported")
+PATTERNS = [f"{kind}{t}{m}" for kind in KINDS for t in ("", "_at_target") for m in MODES]
+#: The grammar's own arc weights: of a find by kind, what a target adds, and what the mode leaves of both; and the bias.
+KIND_WEIGHTS, TARGET_WEIGHTS, MODE_SHARES = (3.0, 4.0, 0.5, 3.0), (1.0, 1.0, 4.0, 2.0), (1.0, 0.15, 0.35)
+GRAMMAR_WEIGHTS = np.array([(k + t * aimed) * m for k, t in zip(KIND_WEIGHTS, TARGET_WEIGHTS, strict=True) for aimed in (0, 1) for m in MODE_SHARES])
 BIAS = -2.0
 
 LETTER_BREAKS = np.ones(256, bool)
@@ -41,44 +49,81 @@ CLAUSE_ENDS = np.zeros(256, bool)
 CLAUSE_ENDS[[*b".!?;:\n"]] = True
 
 
-def report_transducer(state: int, symbol: int) -> int:
-    """0: own words; 1: what follows in the clause is reported."""
-    return 1 if symbol == REPORT else state
+# --- the transducers: (state, (symbol, find)) -> (state, (symbol, find)); a find is a kind, then (kind, mode) -----------
+def insult_transducer(state: int, token):
+    """States: 0, after a stress (1), after a measure (2), after a measure and its link (3)."""
+    symbol, find = token
+    if symbol == INSULT:
+        find = 1 if state in (1, 3) else 0
+    elif symbol == REFUSE and state == 3:
+        find = 1
+    return {STRESS: 1, MEASURE: 2, LINK: 3 if state == 2 else 0}.get(symbol, 0), (symbol, find)
 
 
-def fading_transducer(wanted: int):
-    """Counts down the words for which the last ``wanted`` symbol is felt."""
-    return lambda state, symbol: REACH if symbol == wanted else max(0, state - 1)
+def threat_transducer(state: int, token):
+    """The state counts down the words for which an intention is felt."""
+    symbol, find = token
+    if symbol == THREAT:
+        find = 3 if state else 2
+    return REACH if symbol == INTENTION else max(0, state - 1), (symbol, find)
 
 
-def compose() -> tuple[np.ndarray, np.ndarray]:
-    """The composed machine: next state and emitted pattern (-1: none) by state and symbol."""
-    negate, aim = fading_transducer(NEGATION), fading_transducer(TARGET)
-    states = list(itertools.product((0, 1), range(REACH + 1), range(REACH + 1)))
-    number = {s: k for k, s in enumerate(states)}
-    step, emit = np.zeros((len(states), 6), np.int64), np.full((len(states), 6), -1)
-    for (r, n, t), symbol in itertools.product(states, range(6)):
-        k = number[r, n, t]
-        step[k, symbol] = number[report_transducer(r, symbol), negate(n, symbol), aim(t, symbol)]
-        if symbol in (INSULT, THREAT):
-            emit[k, symbol] = 6 * (symbol == THREAT) + 3 * (t > 0) + (2 if r else 1 if n else 0)
-    return step, emit
+def mode_transducer(state: tuple[int, int], token):
+    """State: whether a report came before in the clause, and the words for which a negation is still felt."""
+    (reported, negated), (symbol, find) = state, token
+    if find is not None:
+        find = (find, 2 if reported else 1 if negated else 0)
+    return (int(reported or symbol == REPORT), REACH if symbol == NEGATION else max(0, negated - 1)), (symbol, find)
 
 
-STEP, EMIT = compose()
+def target_transducer(state: tuple, token):
+    """State: the words for which a target is felt, and the finds that wait for one, each with the words it still waits. Gives patterns."""
+    (felt, waiting), (symbol, find) = state, token
+    out, still = [], []
+    for (kind, mode), left in waiting:
+        if symbol == TARGET:
+            out.append(6 * kind + 3 + mode)
+        elif left == 1:
+            out.append(6 * kind + mode)
+        else:
+            still.append(((kind, mode), left - 1))
+    if find is not None and felt:
+        out.append(6 * find[0] + 3 + find[1])
+    elif find is not None:
+        still.append((find, REACH))
+    return (REACH if symbol == TARGET else max(0, felt - 1), tuple(still)), tuple(out)
+
+
+class Machine:
+    """The composition of transducers, each reading what the one before gives; arcs are worked out when they are first taken."""
+
+    def __init__(self, stages, starts):
+        self.stages, self.start, self.arcs = stages, tuple(starts), {}
+
+    def step(self, state: tuple, symbol: int) -> tuple[tuple, tuple]:
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
+            token, after = (symbol, None), []
+            for stage, own in zip(self.stages, state, strict=True):
+                own, token = stage(own, token)
+                after.append(own)
+            arc = self.arcs[state, symbol] = (tuple(after), token)
+        return arc
+
+
+MACHINE = Machine((insult_transducer, threat_transducer, mode_transducer, target_transducer), (0, 0, (0, 0), (0, ())))
 
 
 def read_clause(at: list[int], symbols: list[int]) -> list[int]:
-    """The patterns of a clause, given its words that are not OTHER and their places. A target may also follow what is said of it."""
-    out, state, last = [], 0, None
-    for k, (place, symbol) in enumerate(zip(at, symbols, strict=True)):
+    """The patterns of a clause, given its words that are not OTHER and their places. Words after the last of these change nothing but that waiting ends."""
+    out, state, last = [], MACHINE.start, None
+    for place, symbol in zip([*at, at[-1] + REACH + 1], [*symbols, OTHER], strict=True):
         for _ in range(min(REACH, place - last - 1) if last is not None else 0):
-            state = STEP[state, OTHER]
-        pattern = EMIT[state, symbol]
-        if pattern >= 0:
-            aimed = any(s == TARGET and p - place <= REACH for p, s in zip(at[k + 1 : k + 1 + REACH], symbols[k + 1 : k + 1 + REACH], strict=True))
-            out.append(int(pattern + 3 * (aimed and pattern % 6 < 3)))
-        state, last = STEP[state, symbol], place
+            state, found = MACHINE.step(state, OTHER)
+            out += found
+        state, found = MACHINE.step(state, symbol)
+        out += found
+        last = place
     return out
 
 
@@ -90,7 +135,7 @@ class Grammar:
     weights: np.ndarray = field(default_factory=lambda: np.append(GRAMMAR_WEIGHTS, BIAS))
 
     def __post_init__(self):
-        self.words = {w: s for s, text in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in text.split()}
+        self.words = {w: s for s, text in LEXICON for w in text.split()}
         self.lengths = sorted({len(s) for s in self.stems})
 
     def symbol(self, word: str) -> int:
@@ -113,7 +158,7 @@ class Grammar:
         coded = words.dictionary_encode()
         kinds = np.fromiter((self.symbol(w.decode(errors="replace").lower()) for w in as_bytes(coded.dictionary)), np.int8, len(coded.dictionary))
         symbols = kinds[coded.indices.to_numpy(zero_copy_only=False)]
-        hot = np.unique(clause[(symbols == INSULT) | (symbols == THREAT)])
+        hot = np.unique(clause[(symbols == INSULT) | (symbols == THREAT) | (symbols == REFUSE)])
         marked = np.flatnonzero((symbols != OTHER) & np.isin(clause, hot))
         doc = np.searchsorted(first, marked, side="right") - 1
         if not len(marked):
