@@ -116,3 +116,22 @@ def decontaminate(docs, items, n=10):
                     found |= windows[tuple(w[k : k + m])]
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit)))
     return out
+
+
+def clause_patterns(words, symbol, g):
+    """The toxicity patterns of one clause, found by looking around each word."""
+    s, out = [symbol(w) for w in words], []
+    for k, x in enumerate(s):
+        phrase = k >= 2 and s[k - 2 : k] == [g.MEASURE, g.LINK]
+        before = s[max(0, k - g.REACH) : k]
+        if x == g.INSULT:
+            kind = "strong_insult" if phrase or (k and s[k - 1] == g.STRESS) else "insult"
+        elif x == g.REFUSE and phrase:
+            kind = "strong_insult"
+        elif x == g.THREAT:
+            kind = "threat" if g.INTENTION in before else "violence"
+        else:
+            continue
+        aimed = g.TARGET in before + s[k + 1 : k + 1 + g.REACH]
+        out.append(kind + "_at_target" * aimed + ("_reported" if g.REPORT in s[:k] else "_negated" if g.NEGATION in before else ""))
+    return out

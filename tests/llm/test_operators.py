@@ -339,11 +339,36 @@ def test_patterns():
     assert names("not an idiot") == {"insult_negated"}
     assert names("she said that idiot") == {"insult_at_target_reported"}
     assert names("i will kill you") == {"threat_at_target"}
+    assert names("they kill it") == {"violence_at_target"} and names("kill") == {"violence"}
+    assert names("going to hurt someone") == {"threat"} and names("what a complete idiot") == {"strong_insult"}
+    assert names("you waste of space") == {"strong_insult_at_target"} and names("space of waste") == set()
+    assert names("you idiot, idiot a b c you") == {"insult_at_target"} and names("idiot a b c d you") == {"insult"}
     assert names("nothing here") == set()
     scores = own.scores(own.features(pa.array(["you idiot", "not an idiot", "fine", "", None])))
     assert scores[0] > 0.5 > scores[1] > scores[2] == scores[3] == scores[4]
 
 
+def test_machine_by_brute_force():
+    """The composed machine against a reader that looks around every word of a clause."""
+    rng, own = random.Random(8), toxicity.Grammar()
+    words = [*"idiot kill you not said will such waste piece of space x y z".split(), "x", "y", "z", "w"]
+    for _ in range(3000):
+        clause = [rng.choice(words) for _ in range(rng.randint(1, 16))]
+        found = own.features(pa.array([" ".join(clause)]))[0]
+        want_ = brute.clause_patterns(clause, own.symbol, toxicity)
+        assert np.rint(np.expm1(found)).astype(int).tolist() == [want_.count(p) for p in toxicity.PATTERNS], clause
+
+
+def test_toxicity_query(spark):
+    """The registered query: every document scored by the grammar alone, held-out rows and their accuracy."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    out = {r.doc_id: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    assert set(out) == set(docs) and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in out.items())
+    held = [i for i in toxic if out[i].held_out]
+    assert np.mean([out[i].predicted == toxic[i] for i in held]) >= 0.9
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
