@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomnet.llm.common import NULL_ID, covered, dealt, hash_words, ids_of, split_words, text_bytes, window_hashes, windows_inside
 
 #: What groups send of a hash: below the last rung whether two ids here have it; at the last the smallest id and how far the largest lies off.
-SENT, SENT_LAST = "h long, pid int, many boolean", "h long, pid int, lo long, span long, more int"
+SENT, SENT_LAST = "h long, pid int, many boolean", "h long, pid int, lo long, span long, more int, clash boolean"
 
 
 def ladder(window: int, base: int) -> list[int]:
@@ -72,13 +72,17 @@ class Group:
         return (window_hashes(again, length, SECOND)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def sent(self, at: np.ndarray, h: np.ndarray, pid: int, last: int = 0) -> pa.Table:
-        """Each hash once; with 32 further bits of it where ``last``, the window length, is given."""
+        """Each hash once; with 32 further bits of it where ``last``, the window length, is given, and whether these alone tell it from another one here."""
         owner, more = self.ids[self.doc[at]], self.more(at, last) if last else np.zeros(len(at), np.int32)
         order = np.lexsort((owner, more, h))
         h, more, owner = h[order], more[order], owner[order]
         new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1]))) if len(h) else np.zeros(0, np.int64)
         span = owner[np.append(new[1:], len(h)) - 1 if len(h) else new] - owner[new]
-        return pa.table({"h": h[new].view(np.int64), "pid": np.full(len(new), pid, np.int32)} | ({"lo": owner[new], "span": span, "more": more[new]} if last else {"many": span > 0}))
+        out = {"h": h[new].view(np.int64), "pid": np.full(len(new), pid, np.int32)}
+        if not last:
+            return pa.table(out | {"many": span > 0})
+        twice = h[new][1:] == h[new][:-1]
+        return pa.table(out | {"lo": owner[new], "span": span, "more": more[new], "clash": (np.append(False, twice) | np.append(twice, False))[: len(new)]})
 
 
 def known(table: pa.Table) -> np.ndarray:
@@ -90,14 +94,15 @@ def among(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def repeated(sent: DataFrame, last: bool) -> DataFrame:
-    """What groups must know: hashes that two documents have; at the last rung, where a later id than the first has it, with that first id.
+    """What groups must know: hashes that two documents have; at the last rung, where a later id than the first has it, with that first id (and the
+    further bits only where the group needs them).
 
     A hash has one row a group, whatever the number of documents with it, and a window spills what it holds; a join with an aggregate in tables of
     their own would let Spark split the rows of one hash, but writes all windows twice more."""
     by = W.partitionBy("h")
     if last:
         by = W.partitionBy("h", "more")
-        return sent.withColumn("lowest", F.min("lo").over(by)).where(F.col("lo") + F.col("span") > F.col("lowest")).select("pid", "h", "more", "lowest")
+        return sent.withColumn("lowest", F.min("lo").over(by)).where(F.col("lo") + F.col("span") > F.col("lowest")).select("pid", "h", F.when(F.col("clash"), F.col("more")).alias("more"), "lowest")
     return sent.withColumn("groups", F.count(F.lit(1)).over(by)).where("many or groups > 1").select("pid", "h")
 
 
@@ -126,17 +131,15 @@ def substring_dedup(docs: DataFrame, window: int = 13, base: int = 7, texts: boo
         at, h = g.at(window)
         hit = np.zeros(len(at), bool)
         if answer.num_rows and len(at):
-            known_h, known_more, low = answer["h"].to_numpy().view(np.uint64), answer["more"].to_numpy(), answer["lowest"].to_numpy()
-            maybe = np.flatnonzero(among(h, np.sort(known_h)))
-            more = g.more(at[maybe], window)
-            # pair windows with answers by both hashes: sort the two together, answers first
-            both_h, both_more = np.append(known_h, h[maybe]), np.append(known_more, more)
-            order = np.lexsort((np.arange(len(both_h)), both_more, both_h))
-            new = np.append(True, (both_h[order][1:] != both_h[order][:-1]) | (both_more[order][1:] != both_more[order][:-1]))
-            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # the first of each run of equals
-            window_, ok = order >= len(known_h), head < len(known_h)
-            found = maybe[order[window_ & ok] - len(known_h)]
-            hit[found] = g.ids[g.doc[at[found]]] > low[head[window_ & ok]]
+            known_h, low, clash = answer["h"].to_numpy().view(np.uint64), answer["lowest"].to_numpy(), answer["more"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+            order = np.flatnonzero(~clash)[np.argsort(known_h[~clash])]
+            if len(order):
+                k = order[np.minimum(np.searchsorted(known_h[order], h), len(order) - 1)]
+                hit = (known_h[k] == h) & (g.ids[g.doc[at]] > low[k])
+            for k in np.flatnonzero(clash).tolist():  # windows that agree in 64 bits with others of the group
+                same = np.flatnonzero(h == known_h[k])
+                same = same[g.more(at[same], window) == answer["more"][k].as_py()]
+                hit[same] = g.ids[g.doc[at[same]]] > low[k]
         gone = covered(at[hit], window, g.n)
         sizes = np.diff(np.frombuffer(g.words.buffers()[1], np.int64))
         data = np.frombuffer(g.words.buffers()[2], np.uint8) if g.n else np.zeros(0, np.uint8)
