@@ -76,19 +76,35 @@ def log_choose(a: Column, b: Column) -> Column:
 
 
 def hypergeometric_p(x: Column, a: Column, b: Column, n: Column, alternative: str = "greater") -> Column:
-    """Fisher's exact test of an overlap x between sets of a and b out of n."""
+    """Fisher's exact test of an overlap x between sets of a and b out of n.
+
+    A tail starts from one probability and goes on by the ratio of neighbouring ones, always away from the mode, where they fall; a tail that holds the
+    mode is one less the other."""
     x, a, b, n = (c.cast("long") for c in (x, a, b, n))
     low, high = F.greatest(F.lit(0).cast("long"), a + b - n), F.least(a, b)
+    mode = F.least(high, F.greatest(low, F.floor((a + 1) * (b + 1) / (n + 2))))
     chance = lambda k: F.exp(log_choose(a, k) + log_choose(n - a, b - k) - log_choose(n, b))
-    zero = F.lit(0.0)
+    up = lambda k: (a - k) * (b - k) / ((k + 1) * (n - a - b + k + 1))  # noqa: E731  chance(k + 1) / chance(k)
+    down = lambda k: k * (n - a - b + k) / ((a - k + 1) * (b - k + 1))  # noqa: E731  chance(k - 1) / chance(k)
+
+    def tail(first: Column, count: Column, ratio, step: int, limit: Column | None = None) -> Column:
+        """The sum of chance(first) and ``count`` - 1 further ones on one side; of those alone that are at most ``limit``, if given."""
+        counted = lambda p: p if limit is None else F.when(p <= limit, p).otherwise(0.0)
+        begin = chance(first)
+        add = lambda s, i: F.struct((s["p"] * ratio(first + step * (i - 1))).alias("p"), (s["total"] + counted(s["p"] * ratio(first + step * (i - 1)))).alias("total"))
+        steps = F.when(count > 1, F.sequence(F.lit(1).cast("long"), F.greatest(count - 1, F.lit(1).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(count > 0, F.aggregate(steps, F.struct(begin.alias("p"), counted(begin).alias("total")), add)["total"]).otherwise(0.0)
+
+    above = lambda k, limit=None: tail(k, high - k + 1, up, 1, limit)  # noqa: E731  k to high
+    below = lambda k, limit=None: tail(k, k - low + 1, down, -1, limit)  # noqa: E731  low to k
     if alternative == "greater":
-        p = F.aggregate(F.sequence(F.greatest(x, low), high), zero, lambda s, k: s + chance(k))
+        p = F.when(x > mode, above(x)).otherwise(1 - below(x - 1))
     elif alternative == "less":
-        p = F.aggregate(F.sequence(low, F.least(x, high)), zero, lambda s, k: s + chance(k))
+        p = F.when(x < mode, below(x)).otherwise(1 - above(x + 1))
     else:
         limit = chance(x) * (1 + 1e-7)
-        p = F.aggregate(F.sequence(low, high), zero, lambda s, k: s + F.when(chance(k) <= limit, chance(k)).otherwise(0.0))
-    return F.least(F.lit(1.0), p)
+        p = above(mode, limit) + below(mode - 1, limit)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
 def jaccard(inter: Column, a: Column, b: Column) -> Column:

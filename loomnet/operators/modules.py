@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomnet.functions.stats import pearson
-from loomnet.operators.cluster import cut_tree, linkage
+from loomnet.operators.cluster import cut_tree, leaf_order, linkage
 from loomnet.operators.network import dense, packed, places, zscores
 from loomnet.plans.runtime import materialize
 
@@ -42,7 +42,7 @@ def average_expression(expr: DataFrame, membership: DataFrame) -> DataFrame:
 
 def eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:
     """(sample_id, module, value): the first principal component over samples of each module's standardised genes, of unit norm and
-    positively correlated with the module's average expression.
+    positively correlated with the module's average expression; where that is uncorrelated, the first sample's value is positive.
 
     Tasks multiply the genes they have into samples x samples products by module; only these are brought together, so a module may have any number of
     genes. Missing values count as the gene's mean."""
@@ -62,7 +62,10 @@ def eigengenes(expr: DataFrame, membership: DataFrame) -> DataFrame:
         gram = sum(np.frombuffer(b, np.float64) for b in table["gram"].to_pylist()).reshape(p, p)
         total = sum(np.frombuffer(b, np.float64) for b in table["total"].to_pylist())
         vector = np.linalg.eigh(gram)[1][:, -1]
-        if vector @ total < 0:
+        turn = vector @ total
+        if abs(turn) <= 1e-9 * np.linalg.norm(total):  # neither, as in two genes that run against each other
+            turn = vector[0]
+        if turn < 0:
             vector = -vector
         return pa.table({"module": pa.array([key[0].as_py()] * p), "at": pa.array(range(p), pa.int32()), "value": vector})
 
@@ -129,11 +132,12 @@ def consensus(diss: DataFrame, how: str = "consensus", quantile: float = 0.0) ->
     return diss.groupBy("i", "j").agg(value.alias("d"))
 
 
-def equalize_quantiles(diss: DataFrame) -> DataFrame:
-    """(set_id, i, j, d) with each set's values replaced by the mean over sets of the values of the same rank; ties take the mean of their ranks' values."""
+def equalize_quantiles(diss: DataFrame, summary: str = "mean") -> DataFrame:
+    """(set_id, i, j, d) with each set's values replaced by the mean or median over sets of the values of the same rank; ties take the mean of their ranks' values."""
+    over_sets = {"mean": F.avg("d"), "median": F.median("d")}[summary]
     by = W.partitionBy("set_id").orderBy("d", "i", "j")
     ranked = diss.withColumn("rank", F.row_number().over(by))
-    mean = ranked.groupBy("rank").agg(F.avg("d").alias("m"))
+    mean = ranked.groupBy("rank").agg(over_sets.alias("m"))
     tied = ranked.join(mean, "rank")
     return tied.select("set_id", "i", "j", F.avg("m").over(W.partitionBy("set_id", "d")).alias("d"))
 
@@ -154,18 +158,28 @@ def merge_close_modules(expr: DataFrame, membership: DataFrame, cut: float = 0.2
             return current
 
 
+def order_by_tree(diss: DataFrame, names: DataFrame, grey: str = "grey") -> DataFrame:
+    """(module, ord): modules (id) in the leaf order of the average-linkage tree of their dissimilarities (i, j, d), with grey last."""
+    names = materialize(names.select("id").distinct(), "names")
+    proper = diss.where((F.col("i") != grey) & (F.col("j") != grey))
+    tree = materialize(linkage(proper, names.where(F.col("id") != grey), "average"), "tree")
+    placed = leaf_order(tree, names.where(F.col("id") != grey))
+    last = names.where(F.col("id") == grey).select("id", F.lit(None).cast("long").alias("ord"))
+    nth = F.row_number().over(W.orderBy(F.col("ord").asc_nulls_last())) - 1  # a row a module
+    return placed.unionByName(last).select(F.col("id").alias("module"), nth.cast("int").alias("ord"))
+
+
 def order_modules(me: DataFrame, grey: str = "grey") -> DataFrame:
-    """(module, ord): modules along the average-linkage tree of their eigengenes - a module's place is the path of its merges - with grey last."""
-    names = me.select(F.col("module").alias("id")).distinct()
-    tree = linkage(me_dissimilarity(me), names, "average")
-    up = {r["left"]: (r["node"], "0") for r in tree.collect()} | {r["right"]: (r["node"], "1") for r in tree.collect()}  # a row a module
-
-    def path(module: str) -> str:
-        turns = ""
-        while module in up:
-            module, turn = up[module]
-            turns = turn + turns
-        return turns
-
-    placed = sorted((r["id"] for r in names.collect()), key=lambda m: (m == grey, path(m), m))
-    return me.sparkSession.createDataFrame([(m, k) for k, m in enumerate(placed)], "module string, ord int")
+    """(module, ord): modules along the tree of their eigengenes, with grey last."""
+    return order_by_tree(me_dissimilarity(me), me.select(F.col("module").alias("id")), grey)
+
+
+def order_modules_by_set(me: DataFrame, by=None, grey: str = "grey") -> DataFrame:
+    """The order of one set (``by``, else the first) of multi-set eigengenes (with set_id), for all sets."""
+    by = me.agg(F.min("set_id")).first()[0] if by is None else by
+    return order_modules(me.where(F.col("set_id") == by).drop("set_id"), grey)
+
+
+def consensus_order(me: DataFrame, how: str = "consensus", absolute: bool = False, grey: str = "grey") -> DataFrame:
+    """(module, ord) by the consensus ('consensus' or 'majority') of the sets' dissimilarities of eigengenes."""
+    return order_by_tree(consensus(me_dissimilarity(me, absolute, ("set_id",)), how), me.select(F.col("module").alias("id")), grey)

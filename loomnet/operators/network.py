@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from loomnet.functions.stats import pearson, similarity, soft_threshold
 
-#: Genes from which the block plan is used, and rows of a block.
-BLOCK_FROM, BLOCK = 1000, 512
+#: Genes from which the block plan is used, rows of a block, and cells of a block of wide rows.
+BLOCK_FROM, BLOCK, CELLS = 1000, 512, 4_000_000
 
 
 def zscores(expr: DataFrame) -> DataFrame:
@@ -43,18 +43,18 @@ def packed(long: DataFrame, row: str, column: str, value: str = "value", place:
     return rows.select(F.col(row).alias("id"), F.col("c.__at").alias("at"), F.col(f"c.{value}").alias("v")), place.count()
 
 
-def dense(batch, width: int) -> np.ndarray:
-    """The matrix of packed rows, 0 where a cell is absent."""
+def dense(batch, width: int, absent: float = 0.0) -> np.ndarray:
+    """The matrix of packed rows, ``absent`` where a cell is."""
     at, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["at"], batch["v"]))
-    out = np.zeros((len(at), width))
+    out = np.full((len(at), width), absent)
     rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
     out[rows, at.flatten().to_numpy(zero_copy_only=False)] = v.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def block_products(vectors: DataFrame, width: int, rows: int) -> DataFrame:
-    """(i, j, dot) of all pairs i < j of packed rows, by products of blocks."""
-    blocks = max(1, -(-rows // BLOCK))
+def block_products(vectors: DataFrame, width: int, rows: int, product=lambda x, y: x @ y.T, absent: float = 0.0) -> DataFrame:
+    """(i, j, dot) of all pairs i < j of packed rows, by products of blocks (or by what else ``product`` makes of two matrices)."""
+    blocks = max(1, -(-rows // min(BLOCK, max(16, CELLS // max(1, width)))))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(F.least(b, F.col("mine")).alias("a"), F.greatest(b, F.col("mine")).alias("b")))
     dealt = vectors.withColumn("mine", mine).select("id", "at", "v", "mine", F.explode(cells).alias("c")).select("id", "at", "v", "mine", "c.a", "c.b")
@@ -62,9 +62,9 @@ def block_products(vectors: DataFrame, width: int, rows: int) -> DataFrame:
     def multiply(key, table):
         ids, mine_ = np.array(table["id"].to_pylist(), object), table["mine"].to_numpy()
         order = np.argsort(ids)  # so that the smaller name comes first within a block
-        ids, mine_, x = ids[order], mine_[order], dense(table, width)[order]
+        ids, mine_, x = ids[order], mine_[order], dense(table, width, absent)[order]
         left, right = (np.flatnonzero(mine_ == k.as_py()) for k in key)
-        dots = x[left] @ x[right].T
+        dots = product(x[left], x[right])
         if key[0] == key[1]:
             i, j = np.triu_indices(len(left), 1)
         else:

@@ -84,8 +84,16 @@ def p3_good_samples(spark, sf_dir):
     return clean.good_samples(fx.events(spark, sf_dir))
 
 
-@query()
+def _clean_round(k: int) -> str:
+    """One round of dropping bad genes, then bad samples, as SQL over e<k>."""
+    return f"""g{k} AS (SELECT gene_id FROM e{k}, (SELECT count(DISTINCT sample_id) AS s, 1e-10 * max(abs(value)) AS tol FROM e{k}) GROUP BY gene_id, s, tol
+ HAVING count(value) >= 4 AND s - count(value) < 0.5 * s AND coalesce(var_pop(value), 0) > tol * tol), h{k} AS (SELECT * FROM e{k} WHERE gene_id IN (FROM g{k})),
+s{k} AS (SELECT sample_id FROM h{k}, (SELECT count(DISTINCT gene_id) AS g FROM h{k}) GROUP BY sample_id, g HAVING g - count(value) < 0.5 * g AND count(value) >= 4), e{k + 1} AS (SELECT * FROM h{k} WHERE sample_id IN (FROM s{k}))"""
+
+
+@query(f"WITH {fx.SUPP_CELLS}, e0 AS (FROM cells), " + ", ".join(map(_clean_round, range(6))) + " SELECT gene_id, count(value) AS n_samples FROM e6 GROUP BY gene_id")
 def p4_good_samples_genes(spark, sf_dir):
+    """The SQL spells out six rounds, more than these tables need until nothing changes."""
     return clean.good_samples_genes(fx.supp(spark, sf_dir, filled=False)).groupBy("gene_id").agg(F.count("value").alias("n_samples"))
 
 
@@ -266,12 +274,28 @@ def n12_signed_kme(spark, sf_dir):
     return rounded(modules.signed_kme(fx.supp(spark, sf_dir), _average(spark, sf_dir)), "r")
 
 
-@query()
+def _eigengenes(expr: str = "expr", keys: str = "module") -> str:
+    """Eigengenes as SQL: the Gram matrix of the samples, squared again and again (to the power of 8,192), is the projector on its first vector; signs by the mean."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    of = lambda t: ", ".join(f"{t}.{k}" for k in keys.split(", "))
+    out = f"""zz AS (SELECT {keys}, gene_id, sample_id, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM {expr} JOIN genes USING (gene_id) WINDOW w AS (PARTITION BY {keys}, gene_id)),
+q0 AS (SELECT {of("a")}, a.sample_id AS i, b.sample_id AS j, sum(a.z * b.z) AS v FROM zz a JOIN zz b ON {on} AND a.gene_id = b.gene_id GROUP BY ALL)"""
+    for k in range(13):
+        out += f""", t{k} AS (SELECT {keys}, sum(v) FILTER (i = j) AS t FROM q{k} GROUP BY ALL), q{k + 1} AS MATERIALIZED (SELECT {of("a")}, a.i, b.j, sum(a.v * b.v / (b.t * b.t)) AS v FROM q{k} a JOIN (FROM q{k} JOIN t{k} USING ({keys})) b ON {on} AND a.j = b.i GROUP BY ALL)"""
+    return out + f""", col AS (SELECT {keys}, arg_max(i, v) AS j FROM q13 WHERE i = j GROUP BY ALL), vec AS (SELECT {keys}, i AS sample_id, v / sqrt(sum(v * v) OVER (PARTITION BY {keys})) AS v FROM q13 JOIN col USING ({keys}, j)),
+mean AS (SELECT {keys}, sample_id, avg(z) AS m FROM zz GROUP BY ALL), turn AS (SELECT {keys}, CASE WHEN CASE WHEN abs(sum(v * m)) <= 1e-9 * sqrt(sum(m * m)) THEN arg_min(v, sample_id) ELSE sum(v * m) END < 0 THEN -1 ELSE 1 END AS sign FROM vec JOIN mean USING ({keys}, sample_id) GROUP BY ALL),
+me AS (SELECT {keys}, sample_id, v * sign AS value FROM vec JOIN turn USING ({keys}))"""
+
+
+EIGEN = f"WITH {fx.SUPP}, {fx.SUPP_MODULES}, {_eigengenes()} "
+
+
+@query(EIGEN + "SELECT sample_id, module, round(value, 6) + 0.0 AS value FROM me")
 def m2_eigengene(spark, sf_dir):
     return rounded(modules.eigengenes(fx.supp(spark, sf_dir), fx.supp_modules(spark, sf_dir)), "value")
 
 
-@query()
+@query(EIGEN + ", kme AS (SELECT e.gene_id, g.module, corr(e.value, m.value) AS r FROM expr e JOIN genes g USING (gene_id) JOIN me m ON m.sample_id = e.sample_id AND m.module = g.module GROUP BY ALL) SELECT module, round(avg(r * r), 6) AS explained FROM kme GROUP BY module")
 def m2_variance_explained(spark, sf_dir):
     genes = fx.supp_modules(spark, sf_dir)
     me = modules.eigengenes(fx.supp(spark, sf_dir), genes)
@@ -313,6 +337,12 @@ def w3_equalized_quantiles(spark, sf_dir):
     return rounded(modules.equalize_quantiles(_sets(spark, sf_dir)), "d")
 
 
+@query(SETS + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY d, i, j) AS nth FROM diss), means AS (SELECT nth, median(d) AS m FROM ranked GROUP BY nth)
+SELECT set_id, i, j, round(avg(m) OVER (PARTITION BY set_id, d), 6) + 0.0 AS d FROM ranked JOIN means USING (nth)""")
+def w3_equalized_quantiles_median(spark, sf_dir):
+    return rounded(modules.equalize_quantiles(_sets(spark, sf_dir), "median"), "d")
+
+
 COLOR_LIST = "[" + ", ".join(f"'{c}'" for c in COLORS) + "]"
 
 
@@ -466,16 +496,30 @@ def m10_merge(spark, sf_dir):
     return modules.merge_close_modules(fx.supp(spark, sf_dir), fx.supp_modules(spark, sf_dir), cut=0.2)
 
 
-@query(SUPP_ADJ + """, c AS (SELECT x.module, x.gene_id, coalesce(sum(a) FILTER (y.module = x.module), 0) AS c FROM genes x LEFT JOIN both_ ON g = x.gene_id LEFT JOIN genes y ON y.gene_id = o GROUP BY ALL),
+SUB_TOM = SUPP_ADJ + """, l AS (SELECT a.g AS i, b.g AS j, sum(a.a * b.a) AS l FROM both_ a JOIN both_ b ON a.o = b.o AND a.g < b.g GROUP BY ALL),
+tom AS (SELECT adj.i, adj.j, abs((coalesce(l, 0) + a) / (least(ki.k, kj.k) + 1 - a)) AS t FROM adj LEFT JOIN l ON l.i = adj.i AND l.j = adj.j JOIN k ki ON ki.g = adj.i JOIN k kj ON kj.g = adj.j),
 me AS (SELECT sample_id, module, avg(value) AS value FROM (SELECT sample_id, gene_id, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS value FROM expr WINDOW w AS (PARTITION BY gene_id)) JOIN genes USING (gene_id) GROUP BY ALL),
 kme AS (SELECT e.gene_id, g.module, corr(e.value, m.value) AS r FROM expr e JOIN genes g USING (gene_id) JOIN me m ON m.sample_id = e.sample_id AND m.module = g.module GROUP BY ALL),
-top AS (SELECT gene_id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY round(r, 9) DESC, gene_id) AS nth FROM kme WHERE module IN ('ASIA', 'EUROPE')) WHERE nth <= 10)
-SELECT i, j, round(a, 6) + 0.0 AS t FROM adj WHERE i IN (FROM top) AND j IN (FROM top) AND a >= 0.0001 AND a <> 0 ORDER BY round(a, 9) DESC, i, j LIMIT 100""")
-def n9_subnetwork_edges(spark, sf_dir):
+top AS (SELECT gene_id, module, r, nth FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY round(r, 9) DESC, gene_id) AS nth FROM kme WHERE module IN ('ASIA', 'EUROPE')) WHERE nth <= 10)
+"""
+
+
+def _subnetwork(spark, sf_dir):
     genes, expr = fx.supp_modules(spark, sf_dir), fx.supp(spark, sf_dir)
-    weights = _supp_adjacency(spark, sf_dir).withColumnRenamed("a", "t")
+    named = genes.join(fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("gene_id"), F.col("s_name").alias("name")), "gene_id")
     kme = modules.signed_kme(expr, modules.average_expression(expr, genes))
-    return rounded(lookup.subnetwork(weights, kme, genes, ["ASIA", "EUROPE"], 10, 100, 0.0001)[1].select("i", "j", "t"), "t")
+    return lookup.subnetwork(network.tom(_supp_adjacency(spark, sf_dir)), kme, named, ["ASIA", "EUROPE"], 10, 100, 0.0001)
+
+
+@query(SUB_TOM + "SELECT i, j, round(t, 6) + 0.0 AS t FROM tom WHERE i IN (SELECT gene_id FROM top) AND j IN (SELECT gene_id FROM top) AND t >= 0.0001 AND t <> 0 ORDER BY round(t, 9) DESC, i, j LIMIT 100")
+def n9_subnetwork_edges(spark, sf_dir):
+    """The hundred largest overlaps among the ten best genes of each of two modules."""
+    return rounded(_subnetwork(spark, sf_dir)[1].select("i", "j", "t"), "t")
+
+
+@query(SUB_TOM + "SELECT gene_id, gene_id AS label, module, module AS color, 'dot' AS shape, gene_id || chr(10) || 'name: ' || s_name AS title, round(r, 6) + 0.0 AS r, nth::INT AS rank FROM top JOIN supplier ON s_suppkey::VARCHAR = gene_id")
+def s14_subnetwork_nodes(spark, sf_dir):
+    return rounded(_subnetwork(spark, sf_dir)[0], "r")
 
 
 # --- further entries of the inventory -----------------------------------------------------------------------
@@ -549,7 +593,7 @@ def c8_size_filter(spark, sf_dir):
     return cluster.size_filter(fx.supp_modules(spark, sf_dir).select(F.col("gene_id").alias("id"), F.col("module").alias("label")), 3)
 
 
-@query()
+@query(f"WITH {fx.SUPP}, {fx.SUPP_MODULES}, sets AS (SELECT left(sample_id, 4)::INT % 2 AS set_id, * FROM expr), {_eigengenes('sets', 'set_id, module')} SELECT set_id, sample_id, module, round(value, 6) + 0.0 AS value FROM me")
 def m4_multiset_eigengenes(spark, sf_dir):
     expr = fx.supp(spark, sf_dir).withColumn("set_id", F.substring("sample_id", 1, 4).cast("int") % 2)
     return rounded(modules.multiset_eigengenes(expr, fx.supp_modules(spark, sf_dir)), "value")
@@ -560,6 +604,30 @@ def m9_module_order(spark, sf_dir):
     return modules.order_modules(_average(spark, sf_dir))
 
 
+@query()
+def m9_consensus_order(spark, sf_dir):
+    me = _average(spark, sf_dir).withColumn("set_id", F.substring("sample_id", 1, 4).cast("int") % 2)
+    return modules.consensus_order(me, "majority")
+
+
+@query()
+def c4_heatmap_rows(spark, sf_dir):
+    """Dimensions in the order of a heatmap's rows: flat clusters of an average-linkage tree, each in leaf order."""
+    expr = fx.dim(spark, sf_dir)
+    items = expr.select(F.col("gene_id").alias("id")).distinct()
+    tree = cluster.linkage(cluster.euclidean(expr), items)
+    return cluster.heatmap_rows(tree, items, tree.agg(F.avg("height")).first()[0])
+
+
+@query(WITH_OVERLAPS + "SELECT network1, module1, network2, module2, inter, round(inter / (size1 + size2 - inter), 6) AS jaccard FROM full_")
+def s7_saved_comparison(spark, sf_dir):
+    from loomnet.plans import analysis
+
+    path = shared_path(spark, "comparison")
+    analysis.save_comparison(_compared(spark, sf_dir).select("network1", "module1", "network2", "module2", "inter", "jaccard"), path)
+    return rounded(analysis.load_comparison(spark, path), "jaccard")
+
+
 @query(TRAIT_SQL + "SELECT module, trait, printf('%.2f', r) || chr(10) || '(' || printf('%.3f', greatest(p, 0)) || ')' AS label FROM p")
 def v3_heatmap_labels(spark, sf_dir):
     return traits.heatmap_labels(traits.module_trait(_average(spark, sf_dir), traits.encode_traits(fx.months(spark, sf_dir)))).select("module", "trait", "label")

@@ -110,6 +110,11 @@ def test_student_and_fisher(spark):
 
     for g, w in zip(got, ((3, 5, 4, 10), (0, 3, 3, 10), (10, 10, 10, 10)), strict=True):
         assert g == pytest.approx(exact(*w), rel=1e-9)
+    cases = [(x, a, b, n) for a, b, n in ((0, 5, 9), (4, 6, 9), (7, 7, 9), (40, 90, 400), (300, 350, 400)) for x in range(max(0, a + b - n), min(a, b) + 1, 3)]
+    p = spark.createDataFrame(cases, "x long, a long, b long, n long")
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in p.select("*", *[stats.hypergeometric_p(*(F.col(c) for c in "xabn"), s) for s in ("greater", "less", "two-sided")]).collect()}
+    for w in cases:
+        assert got[w] == pytest.approx(exact(*w), rel=1e-8, abs=1e-12), w
 
 
 def brute_linkage(d, method):
@@ -137,6 +142,48 @@ def test_linkage_by_brute_force(spark, method):
         assert rows(cluster.cut_tree(tree, items, cut).toPandas()) == rows(cluster.cut_single(pairs, items, cut).toPandas())
 
 
+def test_distances(spark):
+    x = np.random.default_rng(6).normal(size=(9, 5))
+    x[2, 1] = x[4, :3] = np.nan
+    x[5] = x[6] + 1e-9
+    x[7, :3], x[8, 3:] = np.nan, np.nan  # no cell in common
+    got = {(r.i, r.j): r.d for r in cluster.euclidean(expr_of(spark, x)).collect()}
+    names = [f"g{k:03d}" for k in range(9)]
+    for i in range(9):
+        for j in range(i + 1, 9):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            assert ((names[i], names[j]) in got) == both.any()
+            if both.any():
+                assert got[names[i], names[j]] == pytest.approx(np.sqrt(((x[i] - x[j])[both] ** 2).sum()), rel=1e-6)
+
+
+def test_leaf_order(spark):
+    tree = spark.createDataFrame([("a", "c", "a~1", 1.0, 2, 1), ("b", "d", "b~1", 1.0, 2, 1), ("b~1", "a~1", "b~2", 2.0, 4, 2), ("b~2", "e", "b~3", 3.0, 5, 3), ("x", "y", "x~1", 1.0, 2, 1)], "left string, right string, node string, height double, size long, round int")
+    items = spark.createDataFrame([(k,) for k in "abcdexyz"], "id string")
+    place = {r.id: r.ord for r in cluster.leaf_order(tree, items).collect()}
+    assert sorted(place, key=place.get) == list("zbdacexy") and sorted(place.values()) == list(range(8))
+    rows_ = {r.id: (r.label, r.ord) for r in cluster.heatmap_rows(tree, items, 1.5).collect()}
+    assert sorted(rows_, key=lambda k: rows_[k][1]) == list("zbdacexy") and rows_["c"][0] == "a" and rows_["e"][0] == "e"
+
+
+def test_module_order(spark):
+    """Modules of like eigengenes stand side by side and grey is last, by one set or by consensus."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 40))
+    own = {"m1": a, "m4": a + 0.1 * rng.normal(size=40), "m2": b, "m3": b + 0.1 * rng.normal(size=40), "grey": rng.normal(size=40)}
+    me = spark.createDataFrame([(k % 2, f"s{k:02d}", m, float(v[k])) for m, v in own.items() for k in range(40)], "set_id int, sample_id string, module string, value double")
+    for order in (modules.order_modules(me.drop("set_id")), modules.order_modules_by_set(me), modules.consensus_order(me, "majority")):
+        place = {r.module: r.ord for r in order.collect()}
+        assert sorted(place.values()) == list(range(5)) and place["grey"] == 4
+        assert abs(place["m1"] - place["m4"]) == 1 and abs(place["m2"] - place["m3"]) == 1
+
+
+def test_scatter_share():
+    assert cluster.scatter_share(2) == 0.82 and cluster.scatter_share(0.5) == pytest.approx(0.685) and cluster.scatter_share(4) == 0.95
+    with pytest.raises(ValueError):
+        cluster.scatter_share(5)
+
+
 def planted(seed=5):
     rng = np.random.default_rng(seed)
     factors = rng.normal(size=(4, 60))
