@@ -9,7 +9,8 @@ copies of one segment, eight bytes a symbol. A further copy shares the verdict o
 
 An anchor with more than ``most`` different segments, such as those at the rim of a passage that very many documents share, is split by
 further context: its windows are parted by how far left of the anchor they start, and all windows of a part share more bytes than the
-anchor, whose digest makes the shard. Parts are split again until a shard is small; a part of one window has one content."""
+anchor, whose digest makes the shard. Parts are split again until a shard is small; a part of one window has one content. Inside a task, shards
+of more than ``FEW`` different texts are split the same way before they are sorted, so that many short shards are sorted in step."""
 
 from __future__ import annotations
 
@@ -28,6 +29,8 @@ from loomnet.llm.induced_sort import common_prefixes, ragged, suffix_arrays
 SHORT = 16
 #: Symbols that one pass of induced sorting takes, and bytes in a symbol for copies of one segment.
 PASS, WIDE = 1_000_000, 8
+#: Different texts of a shard that are sorted together.
+FEW = 8
 #: Parts that the windows of a crowded anchor are split into at a time.
 PARTS = 8
 TWIN, MIXED, CROWDED = 0, 1, 2
@@ -129,7 +132,7 @@ def _counted(each: DataFrame, most: int) -> DataFrame:
     return materialize(known.where("twin or kinds > 1").select(*DIGEST, "twin", "group", "low", "high"), "digests")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, most: int = 128, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, most: int = 512, texts: bool = False) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts anywhere else; strings never cross documents.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_bytes. Null and empty texts and those
@@ -296,10 +299,17 @@ def _sorted(table: pa.Table, length: int):
     mixed: dict = {}
     for i in np.flatnonzero(kinds == MIXED).tolist():
         mixed.setdefault(key[1][i], []).append(i)
-    for some in _passes(_trimmed(mixed.values(), columns["lead"], payload, length), 1):
-        for i, starts in _narrow(some, length):
-            if columns["answer"][i]:
-                yield mark(MIXED, i, 0, 0, (starts + columns["at"][i]).astype(np.int32).tobytes())
+    ranges = zip(table["lo"].to_pylist(), table["hi"].to_pylist(), strict=True)
+    ranges = list(ranges)
+    small = (shard for rows in mixed.values() for shard in _small([([(i, 0)], columns["lead"][i], payload[i].as_py()) for i in rows], *ranges[rows[0]], length))
+    starts: dict = {}
+    for some in _passes(small, 1):
+        for members, hit in _narrow(some, length):
+            for i, offset in members:
+                if columns["answer"][i]:
+                    starts.setdefault(i, []).append(hit + (offset + columns["at"][i]))
+    for i, hits in starts.items():
+        yield mark(MIXED, i, 0, 0, np.unique(np.concatenate(hits)).astype(np.int32).tobytes())
 
 
 def _agree(a: bytes, b: bytes) -> int:
@@ -318,16 +328,31 @@ def _reach(texts: list[bytes]) -> list[int]:
     return out
 
 
-def _trimmed(shards, lead: list[int], payload: pa.BinaryArray, length: int):
-    """For each shard its units as (rows and offsets, texts), cut down to what others agree with on either side of the anchor: a repeated window
-    lies within, so the rest can't matter, nor can a unit with less than ``length`` bytes of that."""
-    for rows in shards:
-        texts = [payload[i].as_py() for i in rows]
-        right = _reach([t[lead[i] :] for i, t in zip(rows, texts, strict=True)])
-        left = _reach([t[: lead[i]][::-1] for i, t in zip(rows, texts, strict=True)])
-        kept = [(i, lead[i] - x, t[lead[i] - x : lead[i] + y]) for i, t, x, y in zip(rows, texts, left, right, strict=True) if x + y >= length]
-        if len(kept) > 1:
-            yield [(i, offset) for i, offset, _ in kept], [t for _, _, t in kept]
+def _small(units: list, lo: int, hi: int, length: int):
+    """Shards of few different texts from the units of one shard, each ([(row, offset)], lead, text), whose windows start lo .. hi - 1 bytes left of the anchor.
+
+    Units are cut down to what others agree with on either side of the anchor: a repeated window lies within, so the rest can't matter, nor can a
+    unit with less than ``length`` bytes of that. Of equal texts two copies stay. What are still many texts is split by further context."""
+    right = _reach([t[lead:] for _, lead, t in units])
+    left = _reach([t[:lead][::-1] for _, lead, t in units])
+    same: dict = {}
+    for (members, lead, t), x, y in zip(units, left, right, strict=True):
+        if len(members) > 1:
+            x, y = lead, len(t) - lead  # its own copies agree with all of it
+        if x + y >= length:
+            same.setdefault((x, t[lead - x : lead + y]), []).extend((i, offset + lead - x) for i, offset in members)
+    if len(same) <= FEW:
+        if sum(map(len, same.values())) > 1:
+            copies = [(members, t) for (_, t), members in same.items() for _ in members[:2]]
+            yield [members if k == 0 or copies[k - 1][0] is not members else [] for k, (members, _) in enumerate(copies)], [t for _, t in copies]
+        return
+    parts: dict = {}
+    for (lead, t), members in same.items():
+        for low, high, a, count, own, common in _parts(0, lead, lo, hi, t, length):
+            parts.setdefault((low, high, common), []).append(([(i, offset + a) for i, offset in members], own, t[a : a + count + length - 1]))
+    for (low, high, _), some in parts.items():
+        if len(some) > 1 or len(some[0][0]) > 1:
+            yield from _small(some * 2 if len(some) == 1 else some, low, high, length)
 
 
 def _passes(shards, wide: int):
@@ -383,10 +408,10 @@ def _wide(some: list, length: int):
 
 
 def _narrow(some: list, length: int):
-    """(row, places of repeated windows) for the units of shards of different units."""
+    """(members, places of repeated windows) for the texts of shards."""
     bounds, shared = _prefixes(some, 1, length, length)
     for k, u, a, b in bounds:
-        i, offset = some[k][1][u]
+        members = some[k][1][u]
         hit = np.flatnonzero(shared[a : b - length + 1] >= length)
-        if len(hit):
-            yield i, hit + offset
+        if len(hit) and members:
+            yield members, hit
