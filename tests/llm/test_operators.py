@@ -94,6 +94,21 @@ def test_suffix_arrays_decide():
     assert sorted(found, key=str) == [(twin, 2, 0, 304, None), (mixed, 3, 0, 0, list(range(5, 26))), (mixed, 4, 0, 0, list(range(50, 71)))]
 
 
+def test_crowded_shards():
+    """Three hundred units at the rim of one passage, against counts of all their windows."""
+    rng = random.Random(5)
+    text = lambda n: bytes(rng.choice(b"abcdefghij klmn") for _ in range(n))
+    core, seen = text(784), {}
+    cuts = [rng.randrange(0, 200) for _ in range(300)]
+    payloads = [text(384 - x) + core[384 - x :] for x in cuts]
+    rows = [(0, suffix_dedup.MIXED, 3, 0, k, k, 3, k, k, 0, 384, 0, 385, True, t) for k, t in enumerate(payloads)]
+    for t in payloads:
+        for p in range(385):
+            seen[t[p : p + 400]] = seen.get(t[p : p + 400], 0) + 1
+    found = {r[6]: np.frombuffer(r[10], np.int32).tolist() for r in suffix_dedup._sorted(suffix_dedup._rows(suffix_dedup.UNIT, rows), 400)}
+    assert found == {k: [p for p in range(385) if seen[t[p : p + 400]] > 1] for k, t in enumerate(payloads)}
+
+
 def test_suffix_query_by_brute_force(spark):
     """The registered query over all documents of sf0.01, by digests of every window."""
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
