@@ -444,3 +444,46 @@ def test_pipeline_by_brute_force(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_jaccard_query(spark):
+    out = queries.op2_ngram_jaccard_join(spark, SF)
+    assert got(out, "doc_id", "class_id", "n_copies", "n_links", "group_id") == want(brute.jaccard(documents(spark)))
+
+
+def test_tokenizer_queries(spark):
+    """op5 and op8 with their production parameters, against the tokenizers library."""
+    theirs, at, expected = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i, t in sorted(documents(spark)):
+        ids = theirs.encode(t or "", add_special_tokens=False).ids + [0]
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got(queries.op5_token_id_output(spark, SF), "doc_id", "start", "n_tokens", "ids_crc32") == want(expected)
+    theirs, expected = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    theirs.no_truncation()
+    theirs.no_padding()
+    for i, t in documents(spark):
+        ids = theirs.encode(t or "", add_special_tokens=False).ids
+        expected.append((i, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(theirs.decode(ids, skip_special_tokens=False).encode())))
+    assert got(queries.op8_bpe_encoding_decoding(spark, SF), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want(expected)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and blank texts, repeated rows, ids with several texts and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [tuple(r) for r in docs.orderBy("doc_id").limit(20).collect()]
+    odd = [(None, None, None, None, None), (None, some[0][1], None, None, None), (900, "", "en", None, 0), (901, " \n\t ", None, "s", 5), (902, None, "en", "s", None), some[3], some[3], (some[4][0], "another text under this id", "en", "s", 26)]
+    spark.createDataFrame(some + odd, docs.schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for where in ("odd", "none"):
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(str(tmp_path / where / f"{table}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = [r.doc_id for r in out]
+    assert {900, 901, 902} <= set(ids) and None in ids and len(out) <= 28
+    assert {r.n_tokens for r in out if r.doc_id in (900, 901, 902)} == {0}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
