@@ -2,6 +2,7 @@
 
 import math
 import os
+import sys
 
 import duckdb
 import numpy as np
@@ -13,8 +14,12 @@ from loomnet.functions import stats
 from loomnet.model import Config
 from loomnet.operators import clean, cluster, compare, modules, network, traits
 from loomnet.plans import analysis, queries
+from loomnet.plans.runtime import materialize
 from loomnet.sources import tables
 
+sys.path.insert(0, os.path.dirname(__file__))
+import tree_cut  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = {"p5_outlying_samples", "c2_linkage", "m10_merge"}
@@ -199,6 +204,23 @@ def test_planted_modules(spark):
     assert found.module[truth < 4].nunique() == 4
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_adaptive_cut_against_a_direct_version(spark, seed):
+    """Agreement (adjusted Rand index) with the cut merge by merge, before any left-over item is given away and after."""
+    x, truth = planted(seed)
+    d = 1 - np.abs(np.corrcoef(x)) ** 2
+    np.fill_diagonal(d, 0)
+    names = [f"g{k:03d}" for k in range(len(d))]
+    pairs = spark.createDataFrame([(names[i], names[j], float(d[i, j])) for i in range(len(d)) for j in range(i + 1, len(d))], "i string, j string, d double")
+    items = spark.createDataFrame([(n,) for n in names], "id string")
+    tree = materialize(cluster.linkage(pairs, items), "tree")
+    numbered = materialize(cluster.dynamic_cut(tree, items, 5), "numbered")
+    given = {r.id: r.number for r in cluster.assign_nearest(numbered, pairs, cluster.cut_height(tree)).collect()}
+    direct = tree_cut.adaptive_cut(d, 5)
+    assert len(set(direct)) == 4 + (0 in direct)
+    assert tree_cut.agreement(np.array([given[n] for n in names]), direct) >= 0.9
+
+
 def test_eigengenes_against_svd(spark):
     x, truth = planted()
     expr = expr_of(spark, x)
