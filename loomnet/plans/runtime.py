@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,3 +25,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame, name: str) -> None:
+    """Delete a table that materialize() wrote under this name and that nothing reads any more, as the last round's of a loop."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if not re.fullmatch(re.escape(name) + "-[0-9a-f]{32}", folder.rpartition("/")[2]):
+            raise ValueError(f"{folder} is no table of the name {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder.rpartition('/')[2]}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
