@@ -7,7 +7,7 @@ more than ``leaf`` classes are split again, small ones are compared in full. Run
 probability below 1 - recall, also if all its buckets were split to the last level.
 
 Comparing a bucket takes sketches, every pair of it: they are cheap to send to each of a set's buckets, and miss a pair at the threshold with a
-probability of about a millionth. A bucket that is large at the last level holds sets that are much alike; there all are compared with one of
+probability of at most ``MISS``, which the runs make up for. A bucket that is large at the last level holds sets that are much alike; there all are compared with one of
 them, and only those that are far from it with all others, block by block. Either way only a spanning forest of the likely pairs leaves.
 
 What hangs together is then compared exactly, on the sets themselves. Parts of up to ``BLOCK`` sets are compared pair by pair. In larger parts each
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from loomnet.llm.common import bounded_batches, group_count, hash_words, materialize, mix, pieces, split_words, text_bytes, window_hashes
 
 SKETCH = 64  # coordinates of a sketch, two bytes each
+MISS = 0.0005  # the share of pairs at the threshold whose sketches may differ too much
 LEVELS = 3
 BLOCK = 128
 #: Weights of differences are whole numbers of this many to a token; what rounding may cost is SLACK of them.
@@ -174,9 +175,15 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = best
 
 
-def _sketch_least(threshold: float) -> int:
-    """Coordinates that must agree: five deviations below what a pair at the threshold has on average."""
-    return max(1, math.floor(SKETCH * threshold - 5 * math.sqrt(SKETCH * threshold * (1 - threshold))))
+def _sketch_least(threshold: float, miss: float = MISS) -> int:
+    """Coordinates that must agree: the most that a pair at the threshold falls short of with a probability of at most ``miss``."""
+    below, least = 0.0, 0
+    while least < SKETCH:
+        below += math.comb(SKETCH, least) * threshold**least * (1 - threshold) ** (SKETCH - least)
+        if below > miss:
+            break
+        least += 1
+    return max(1, least)
 
 
 def _groups(table: pa.Table, keys: list[str]):
@@ -276,6 +283,9 @@ def connected(edges: DataFrame, name: str = "connected") -> DataFrame:
     """node, root: the least node of the part that each node of ``edges`` (node, to) is in. Alternates large-star and small-star
     steps, each a minimum by key and a join, until nothing changes; every step is a table in the shared folder."""
     edges = materialize(edges.select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).where("node <> to").distinct(), name)
+    # all that a node leads to is led to the least of that, so that edges from many blocks fold into one a node before they are doubled
+    least = materialize(edges.groupBy("node").agg(F.min("to").alias("m")), name)
+    edges = materialize(edges.join(least, "node").select(F.col("to").alias("node"), F.col("m").alias("to")).where("node <> to").unionByName(least.withColumnRenamed("m", "to")).distinct(), name)
     last = None
     while True:
         # minima are tables of their own, so that their joins are of two plain shuffles, whose hot nodes Spark can split
@@ -385,7 +395,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     classes with a Jaccard similarity of at least ``threshold``, and group_id the smallest doc_id that links and copies lead to. Words
     are parted by white space and not changed; a text of fewer than ``n`` words is one shingle. Null, empty and blank texts have no shingles: each is a class
     and a group of its own (class_id = group_id = doc_id, n_copies 1, n_links 0). Repeated rows are copies. An empty table gives none."""
-    runs = run_count(threshold, recall)
+    runs = run_count(threshold, min(recall + MISS, 1 - MISS / 10))
     each, share = branches(threshold)
     signed = materialize(signatures(docs, n, runs * LEVELS * (each + (share > 0))), "signatures")
     reps = signed.where("size > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
