@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from loomnet.llm.additive_search import additive_search
 from loomnet.llm.bpe import bpe
 from loomnet.llm.decontamination import decontaminate
+from loomnet.llm.hard_negatives import hard_negatives
 from loomnet.llm.jaccard_join import jaccard_join
 from loomnet.llm.line_dedup import line_dedup
+from loomnet.llm.spelling_variants import spelling_variants
 from loomnet.llm.substring_dedup import substring_dedup
 from loomnet.llm.suffix_dedup import suffix_dedup
+from loomnet.llm.token_counts import token_counts
 from loomnet.llm.token_store import token_ids
 from loomnet.llm.toxicity import held_out, toxicity, train_on_labels
 from loomnet.llm.url_filters import url_filter
@@ -88,6 +91,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, log.select("list_name", "pattern", "action", F.to_timestamp_ntz("day").alias("listed_at")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabelled, positives=5, negatives=5, lower=80, upper=100, scale=256)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"), least=7, occurrences=2, times=10, damage=31)
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -161,6 +177,61 @@ GROUP BY page_id, url, fetched_at, host
 """
 )
 
+OP11_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), summed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c:
+           CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), without AS (
+  SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b USING (i, rest) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.next
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN walk USING (word) WHERE walk.next IS NULL
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -172,10 +243,15 @@ QUERIES = {
     "op8_bpe_encoding_decoding": op8_bpe_encoding_decoding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_url_filters": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
