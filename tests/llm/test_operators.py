@@ -410,7 +410,7 @@ def test_held_out(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     right = con.execute(queries.ORACLES[name]).df()
     rows = lambda df: sorted(map(repr, df[list(right.columns)].astype(str).itertuples(index=False, name=None)))
