@@ -1,7 +1,8 @@
 """Networks: correlation, adjacency, soft threshold, topological overlap, connectivity.
 
-All-pairs products have two plans. The relational one joins on the shared key and is exact about missing values; the block plan packs
-each row as a vector, cuts rows into blocks and multiplies every pair of blocks in a task of its own. Neither puts the matrix into one task."""
+All-pairs products have three plans. The relational one joins on the shared key; the block plan packs each row as a vector, cuts rows into blocks and
+multiplies every pair of blocks in a task of its own (with gaps or weights, by six products of masked blocks); the tile plan, for rows as wide as there are
+rows, cuts columns too and sums partial products. None puts the matrix, or a band of it, into one task."""
 
 from __future__ import annotations
 
@@ -12,9 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomnet.functions.stats import pearson, similarity, soft_threshold
+from loomnet.plans.runtime import materialize
 
 #: Genes from which the block plan is used, rows of a block, and cells of a block of wide rows.
 BLOCK_FROM, BLOCK, CELLS = 1000, 512, 4_000_000
+#: Rows and columns of a tile, tiles that one task multiplies in a row, rows of a strip of a partial sum, and rows from which the tile plan is used.
+TILE, RUN, STRIP, TILE_FROM = 1024, 8, 64, 4096
 
 
 def zscores(expr: DataFrame) -> DataFrame:
@@ -35,36 +39,44 @@ def places(long: DataFrame, column: str) -> DataFrame:
     return long.select(column).distinct().withColumn("__at", F.row_number().over(W.orderBy(column)) - 1)
 
 
-def packed(long: DataFrame, row: str, column: str, value: str = "value", place: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """(id, at, v), a row's cells as places among the sorted columns and values, and how many columns there are. Null cells are left out."""
+def packed(long: DataFrame, row: str, column: str, value: str = "value", place: DataFrame | None = None, weight: str | None = None) -> tuple[DataFrame, int]:
+    """(id, at, v), a row's cells as places among the sorted columns and values, and how many columns there are. Null cells are left out. With ``weight`` also w."""
     place = places(long, column) if place is None else place
-    cells = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("__at", value)))
+    cells = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("__at", value, *([weight] if weight else []))))
     rows = long.join(place, column).groupBy(row).agg(cells.alias("c"))
-    return rows.select(F.col(row).alias("id"), F.col("c.__at").alias("at"), F.col(f"c.{value}").alias("v")), place.count()
+    return rows.select(F.col(row).alias("id"), F.col("c.__at").alias("at"), F.col(f"c.{value}").alias("v"), *([F.col(f"c.{weight}").alias("w")] if weight else [])), place.count()
 
 
-def dense(batch, width: int, absent: float = 0.0) -> np.ndarray:
-    """The matrix of packed rows, ``absent`` where a cell is."""
-    at, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["at"], batch["v"]))
+def dense(batch, width: int, absent: float = 0.0, column: str = "v") -> np.ndarray:
+    """The matrix of packed rows, ``absent`` where a cell is missing."""
+    at, v = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["at"], batch[column]))
     out = np.full((len(at), width), absent)
     rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
     out[rows, at.flatten().to_numpy(zero_copy_only=False)] = v.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def block_products(vectors: DataFrame, width: int, rows: int, product=lambda x, y: x @ y.T, absent: float = 0.0) -> DataFrame:
-    """(i, j, dot) of all pairs i < j of packed rows, by products of blocks (or by what else ``product`` makes of two matrices)."""
-    blocks = max(1, -(-rows // min(BLOCK, max(16, CELLS // max(1, width)))))
+def block_rows(width: int) -> int:
+    """Rows of a block: so many that its cells stay within bounds."""
+    return min(BLOCK, max(16, CELLS // max(1, width)))
+
+
+def block_products(vectors: DataFrame, width: int, rows: int, product=lambda x, y: x @ y.T, absent: float = 0.0, matrix=None) -> DataFrame:
+    """(i, j, dot) of all pairs i < j of packed rows, by products of blocks (or by what else ``product`` makes of two matrices).
+
+    ``matrix`` turns a table of packed rows into its matrix, or a stack of them, rows last but one."""
+    blocks = max(1, -(-rows // block_rows(width)))
+    matrix = matrix or (lambda table: dense(table, width, absent))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.struct(F.least(b, F.col("mine")).alias("a"), F.greatest(b, F.col("mine")).alias("b")))
-    dealt = vectors.withColumn("mine", mine).select("id", "at", "v", "mine", F.explode(cells).alias("c")).select("id", "at", "v", "mine", "c.a", "c.b")
+    dealt = vectors.withColumn("mine", mine).select("*", F.explode(cells).alias("c")).select(*vectors.columns, "mine", "c.a", "c.b")
 
     def multiply(key, table):
         ids, mine_ = np.array(table["id"].to_pylist(), object), table["mine"].to_numpy()
         order = np.argsort(ids)  # so that the smaller name comes first within a block
-        ids, mine_, x = ids[order], mine_[order], dense(table, width, absent)[order]
+        ids, mine_, x = ids[order], mine_[order], matrix(table)[..., order, :]
         left, right = (np.flatnonzero(mine_ == k.as_py()) for k in key)
-        dots = product(x[left], x[right])
+        dots = product(x[..., left, :], x[..., right, :])
         if key[0] == key[1]:
             i, j = np.triu_indices(len(left), 1)
         else:
@@ -76,14 +88,139 @@ def block_products(vectors: DataFrame, width: int, rows: int, product=lambda x,
     return dealt.groupBy("a", "b").applyInArrow(multiply, "i string, j string, dot double")
 
 
-def correlation(expr: DataFrame, plan: str = "auto") -> DataFrame:
-    """(i, j, r), i < j: Pearson over shared samples of every pair of genes; null without spread."""
-    z = zscores(expr)
+def column_products(vectors: DataFrame, others: DataFrame, width: int, rows: int, other_rows: int, product, matrix) -> DataFrame:
+    """(i, j, dot) of every packed row with every one of ``others`` but itself, by products of blocks of either side."""
+    a, b = (max(1, -(-n // block_rows(width))) for n in (rows, other_rows))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("*", mine(a).alias("a"), every(b).alias("b")).groupBy("a", "b")
+    right = others.select("*", every(a).alias("a"), mine(b).alias("b")).groupBy("a", "b")
+
+    def multiply(key, x, y):
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"i": pa.array([], pa.string()), "j": pa.array([], pa.string()), "dot": pa.array([], pa.float64())})
+        dots = product(matrix(x), matrix(y))
+        p, q = (m.ravel() for m in np.indices(dots.shape))
+        i, j = x["id"].combine_chunks().take(pa.array(p)), y["id"].combine_chunks().take(pa.array(q))
+        return pa.table({"i": i, "j": j, "dot": dots.ravel()})
+
+    return left.cogroup(right).applyInArrow(multiply, "i string, j string, dot double").where("i <> j")
+
+
+def tile_products(cells: DataFrame, names: DataFrame, size: int, tile: int = TILE, run: int = RUN) -> DataFrame:
+    """(i, j, dot), i < j, of all pairs of rows of a square matrix whose products are not zero, from its cells (row, col, value) that are not zero.
+
+    ``names`` is (id, __at), the names by row number in sorted order. Rows and columns are cut into tiles of ``tile`` by ``tile`` cells. A task multiplies ``run`` pairs of
+    tiles (a, k) and (b, k) at most and leaves its partial sum in strips of rows, which are added up. Tiles without cells are not there and so are never sent. A row goes to as
+    many tasks as there are tiles in a row, not to as many as narrow blocks of whole rows would be."""
+    blocks = max(1, -(-size // tile))
+    part = lambda c: F.floor(F.col(c) / tile).cast("int")
+    placed = cells.select(part("row").alias("a"), part("col").alias("k"), F.pmod("row", F.lit(tile)).cast("int").alias("r"), F.pmod("col", F.lit(tile)).cast("int").alias("c"), "value")
+
+    def pack(key, table):
+        r, c, v = (table[x].to_numpy().astype(t) for x, t in (("r", "<u2"), ("c", "<u2"), ("value", "<f8")))
+        return pa.table({"a": [key[0].as_py()], "k": [key[1].as_py()], "n": [len(v)], "cells": pa.array([v.tobytes() + r.tobytes() + c.tobytes()], pa.binary())}, schema=pa.schema({"a": pa.int32(), "k": pa.int32(), "n": pa.int32(), "cells": pa.binary()}))
+
+    def full(n: int, raw: bytes) -> np.ndarray:
+        out = np.zeros((tile, tile))
+        r, c = (np.frombuffer(raw, "<u2", n, 8 * n + d * n) for d in (0, 2))
+        out[r, c] = np.frombuffer(raw, "<f8", n)
+        return out
+
+    def multiply(key, left, right):
+        listed = lambda table, *names: zip(*(table[c].to_pylist() for c in names), strict=True) if table.num_rows else ()
+        mine, total = {k: (n, raw) for k, n, raw in listed(left, "k", "n", "cells")}, None
+        for k, n, raw in listed(right, "ko", "no", "others"):
+            if k in mine:
+                dots = full(*mine[k]) @ full(n, raw).T
+                total = dots if total is None else total + dots
+        strips = [] if total is None else [s for s in range(0, tile, STRIP) if total[s : s + STRIP].any()]
+        a, b = (np.full(len(strips), k.as_py(), np.int32) for k in key[:2])
+        return pa.table({"a": a, "b": b, "s": pa.array(strips, pa.int32()), "dots": pa.array([total[s : s + STRIP].tobytes() for s in strips], pa.binary())})
+
+    def add(key, table):
+        total = sum(np.frombuffer(x, np.float64) for x in table["dots"].to_pylist())
+        schema = pa.schema({"a": pa.int32(), "b": pa.int32(), "s": pa.int32(), "dots": pa.binary()})
+        return pa.table({"a": [key[0].as_py()], "b": [key[1].as_py()], "s": [key[2].as_py()], "dots": pa.array([total.tobytes()], pa.binary())}, schema=schema)
+
+    def spell(batches):
+        for batch in batches:
+            for a, b, s, dots, mine, other in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s", "dots", "mine", "other")), strict=True):
+                dots = np.frombuffer(dots, np.float64).reshape(-1, tile)
+                i, j = np.nonzero(dots)
+                i = i + s
+                keep = i < j if a == b else np.ones(len(i), bool)
+                i, j = i[keep], j[keep]
+                mine, other = pa.array(mine, pa.string()), pa.array(other, pa.string())
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(i)), other.take(pa.array(j)), pa.array(dots[i - s, j])], names=["i", "j", "dot"])
+
+    tiles = materialize(placed.groupBy("a", "k").applyInArrow(pack, "a int, k int, n int, cells binary"), "tiles")
+    group = F.floor(F.col("k") / run).cast("int").alias("g")
+    left = tiles.select("a", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1))).alias("b"), group, "k", "n", "cells").groupBy("a", "b", "g")
+    right = tiles.select(F.explode(F.sequence(F.lit(0), F.col("a"))).alias("a"), F.col("a").alias("b"), group, F.col("k").alias("ko"), F.col("n").alias("no"), F.col("cells").alias("others")).groupBy("a", "b", "g")
+    parts = left.cogroup(right).applyInArrow(multiply, "a int, b int, s int, dots binary")
+    sums = parts.groupBy("a", "b", "s").applyInArrow(add, "a int, b int, s int, dots binary")
+    spelt = names.groupBy(part("__at").alias("a")).agg(F.sort_array(F.collect_list(F.struct("__at", "id")))["id"].alias("mine"))  # ``tile`` names at most
+    rows = sums.join(spelt, "a").join(spelt.select(F.col("a").alias("b"), F.col("mine").alias("other")), "b")
+    return rows.mapInArrow(spell, "i string, j string, dot double")
+
+
+def weighted(expr: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """expr with a column weight, for pairs of observations to multiply: 1 without weights; the weight of the observation if ``weights`` has gene_id; of the sample
+    (its root, so that the product is the weight) if not. Observations without a finite weight are left out; negative weights are an error."""
+    if weights is None:
+        return expr.withColumn("weight", F.lit(1.0))
+    w = F.col("weight").cast("double")
+    fine = F.when(w < 0, F.raise_error(F.lit("negative weights"))).otherwise(w)
+    keys = [c for c in ("sample_id", "gene_id") if c in weights.columns]
+    usable = weights.where(w.isNotNull() & ~F.isnan(w) & (F.abs(w) < float("inf"))).select(*keys, (fine if "gene_id" in keys else F.sqrt(fine)).alias("weight"))
+    return expr.join(usable, keys)
+
+
+def _stack(table, width: int) -> np.ndarray:
+    """Weights, weighted values and weighted squares of packed rows; 0 where a cell is missing."""
+    w, x = dense(table, width, column="w"), dense(table, width)
+    return np.stack([w, w * x, w * x * x])
+
+
+def _masked_pearson(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Correlations over shared cells by six products; NaN without spread, infinite where no cell is shared."""
+    n, sx, sy, sxx, syy, sxy = (p[a] @ q[b].T for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)))
+    a, b = n * sxx - sx * sx, n * syy - sy * sy
+    flat = (a <= 1e-12 * n * sxx) | (b <= 1e-12 * n * syy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.clip((n * sxy - sx * sy) / np.sqrt(a * b), -1, 1)
+    return np.where(n > 0, np.where(flat, np.nan, r), np.inf)
+
+
+def correlation(expr: DataFrame, plan: str = "auto", weights: DataFrame | None = None, select: DataFrame | None = None) -> DataFrame:
+    """(i, j, r), i < j: Pearson over shared samples of every pair of genes; null without spread, and pairs without a shared sample are left out.
+
+    ``weights`` is (sample_id, weight) or (sample_id, gene_id, weight): a pair's weight in a sample is the sample's, or the product of its two observations'.
+    ``select`` (gene_id) asks for some genes only: then every gene i goes with every selected gene j but itself, in that order.
+    Plans: 'join'; 'block' for complete data without weights; 'masked', blocks with gaps or weights. 'auto' counts."""
     if plan == "auto":
         genes = expr.agg(F.countDistinct("gene_id"), F.countDistinct("sample_id"), F.count("value")).first()
-        complete = genes[0] * genes[1] == genes[2]
-        plan = "block" if complete and genes[0] >= BLOCK_FROM else "join"
+        plain = weights is None and select is None and genes[0] * genes[1] == genes[2]
+        plan = "join" if genes[0] < BLOCK_FROM else "block" if plain else "masked"
+    if plan == "masked":
+        by = W.partitionBy("gene_id")
+        spread = F.stddev_pop("value").over(by)
+        centred = (F.col("value") - F.avg("value").over(by)) / F.when(spread > 0, spread).otherwise(1.0)
+        own = weighted(expr.withColumn("value", centred), weights)
+        rows, width = packed(own, "gene_id", "sample_id", weight="weight")
+        matrix = lambda table: _stack(table, width)
+        if select is None:
+            pairs = block_products(rows, width, expr.select("gene_id").distinct().count(), _masked_pearson, matrix=matrix)
+        else:
+            wanted = select.select("gene_id").distinct()
+            some = packed(own.join(wanted, "gene_id", "left_semi"), "gene_id", "sample_id", place=places(own, "sample_id"), weight="weight")[0]
+            pairs = column_products(rows, some, width, expr.select("gene_id").distinct().count(), wanted.count(), _masked_pearson, matrix)
+        return pairs.where(F.isnan("dot") | (F.col("dot") <= 1)).select("i", "j", F.when(~F.isnan("dot"), F.col("dot")).alias("r"))  # in Spark's order NaN is the largest
+    z = zscores(expr)
     if plan == "block":
+        if weights is not None or select is not None:
+            raise ValueError("the plan 'block' takes neither weights nor selected genes")
         counts = expr.agg(F.countDistinct("gene_id"), F.countDistinct("sample_id")).first()
         dots = block_products(*packed(z, "gene_id", "sample_id"), counts[0])
         flat = expr.groupBy("gene_id").agg(F.stddev_pop("value").alias("sd")).where("sd = 0").select("gene_id")
@@ -91,9 +228,12 @@ def correlation(expr: DataFrame, plan: str = "auto") -> DataFrame:
         for side in ("i", "j"):  # pairs of a gene without spread have none
             r = r.join(flat.withColumnRenamed("gene_id", side).withColumn("flat", F.lit(True)), side, "left").withColumn("r", F.when(F.col("flat").isNull(), F.col("r"))).drop("flat")
         return r.select("i", "j", "r")
-    a = z.select(F.col("gene_id").alias("i"), "sample_id", F.col("value").alias("x"))
-    b = z.select(F.col("gene_id").alias("j"), "sample_id", F.col("value").alias("y"))
-    return a.join(b, "sample_id").where("i < j").groupBy("i", "j").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    own = weighted(z, weights)
+    a = own.select(F.col("gene_id").alias("i"), "sample_id", F.col("value").alias("x"), F.col("weight").alias("v"))
+    b = own if select is None else own.join(select.select("gene_id").distinct(), "gene_id", "left_semi")
+    b = b.select(F.col("gene_id").alias("j"), "sample_id", F.col("value").alias("y"), F.col("weight").alias("w"))
+    r = pearson(F.col("x"), F.col("y")) if weights is None else pearson(F.col("x"), F.col("y"), F.col("v") * F.col("w"))
+    return a.join(b, "sample_id").where("i < j" if select is None else "i <> j").groupBy("i", "j").agg(r.alias("r"))
 
 
 def adjacency(pairs: DataFrame, network_type: str = "signed hybrid", power: float = 6) -> DataFrame:
@@ -171,11 +311,15 @@ def network_concepts(k: DataFrame) -> DataFrame:
 def tom(adj: DataFrame, denominator: str = "min", plan: str = "auto") -> DataFrame:
     """(i, j, t), i < j: topological overlap (l + a) / (min(k_i, k_j) + 1 - a), l the sum over shared neighbours; the diagonal is 1.
 
-    Pairs without shared neighbours are there with l = 0. From BLOCK_FROM // 4 genes on, l comes from products of blocks."""
+    Pairs without shared neighbours are there with l = 0. From BLOCK_FROM // 4 genes on, l comes from products of blocks, and from TILE_FROM on of tiles."""
     both = mirrored(adj)
     k = both.groupBy("gene_id").agg(F.sum("a").alias("k"))
     genes = k.count() if plan == "auto" else 0
-    if plan == "block" or genes >= BLOCK_FROM // 4:
+    if plan == "tile" or genes >= TILE_FROM:
+        place = materialize(places(k, "gene_id"), "places")
+        cells = both.where("a <> 0").join(place.select("gene_id", F.col("__at").alias("row")), "gene_id").join(place.select(F.col("gene_id").alias("other"), F.col("__at").alias("col")), "other")
+        shared = tile_products(cells.select("row", "col", F.col("a").alias("value")), place.withColumnRenamed("gene_id", "id"), genes or k.count()).withColumnRenamed("dot", "l")
+    elif plan == "block" or genes >= BLOCK_FROM // 4:
         shared = block_products(*packed(both.withColumnRenamed("a", "value"), "gene_id", "other"), genes or k.count()).withColumnRenamed("dot", "l")
     else:
         near = both.where("a <> 0")

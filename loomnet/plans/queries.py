@@ -218,6 +218,11 @@ def n6_tom_min(spark, sf_dir):
     return rounded(network.tom(_dim_adjacency(spark, sf_dir)), "t")
 
 
+@query(TOM_SQL.format(d="least(ki.k, kj.k)") + "SELECT i, j, round(t, 6) AS t FROM tom")
+def n6_tom_tiles(spark, sf_dir):
+    return rounded(network.tom(_dim_adjacency(spark, sf_dir), plan="tile"), "t")
+
+
 @query(TOM_SQL.format(d="(ki.k + kj.k) / 2") + "SELECT i, j, round(t, 6) AS t FROM tom")
 def n6_tom_mean_block(spark, sf_dir):
     return rounded(network.tom(_dim_adjacency(spark, sf_dir), "mean", plan="block"), "t")
@@ -650,6 +655,37 @@ SELECT i, j, round((sum(w) * sum(w*x*y) - sum(w*x) * sum(w*y)) / sqrt((sum(w) *
 def n1_weighted_correlation(spark, sf_dir):
     """Correlation with a weight for every sample, here one more than the month."""
     e = fx.supp(spark, sf_dir)
-    a, b = e.select(F.col("gene_id").alias("i"), "sample_id", F.col("value").alias("x")), e.select(F.col("gene_id").alias("j"), "sample_id", F.col("value").alias("y"))
-    w = 1 + F.substring("sample_id", 6, 2).cast("int")
-    return rounded(a.join(b, "sample_id").where("i < j").groupBy("i", "j").agg(stats.pearson(F.col("x"), F.col("y"), w).alias("r")), "r")
+    w = e.select("sample_id").distinct().select("sample_id", (1 + F.substring("sample_id", 6, 2).cast("int")).alias("weight"))
+    return rounded(network.correlation(e, weights=w), "r")
+
+
+def _gaps(weight: str) -> str:
+    """Correlations over shared days of users; weight is SQL over x, y and the two genes."""
+    return f"""WITH {fx.EVENTS}, b AS (SELECT gene_id, sample_id, value - avg(value) OVER (PARTITION BY gene_id) AS value FROM expr),
+w AS (SELECT a.gene_id AS i, b.gene_id AS j, a.value AS x, b.value AS y, {weight} AS w FROM b a JOIN b ON a.sample_id = b.sample_id AND a.gene_id < b.gene_id),
+s AS (SELECT i, j, sum(w) AS n, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*y*y) AS syy, sum(w*x*y) AS sxy FROM w GROUP BY i, j)
+SELECT i, j, CASE WHEN n*sxx - sx*sx > 1e-12 * n*sxx AND n*syy - sy*sy > 1e-12 * n*syy THEN round(greatest(-1, least(1, (n*sxy - sx*sy) / sqrt((n*sxx - sx*sx) * (n*syy - sy*sy)))), 6) + 0.0 END AS r FROM s"""
+
+
+@query(_gaps("1.0"))
+def n1_correlation_gaps(spark, sf_dir):
+    """Users have events on some days only: blocks with masks."""
+    return rounded(network.correlation(fx.events(spark, sf_dir), plan="masked"), "r")
+
+
+@query(_gaps("(1 + right(a.sample_id, 1)::INT % 3) * (1 + length(a.gene_id)) * (1 + right(a.sample_id, 1)::INT % 3) * (1 + length(b.gene_id))"))
+def n1_weighted_gaps(spark, sf_dir):
+    """The same with a weight for every observation, from the last digit of the day and the length of the user's id."""
+    e = fx.events(spark, sf_dir)
+    w = e.select("sample_id", "gene_id", ((1 + F.substring("sample_id", -1, 1).cast("int") % 3) * (1 + F.length("gene_id"))).alias("weight"))
+    return rounded(network.correlation(e, plan="masked", weights=w), "r")
+
+
+@query(f"""WITH {fx.SUPP}, pairs AS (SELECT a.gene_id AS i, b.gene_id AS j, corr(a.value, b.value) AS r FROM expr a JOIN expr b ON a.sample_id = b.sample_id AND a.gene_id <> b.gene_id
+WHERE right(b.gene_id, 1) = '0' GROUP BY ALL) SELECT i, j, round(pow({SIGNED}, 6), 6) + 0.0 AS a FROM pairs""")
+def n2_adjacency_selected(spark, sf_dir):
+    """Adjacencies of all suppliers to those whose key ends in 0."""
+    e = fx.supp(spark, sf_dir)
+    some = e.where(F.col("gene_id").endswith("0")).select("gene_id")
+    return rounded(network.adjacency(network.correlation(e, plan="masked", select=some), "signed", 6), "a")
+
