@@ -25,13 +25,13 @@ def soft_threshold(s: Column, power: float) -> Column:
 
 
 def pearson(x: Column, y: Column, w: Column | None = None) -> Column:
-    """Correlation of pairs that are both present, as an aggregate; null for no spread. Weighted if w is given."""
+    """Correlation of pairs that are both present, as an aggregate; null for no spread (up to rounding). Weighted if w is given."""
     both = x.isNotNull() & y.isNotNull()
     w = F.lit(1.0) if w is None else w
     total = lambda e: F.sum(F.when(both, e * w))
     n, sx, sy, sxx, syy, sxy = (total(e) for e in (F.lit(1.0), x, y, x * x, y * y, x * y))
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    r = (n * sxy - sx * sy) / F.sqrt(F.when(spread > 0, spread))
+    a, b = n * sxx - sx * sx, n * syy - sy * sy
+    r = (n * sxy - sx * sy) / F.sqrt(F.when((a > 1e-12 * n * sxx) & (b > 1e-12 * n * syy), a * b))
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))  # greatest and least pass over nulls
 
 

@@ -167,14 +167,14 @@ def tile_products(cells: DataFrame, names: DataFrame, size: int, tile: int = TIL
 
 def weighted(expr: DataFrame, weights: DataFrame | None) -> DataFrame:
     """expr with a column weight, for pairs of observations to multiply: 1 without weights; the weight of the observation if ``weights`` has gene_id; of the sample
-    (its root, so that the product is the weight) if not. Observations without a finite weight are left out; negative weights are an error."""
+    (its root, so that the product is the weight) if not. Observations without a finite weight above 0 are left out; negative weights are an error."""
     if weights is None:
         return expr.withColumn("weight", F.lit(1.0))
     w = F.col("weight").cast("double")
     fine = F.when(w < 0, F.raise_error(F.lit("negative weights"))).otherwise(w)
     keys = [c for c in ("sample_id", "gene_id") if c in weights.columns]
     usable = weights.where(w.isNotNull() & ~F.isnan(w) & (F.abs(w) < float("inf"))).select(*keys, (fine if "gene_id" in keys else F.sqrt(fine)).alias("weight"))
-    return expr.join(usable, keys)
+    return expr.join(usable.where("weight <> 0"), keys)
 
 
 def _stack(table, width: int) -> np.ndarray:

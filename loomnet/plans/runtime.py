@@ -20,10 +20,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df under the shared folder and read it back: cuts the lineage of loops and survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write df under the shared folder and read it back: cuts the lineage of loops and survives lost executors. ``compression``: other than the session's."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

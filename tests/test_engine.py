@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomnet.functions import stats
 from loomnet.model import Config
-from loomnet.operators import clean, cluster, compare, modules, network, traits
+from loomnet.operators import branches, clean, cluster, compare, modules, network, traits
 from loomnet.plans import analysis, queries
 from loomnet.plans.runtime import materialize
 from loomnet.sources import tables
@@ -214,8 +214,7 @@ def test_adaptive_cut_against_a_direct_version(spark, seed):
     pairs = spark.createDataFrame([(names[i], names[j], float(d[i, j])) for i in range(len(d)) for j in range(i + 1, len(d))], "i string, j string, d double")
     items = spark.createDataFrame([(n,) for n in names], "id string")
     tree = materialize(cluster.linkage(pairs, items), "tree")
-    numbered = materialize(cluster.dynamic_cut(tree, items, 5), "numbered")
-    given = {r.id: r.number for r in cluster.assign_nearest(numbered, pairs, cluster.cut_height(tree)).collect()}
+    given = {r.id: r.number for r in branches.hybrid_cut(tree, items, pairs, 5, 2, respect_tree=False).collect()}
     direct = tree_cut.adaptive_cut(d, 5)
     assert len(set(direct)) == 4 + (0 in direct)
     assert tree_cut.agreement(np.array([given[n] for n in names]), direct) >= 0.9
