@@ -1,12 +1,13 @@
 """Token counts without ids: every distinct pre-token is counted once, for the whole corpus, and documents are sums over their pre-token frequencies.
 
 A pre-token is what the vocabulary file's own pre-tokenizer cuts (or a special token's string, which counts as one), and the merges of a byte-level vocabulary never
-cross pre-tokens. So the corpus is read once, into blocks: the different pre-tokens of some 4 MB of text and, for each document, which of them it has how often. The blocks'
+cross pre-tokens. So the corpus is read once, into blocks: the different pre-tokens of some 32 MB of text and, for each document, which of them it has how often. The blocks'
 pre-tokens meet in one table that holds each of them once; that table alone is tokenised, joined back to the blocks that asked, and summed."""
 
 from __future__ import annotations
 
 import os
+import zlib
 from array import array
 from itertools import chain
 
@@ -22,8 +23,10 @@ from loomnet.llm.token_store import Memory, _chunks, gather
 
 #: Chunks of text whose pre-tokens a Python worker remembers, in each of two generations.
 REMEMBER = 100_000
-#: Bytes of text of a block (a longer text makes a block of its own).
-BLOCK_BYTES = 4_000_000
+#: Bytes of text that are cut at once, and of a block (a longer text makes a block of its own).
+PART_BYTES, BLOCK_BYTES = 3_000_000, 32_000_000
+#: Bits for the number of a pre-token within a block, and of a block within a task.
+AT_BITS, BLOCK_BITS = 28, 12
 #: Before the string of a special token; no pre-token holds it, as byte-level letters are printable.
 SPECIAL = "\0"
 _SPLITTERS: dict = {}
@@ -58,12 +61,11 @@ class Splitter:
     def count(self, piece: str) -> int:
         return 1 if piece.startswith(SPECIAL) else len(self.model.tokenize(piece))
 
-    def frequencies(self, data: np.ndarray, first: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """For texts in a row: their different pre-tokens; how many different ones each text has; which, text by text; and how often."""
+    def frequencies(self, data: np.ndarray, first: np.ndarray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts in a row: how many different pre-tokens each has; which, in ascending order text by text; and how often. ``number`` numbers pre-tokens and grows."""
         chunks, of = _chunks(data, first, self.kind)
-        number: dict[str, int] = {}
         if not len(chunks):
-            return [], np.zeros(len(first) - 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(len(first) - 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         coded = chunks.dictionary_encode()
         each = []
         for chunk in as_bytes(coded.dictionary):
@@ -74,7 +76,7 @@ class Splitter:
         flat, counts = gather(each, coded.indices.to_numpy(zero_copy_only=False))
         within = np.diff(np.append(0, np.cumsum(counts))[of])  # pre-tokens of each text
         pair, times = np.unique(np.repeat(np.arange(len(within)), within) * len(number) + flat, return_counts=True)
-        return list(number), np.bincount(pair // len(number), minlength=len(within)), pair % len(number), times
+        return np.bincount(pair // len(number), minlength=len(within)), pair % len(number), times
 
 
 def splitter(path: str) -> Splitter:
@@ -83,45 +85,94 @@ def splitter(path: str) -> Splitter:
     return _SPLITTERS[path]
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold the largest."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes()
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest, compressed."""
+    return zlib.compress(x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)).tobytes(), 4)
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    """What _narrow() wrote, ``n`` numbers."""
+def _large(raw: bytes, n: int) -> np.ndarray:
+    """What _small() wrote, ``n`` numbers."""
+    raw = zlib.decompress(raw)
     return np.frombuffer(raw, f"<u{len(raw) // n}" if n else "u1").astype(np.int64)
 
 
+def _begins(different: np.ndarray) -> np.ndarray:
+    """Where each text that has pre-tokens begins among all texts' pre-tokens."""
+    return (np.cumsum(different) - different)[different > 0]
+
+
+def _numbers(steps: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The numbers whose steps, text by text, these are."""
+    total = np.cumsum(steps)
+    before = total[begins] - steps[begins]
+    return total - np.repeat(before, np.diff(np.append(begins, len(steps))))
+
+
+class Block:
+    """What is counted of some texts: their keys, their sizes and their frequencies over the block's own pre-tokens."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.parts: list[tuple] = []
+        self.bytes = 0
+
+    def add(self, own: Splitter, keys: np.ndarray, data: np.ndarray, first: np.ndarray) -> None:
+        different, which, times = own.frequencies(data, first, self.number)
+        begins = _begins(different)
+        steps = np.diff(which, prepend=0)  # ascending within a text, so what follows a text's first number are small steps
+        steps[begins] = which[begins]
+        self.parts.append((keys, np.diff(first), different, steps, times - 1))
+        self.bytes += len(data)
+
+    def row(self, block: int) -> pa.RecordBatch:
+        if len(self.number) >> AT_BITS or block >> (63 - AT_BITS):
+            raise OverflowError("too many pre-tokens in a block, or too many blocks")
+        keys, size, different, steps, more = (np.concatenate([p[k] for p in self.parts]) for k in range(5))
+        values = [pa.array([v], pa.binary()) for v in (zlib.compress(keys.astype(np.int64).tobytes(), 1), _small(size), _small(different), _small(steps), _small(more))]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([len(keys)], pa.int32()), pa.array([len(steps)], pa.int64()), pa.array([list(self.number)], pa.list_(pa.string())), *values], names=FIELDS)
+
+
+FIELDS = ["block", "texts", "entries", "pieces", "doc_ids", "n_bytes", "different", "steps", "more"]
+
+
 def frequency_blocks(docs: DataFrame, path: str) -> DataFrame:
     """A table, written to the shared folder, with a row a block: block, its different pre-tokens (pieces), and the documents' frequencies over them."""
 
     def run(batches):
-        own, task, at = splitter(path), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "text", BLOCK_BYTES):
-            keys = ids_of(batch.column("doc_id"))
+        own, task, at, block = splitter(path), TaskContext.get().partitionId(), 0, Block()
+        for batch in pieces(batches, "text", PART_BYTES):
             data, first = text_bytes(batch.column("text"))
-            found, different, which, times = own.frequencies(data, first)
-            values = {"block": (task << 32) + at, "doc_ids": keys.tobytes(), "n_bytes": np.diff(first).astype(np.int64).tobytes(), "pieces": found, "different": different.astype(np.int64).tobytes(), "which": _narrow(which), "times": _narrow(times)}
-            at += 1
-            kinds = {"block": pa.int64(), "pieces": pa.list_(pa.string())}
-            yield pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in values.items()], names=list(values))
+            if block.parts and block.bytes + len(data) > BLOCK_BYTES:
+                yield block.row((task << BLOCK_BITS) + at)
+                at, block = at + 1, Block()
+            block.add(own, ids_of(batch.column("doc_id")), data, first)
+        if block.parts:
+            yield block.row((task << BLOCK_BITS) + at)
 
     bounded_batches(docs.sparkSession)
-    schema = "block long, doc_ids binary, n_bytes binary, pieces array<string>, different binary, which binary, times binary"
-    return materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema), "frequencies")
+    schema = "block long, texts int, entries long, pieces array<string>, doc_ids binary, n_bytes binary, different binary, steps binary, more binary"
+    return materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema), "frequencies", "zstd")
 
 
 def piece_counts(asked: DataFrame, path: str) -> DataFrame:
-    """(piece, n): each different pre-token once, with its number of tokens."""
+    """(block, answer) for (key, piece): each different pre-token meets all that ask for it in one place and is tokenised once there.
+
+    An answer is the pre-token's number within the block, times 2^32, and its tokens: one whole number takes a third of the bytes of two in a row."""
 
     def run(batches):
-        own = splitter(path)
+        own, last, n = splitter(path), None, 0
         for batch in batches:
-            column = batch.column("piece")
-            yield pa.RecordBatch.from_arrays([column, pa.array([own.count(p) for p in column.to_pylist()], pa.int32())], names=["piece", "n"])
+            out = []
+            for piece in batch.column("piece").to_pylist():
+                if piece != last:
+                    last, n = piece, own.count(piece)
+                out.append(n)
+            key = batch.column("key").to_numpy()
+            order = np.argsort(key)
+            key = key[order]
+            yield pa.RecordBatch.from_arrays([pa.array(key >> AT_BITS), pa.array(((key & ((1 << AT_BITS) - 1)) << 32) + np.array(out, np.int64)[order])], names=["block", "answer"])
 
-    return asked.select("piece").distinct().mapInArrow(run, "piece string, n int")
+    return asked.repartition("piece").sortWithinPartitions("piece").select("key", "piece").mapInArrow(run, "block long, answer long")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -131,16 +182,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     repeated rows give equal rows and a null doc_id is kept; an empty table gives none. Texts may be of any length: one task holds one block or one text. A pre-token
     that all documents share makes one row a block, never one a document."""
     blocks = frequency_blocks(docs, path)
-    asked = blocks.select("block", F.posexplode("pieces").alias("at", "piece"))
-    answers = asked.join(piece_counts(asked, path).hint("merge"), "piece").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "n")))["n"].alias("n"))  # as many as a block has
+    asked = blocks.select("block", F.posexplode("pieces").alias("at", "piece")).select((F.shiftleft("block", AT_BITS) + F.col("at")).alias("key"), "piece")
+    answers = piece_counts(asked, path).groupBy("block").agg(F.sort_array(F.collect_list("answer")).alias("answers"))  # as many as a block has pre-tokens
 
     def total(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, size = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["n_bytes"], np.int64)
-                different = np.frombuffer(row["different"], np.int64)
-                n = int(different.sum())
-                each = np.array(row["n"] or [], np.int64)[_wide(row["which"], n)] * _wide(row["times"], n)
+                keys, n = np.frombuffer(zlib.decompress(row["doc_ids"]), np.int64), row["entries"]
+                size, different = (_large(row[c], row["texts"]) for c in ("n_bytes", "different"))
+                each = (np.array(row["answers"] or [], np.int64) & 0xFFFFFFFF)[_numbers(_large(row["steps"], n), _begins(different))] * (_large(row["more"], n) + 1)
                 sums = np.diff(np.append(0, np.cumsum(each))[np.append(0, np.cumsum(different))])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == NULL_ID), pa.array(size), pa.array(sums), pa.array(sums > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
