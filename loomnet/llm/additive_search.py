@@ -100,16 +100,28 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
 
 
 def block_share(shortlist: int, blocks: int) -> int:
-    """How many of a shortlist to take from each of several blocks. Blocks are dealt by hash, so the best are spread as by chance: six deviations above the mean."""
+    """How many of a shortlist to take from each of several blocks. Blocks are dealt by hash, so the best are spread as by chance: six deviations above the mean.
+    Only ids that were chosen against the hash could put more into one block; such a shortlist would be cut there."""
     mean = shortlist / blocks
     return shortlist if blocks == 1 else min(shortlist, int(np.ceil(mean + 6 * np.sqrt(mean) + 6)))
 
 
-def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 16, sample_rows: int = 8192, shortlist: int = 512, beam: int = 4) -> DataFrame:
+def sampled(total: int, rows: int) -> Column:
+    """Which of ``total`` vectors are looked at for a sample of ``rows``, by a hash of vec_id over all 64 bits; twice as many, of which the first are taken, so that it is never empty by rounding."""
+    share = min(1.0, 2 * rows / total)
+    return F.lit(True) if share == 1 else F.xxhash64("vec_id") < int(-(2**63) + 2**64 * share)
+
+
+def shortlist_for(total: int) -> int:
+    """The length of a shortlist: 512 up to 20,000 vectors, from there with the root of their number, as recall at a fixed length falls when the index grows."""
+    return int(np.ceil(512 * max(1.0, total / 20_000) ** 0.5))
+
+
+def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: int = 16, sample_rows: int = 8192, shortlist: int | None = None, beam: int = 4) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row where ``is_query`` (on vec_id) holds, the ``k`` rows of largest inner product among all
     others that were found, exactly scored, nearest first and ties to the smaller vec_id.
 
-    Codebooks are fitted to at most ``sample_rows`` vectors, chosen by a hash of their id; every row is encoded. The ``shortlist`` best of the index by
+    Codebooks are fitted to at most ``sample_rows`` vectors, chosen by a hash of their id; every row is encoded. The ``shortlist`` (by default shortlist_for() their number) best of the index by
     lookup (ties to the smaller vec_id, so equal vectors come in the right order) are scored exactly. Vectors that are null, zero, of another length than most, or hold null or
     non-finite components take no part, nor do rows without an id. Rows that repeat an id count once (the smallest vector). Empty tables give none."""
     spark = vectors.sparkSession
@@ -120,11 +132,11 @@ def additive_search(vectors: DataFrame, is_query: Column, k: int = 20, books: in
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == size["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
     total = int(size["count"])
-    share = F.lit(True) if total <= sample_rows else F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / total)
-    sample = np.array([r[0] for r in rows.where(share).select("v").orderBy(F.xxhash64("v")).limit(sample_rows).collect()])  # bounded by sample_rows
-    books_ = spark.sparkContext.broadcast(fit(sample, books)) if len(sample) else None
-    if books_ is None:
-        return spark.createDataFrame([], schema)
+    sample = np.array([r[0] for r in rows.where(sampled(total, sample_rows)).select("v").orderBy(F.xxhash64("v")).limit(sample_rows).collect()])  # bounded by sample_rows
+    if not len(sample):
+        raise RuntimeError(f"none of {total} vectors is in the sample for fitting")
+    books_ = spark.sparkContext.broadcast(fit(sample, books))
+    shortlist = shortlist or shortlist_for(total)
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     stored = np.dtype("<f4" if single else "<f8")  # as exact as the source, half the bytes
 

@@ -322,6 +322,17 @@ def test_additive_search(spark):
     assert len(additive_search.additive_search(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()) == 2
 
 
+def test_samples_of_any_size(spark):
+    """The share that is sampled never rounds to nothing, and shortlists follow the index."""
+    ids = spark.range(100_000).select(F.col("id").alias("vec_id"))
+    assert 1500 < ids.where(additive_search.sampled(100_000, 1000)).count() < 2500
+    for total in (10**9, 4 * 10**11, 10**14):
+        text = ids.where(additive_search.sampled(total, 8192))._jdf.queryExecution().optimizedPlan().toString()
+        bound = int(text.split("< ")[1].split(")")[0])
+        assert bound + 2**63 == pytest.approx(2**65 * 8192 / total, rel=1e-3) and "Filter" in text
+    assert [additive_search.shortlist_for(n) for n in (1, 20_000, 80_000, 2_000_000)] == [512, 512, 1024, 5120]
+
+
 def test_block_shares():
     """Of a shortlist dealt over blocks by chance none is cut off."""
     rng = np.random.default_rng(4)
