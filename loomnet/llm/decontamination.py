@@ -2,7 +2,7 @@
 
 Benchmark texts and documents are normalised to lower-case words. Each benchmark item gives its windows of ten words
 (or itself, if shorter); the hash table of these windows is broadcast while it is small enough, checked by counting, and else
-joined by shuffle. Document windows are probed by hash and every hit is verified on the words themselves."""
+joined by shuffle, of hashes and places alone. Document windows are probed by hash and every hit is verified on the words themselves."""
 
 from __future__ import annotations
 
@@ -46,25 +46,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     table = materialize(benchmark_windows(benchmark, n), "benchmark")
     held = F.sum(64 + F.length(F.array_join("words", " ")) + F.length(F.array_join("items", " ")) + 16 * (F.size("words") + F.size("items")))
     size = table.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(held, F.lit(0)).alias("bytes"), F.sort_array(F.collect_set(F.when(F.col("len") < n, F.col("len")))).alias("lengths")).first()  # n - 1 lengths at most
-    side = (lambda df: F.broadcast(df)) if size["rows"] <= broadcast_rows and size["bytes"] <= broadcast_bytes else (lambda df: df)
+    small = size["rows"] <= broadcast_rows and size["bytes"] <= broadcast_bytes
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias(TEXT_HASH), normalised_words(F.col("text")).alias("w"))
 
+    def probe(lengths: list[int], outer: bool, *carried: str) -> DataFrame:
+        each = words.select("doc_id", TEXT_HASH, F.size("w").alias("n_words"), *carried, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _windows(F.col("w"), k).alias("hs")) for k in lengths])).alias("each"))
+        return each.select("doc_id", TEXT_HASH, "n_words", *carried, "each.k", (F.posexplode_outer if outer else F.posexplode)("each.hs").alias("at", "wh"))
+
+    # kept as a test of found rows: as an equality it would become a join key, for which every window's words are copied and hashed
+    agrees = F.array_position(F.array("words"), F.slice("w", F.col("at") + 1, F.col("k"))) > 0
+    same = (F.col("wh") == F.col("h")) & (F.col("k") == F.col("len"))
+    hit = F.sequence(F.col("at") + 1, F.col("at") + F.col("k")).alias("hit")
+
     def scan(lengths: list[int], outer: bool) -> DataFrame:
-        probe = words.select("doc_id", TEXT_HASH, "w", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _windows(F.col("w"), k).alias("hs")) for k in lengths])).alias("each"))
-        length = F.col("k")
-        probe = probe.select("doc_id", TEXT_HASH, F.size("w").alias("n_words"), "w", "each.k", (F.posexplode_outer if outer else F.posexplode)("each.hs").alias("at", "wh"))
-        known = side(table.where(F.col("len").isin(lengths)))
-        found = probe.join(known, (F.col("wh") == F.col("h")) & (length == F.col("len")) & (F.slice("w", F.col("at") + 1, length) == F.col("words")), "left" if outer else "inner")
-        if outer:  # one row a document at least
-            found = found.where(F.col("items").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
-        return found.select(
-            "doc_id", TEXT_HASH, "n_words", (F.lit(outer) & F.coalesce(F.col("at") == 0, F.lit(True))).alias("head"),
-            F.when(F.col("items").isNotNull(), F.sequence(F.col("at") + 1, F.col("at") + length)).alias("hit"), "items",
-        )
-
-    hits = scan([n], True)
-    if size["lengths"]:
-        hits = hits.unionByName(scan(list(size["lengths"]), False))
+        """With a broadcast table, in one pass; with ``outer`` one row a document at least, marked as its head."""
+        known = F.broadcast(table.where(F.col("len").isin(lengths)))
+        found = probe(lengths, outer, "w").join(known, same & agrees, "left" if outer else "inner")
+        head = F.lit(outer) & F.coalesce(F.col("at") == 0, F.lit(True))
+        if outer:
+            found = found.where(F.col("items").isNotNull() | head)
+        return found.select("doc_id", TEXT_HASH, "n_words", head.alias("head"), F.when(F.col("items").isNotNull(), hit).alias("hit"), "items")
+
+    def meet(lengths: list[int]) -> DataFrame:
+        """By shuffle: windows travel as hashes, what is found meets its document's words again."""
+        found = probe(lengths, False).join(table.where(F.col("len").isin(lengths)).hint("merge"), same)
+        texts = words.select("doc_id", TEXT_HASH, "w").dropDuplicates(["doc_id", TEXT_HASH]).select(F.col("doc_id").alias("its_id"), F.col(TEXT_HASH).alias("its_text"), "w")
+        sure = found.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col(TEXT_HASH) == F.col("its_text"))).where(agrees)
+        return sure.select("doc_id", TEXT_HASH, "n_words", F.lit(False).alias("head"), hit, "items")
+
+    if small:
+        hits = scan([n], True)
+        if size["lengths"]:
+            hits = hits.unionByName(scan(list(size["lengths"]), False))
+    else:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("hit", "array<int>"), ("items", "array<string>"))]
+        hits = words.select("doc_id", TEXT_HASH, F.size("w").alias("n_words"), F.lit(True).alias("head"), *none).unionByName(meet([n, *size["lengths"]]))
     merged = hits.groupBy("doc_id", TEXT_HASH).agg(
         F.count_if("head").alias("rows"),  # rows that agree in id and text
         F.max("n_words").cast("long").alias("n_words"),
