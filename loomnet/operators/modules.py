@@ -158,6 +158,36 @@ def merge_close_modules(expr: DataFrame, membership: DataFrame, cut: float = 0.2
             return current
 
 
+def merge_on_consensus(
+    expr: DataFrame, membership: DataFrame, cut: float = 0.2, quantile: float = 0.0, absolute: bool = False, equalize: str | None = None, grey: str = "grey", linkage_method: str = "average", rounds: int | None = None,
+) -> DataFrame:
+    """(gene_id, module, number): modules merged that lie below the cut in all of several sets of samples (expr with set_id), again and again until none does, or
+    for ``rounds`` rounds. A merged branch takes its first module's name; numbers go by falling size, then name, and grey is 0.
+
+    Every round the dissimilarity of two modules' eigengenes is worked out in each set and the 1 - ``quantile`` point over sets counts (0: the largest). ``absolute`` takes
+    eigengenes that run against each other for near, ``equalize`` ('mean' or 'median') first gives all sets the same distribution of values. Modules without an eigengene in some set stay apart."""
+    current = materialize(membership.select("gene_id", "module").distinct(), "membership")
+    done = 0
+    while rounds is None or done < rounds:
+        proper = current.where(F.col("module") != grey)
+        before = proper.select("module").distinct().count()
+        if before < 2:
+            break
+        diss = me_dissimilarity(multiset_eigengenes(expr, proper), absolute, ("set_id",))
+        if equalize:
+            diss = equalize_quantiles(diss, equalize)
+        joint = materialize(consensus(diss, "quantile", quantile), "consensus")
+        names = proper.select(F.col("module").alias("id")).distinct()
+        labels = cut_tree(materialize(linkage(joint, names, linkage_method), "tree"), names, cut)
+        current = materialize(current.join(labels.select(F.col("id").alias("module"), "label"), "module", "left").select("gene_id", F.coalesce("label", "module").alias("module")), "membership")
+        done += 1
+        if current.where(F.col("module") != grey).select("module").distinct().count() == before:
+            break
+    size = current.where(F.col("module") != grey).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    number = size.select("module", F.row_number().over(W.orderBy(F.desc("n"), "module")).alias("number"))  # a row a module
+    return current.join(number, "module", "left").select("gene_id", "module", F.coalesce("number", F.lit(0)).alias("number"))
+
+
 def order_by_tree(diss: DataFrame, names: DataFrame, grey: str = "grey") -> DataFrame:
     """(module, ord): modules (id) in the leaf order of the average-linkage tree of their dissimilarities (i, j, d), with grey last."""
     names = materialize(names.select("id").distinct(), "names")

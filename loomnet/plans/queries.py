@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomnet.functions import stats
 from loomnet.model import Config
-from loomnet.operators import clean, cluster, compare, lookup, modules, network, traits
+from loomnet.operators import clean, cluster, compare, components, lookup, modules, network, traits
 from loomnet.plans import fixtures as fx
 from loomnet.plans.colors import COLORS
 from loomnet.plans.runtime import shared_path
@@ -588,7 +588,7 @@ reach(id, other) AS (SELECT DISTINCT gene_id, gene_id FROM expr UNION SELECT rea
 def c3_static_cut(spark, sf_dir):
     """Single-linkage clusters of dimensions at the height that two in a hundred distances stay below."""
     d = cluster.euclidean(fx.dim(spark, sf_dir))
-    height = d.agg(F.percentile("d", F.lit(0.02))).first()[0]
+    height = cluster.quantile(d, "d", 0.02)
     return cluster.cut_single(d, fx.dim(spark, sf_dir).select(F.col("gene_id").alias("id")).distinct(), height)
 
 
@@ -689,3 +689,82 @@ def n2_adjacency_selected(spark, sf_dir):
     some = e.where(F.col("gene_id").endswith("0")).select("gene_id")
     return rounded(network.adjacency(network.correlation(e, plan="masked", select=some), "signed", 6), "a")
 
+
+@query(EIGEN + "SELECT sample_id, module, 1 AS component, round(value, 6) + 0.0 AS value FROM me")
+def m2_component_by_blocks(spark, sf_dir):
+    """The first component without a product of samples by samples."""
+    out = components.principal_components(fx.supp(spark, sf_dir), fx.supp_modules(spark, sf_dir), 1)
+    return rounded(out.select("sample_id", "module", "component", "value"), "value")
+
+
+@query()
+def m2_three_components(spark, sf_dir):
+    """Three components of each module and how much of its genes each explains."""
+    expr, genes = fx.supp(spark, sf_dir), fx.supp_modules(spark, sf_dir)
+    return components.component_explained(expr, genes, components.principal_components(expr, genes, 3))
+
+
+GAPS = f"""WITH {fx.EVENTS}, genes AS (SELECT DISTINCT gene_id, 'm' || (gene_id::BIGINT % 3)::VARCHAR AS module FROM expr)"""
+
+
+def _gappy(spark, sf_dir):
+    """Users with gaps, in three modules by their id."""
+    expr = fx.events(spark, sf_dir)
+    return expr, expr.select("gene_id", F.concat(F.lit("m"), (F.col("gene_id").cast("long") % 3).cast("string")).alias("module")).distinct()
+
+
+@query(GAPS + """, own AS (SELECT * FROM expr JOIN genes USING (gene_id)), p AS (SELECT count(DISTINCT sample_id) AS p FROM expr),
+far AS (SELECT a.module, a.gene_id, b.gene_id AS giver, sum(pow(a.value - b.value, 2)) * any_value(p) / count(*) AS d FROM own a JOIN own b ON a.module = b.module AND a.sample_id = b.sample_id AND a.gene_id <> b.gene_id, p GROUP BY ALL),
+gap AS (SELECT module, gene_id, sample_id FROM genes CROSS JOIN (SELECT DISTINCT sample_id FROM expr) ANTI JOIN expr USING (gene_id, sample_id)),
+near AS (SELECT g.module, g.gene_id, g.sample_id, o.value FROM gap g JOIN far f ON f.module = g.module AND f.gene_id = g.gene_id JOIN own o ON o.gene_id = f.giver AND o.sample_id = g.sample_id
+  QUALIFY row_number() OVER (PARTITION BY g.gene_id, g.sample_id ORDER BY d, giver) <= 10),
+given AS (SELECT gene_id, sample_id, avg(value) AS value FROM near GROUP BY ALL), middle AS (SELECT module, sample_id, avg(value) AS value FROM own GROUP BY ALL)
+SELECT sample_id, gene_id, round(value, 6) + 0.0 AS value FROM expr UNION ALL
+SELECT g.sample_id, g.gene_id, round(coalesce(n.value, m.value), 6) + 0.0 FROM gap g LEFT JOIN given n USING (gene_id, sample_id) LEFT JOIN middle m ON m.module = g.module AND m.sample_id = g.sample_id WHERE coalesce(n.value, m.value) IS NOT NULL""")
+def m2_imputed(spark, sf_dir):
+    """Days without events from the ten nearest users of the module."""
+    return rounded(components.impute_nearest(*_gappy(spark, sf_dir), 10), "value")
+
+
+@query(GAPS + """, z AS (SELECT * FROM (SELECT module, gene_id, sample_id, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM expr JOIN genes USING (gene_id) WINDOW w AS (PARTITION BY gene_id)) WHERE z IS NOT NULL),
+cov AS (SELECT a.module, a.gene_id AS i, b.gene_id AS j, coalesce(covar_samp(a.z, b.z), 0) AS c FROM z a JOIN z b ON a.module = b.module AND a.sample_id = b.sample_id GROUP BY ALL),
+n AS (SELECT module, count(DISTINCT gene_id) AS n FROM z GROUP BY ALL), raw AS (SELECT module, i, pow(sum(pow(abs(c), 6)) / any_value(n), 3) AS k FROM cov JOIN n USING (module) GROUP BY ALL),
+k AS (SELECT module, i, CASE WHEN max(k) OVER (PARTITION BY module) > 1 THEN k - 1 ELSE k END AS k FROM raw), hub AS (SELECT module, first(i ORDER BY k DESC, i) AS j, sum(k) AS total FROM k GROUP BY ALL),
+w AS (SELECT module, i AS gene_id, sign(c) * k / total AS w FROM cov JOIN hub USING (module, j) JOIN k USING (module, i))
+SELECT sample_id, module, round(sum(z * w) / any_value(n), 6) + 0.0 AS value FROM z JOIN w USING (module, gene_id) JOIN n USING (module) GROUP BY ALL""")
+def m2_hub_profile(spark, sf_dir):
+    return rounded(components.hub_profile(*_gappy(spark, sf_dir), 6), "value")
+
+
+def _minimax(rounds: int) -> str:
+    """Least largest steps over paths of up to 2^rounds steps."""
+    out = "m0 AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d)"
+    for k in range(rounds):
+        out += f", m{k + 1} AS MATERIALIZED (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM m{k} UNION ALL SELECT a.i, b.j, greatest(a.d, b.d) FROM m{k} a JOIN m{k} b ON a.j = b.i AND a.i <> b.j) GROUP BY i, j)"
+    return out
+
+
+@query(f"""WITH {fx.SUPP}, d AS (SELECT a.sample_id AS i, b.sample_id AS j, sqrt(sum(pow(a.value - b.value, 2))) AS d FROM expr a JOIN expr b ON a.gene_id = b.gene_id AND a.sample_id < b.sample_id GROUP BY ALL),
+{_minimax(7)} SELECT d.i, d.j, round(d.d, 6) + 0.0 AS d FROM d JOIN m7 ON m7.i = d.i AND m7.j = d.j WHERE d.d <= m7.d""")
+def c2_spanning_tree(spark, sf_dir):
+    """The tree of months: an edge is in it exactly if no path around it has only smaller steps."""
+    d = cluster.euclidean(fx.supp(spark, sf_dir), "sample_id", "gene_id")
+    return rounded(cluster.spanning_tree(d, fx.months(spark, sf_dir).select(F.col("sample_id").alias("id"))).select("i", "j", "d"), "d")
+
+
+@query(f"""WITH RECURSIVE {fx.SUPP}, {fx.SUPP_MODULES}, sets AS (SELECT left(sample_id, 4)::INT % 2 AS set_id, * FROM expr), {_eigengenes('sets', 'set_id, module')},
+diss AS (SELECT i, j, max(d) AS d FROM (SELECT a.set_id, a.module AS i, b.module AS j, 1 - corr(a.value, b.value) AS d FROM me a JOIN me b ON a.set_id = b.set_id AND a.sample_id = b.sample_id AND a.module <> b.module GROUP BY ALL) GROUP BY ALL),
+reach(id, other) AS (SELECT DISTINCT module, module FROM genes UNION SELECT reach.id, diss.j FROM reach JOIN diss ON diss.i = reach.other AND diss.d <= 0.9),
+merged AS (SELECT gene_id, label AS module FROM genes JOIN (SELECT id AS module, min(other) AS label FROM reach GROUP BY id) USING (module)),
+size AS (SELECT module, (row_number() OVER (ORDER BY count(*) DESC, module))::INT AS number FROM merged GROUP BY module) SELECT gene_id, module, number FROM merged JOIN size USING (module)""")
+def m10_consensus_round(spark, sf_dir):
+    """One round of merging modules that are near in both sets of years, by single linkage."""
+    expr = fx.supp(spark, sf_dir).withColumn("set_id", F.substring("sample_id", 1, 4).cast("int") % 2)
+    return modules.merge_on_consensus(expr, fx.supp_modules(spark, sf_dir), cut=0.9, linkage_method="single", rounds=1)
+
+
+@query()
+def m10_consensus_merge(spark, sf_dir):
+    """Merging on the consensus of two sets of years until nothing is near any more."""
+    expr = fx.supp(spark, sf_dir).withColumn("set_id", F.substring("sample_id", 1, 4).cast("int") % 2)
+    return modules.merge_on_consensus(expr, fx.supp_modules(spark, sf_dir), cut=0.6, quantile=0.25, equalize="mean")

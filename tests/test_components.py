@@ -94,3 +94,23 @@ def test_hub_profiles_where_gaps_stay(spark):
     assert np.allclose(got, np.nansum(z * w[:, None], 0) / len(own))
     none = components.module_profiles(frame(spark, x), members(spark, module), neighbours=0, hubs=False)
     assert {r.module for r in none.select("module").distinct().collect()} == {"b"}
+
+
+def test_merging_on_the_consensus(spark):
+    """Two sets; b is near a in both, d near c in one only, f runs against e in both."""
+    rng = np.random.default_rng(7)
+    genes, module = 48, np.repeat(list("abcdef"), [12, 8, 8, 8, 7, 5])
+    factor = rng.normal(size=(2, 6, 30))
+    factor[:, 1] = factor[:, 0] + 0.2 * rng.normal(size=(2, 30))
+    factor[0, 3] = factor[0, 2]
+    factor[:, 5] = -factor[:, 4]
+    x = np.stack([factor[k, ["abcdef".index(m) for m in module]] + 0.3 * rng.normal(size=(genes, 30)) for k in (0, 1)])
+    rows = [(k, f"t{k}s{s:02d}", f"g{g:02d}", float(x[k, g, s])) for k in (0, 1) for g in range(genes) for s in range(30)]
+    expr = spark.createDataFrame(rows, "set_id int, sample_id string, gene_id string, value double")
+    names = spark.createDataFrame([(f"g{g:02d}", str(m)) for g, m in enumerate(module)] + [("g99", "grey")], "gene_id string, module string")
+    run = lambda **more: {r.gene_id: (r.module, r.number) for r in modules.merge_on_consensus(expr, names, 0.2, **more).collect()}
+    got = run()
+    assert [got[f"g{g:02d}"][0] for g in range(genes)] == ["a" if m == "b" else m for m in module] and got["g99"] == ("grey", 0)
+    assert {v for v in got.values()} == {("a", 1), ("c", 2), ("d", 3), ("e", 4), ("f", 5), ("grey", 0)}
+    assert {m for m, _ in run(quantile=1.0).values()} == {"a", "c", "e", "f", "grey"}  # near in one set is enough
+    assert run(absolute=True, equalize="median")["g47"][0] == "e"
