@@ -65,6 +65,35 @@ full_ AS (SELECT s1.network AS network1, s1.module AS module1, s2.network AS net
   FROM sizes s1 JOIN sizes s2 ON s1.network <> s2.network CROSS JOIN total LEFT JOIN shared h ON h.network1 = s1.network AND h.module1 = s1.module AND h.network2 = s2.network AND h.module2 = s2.module)"""
 
 
+# --- trees as SQL ------------------------------------------------------------------------------
+#: Average linkage of pairs d(i, j, d) by rounds, each merging all pairs that are nearest to each other; needs WITH RECURSIVE.
+LINK = """tree AS (
+  SELECT 0 AS step, i, j, d, 1::BIGINT AS si, 1::BIGINT AS sj, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::VARCHAR AS node, NULL::DOUBLE AS height, NULL::BIGINT AS size FROM d
+  UNION ALL (
+  WITH open_ AS (SELECT * FROM tree WHERE node IS NULL),
+  ends AS (SELECT step, i, j, d, si, sj, i AS a FROM open_ UNION ALL SELECT step, i, j, d, si, sj, j FROM open_),
+  least_ AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, i, j) = 1),
+  met AS (SELECT step + 1 AS step, i AS l, j AS r, i || '~' || (step + 1)::VARCHAR AS node, d AS height, si, sj, si + sj AS size FROM least_ GROUP BY step, i, j, d, si, sj HAVING count(*) = 2),
+  moved AS (SELECT l AS old, node, size, si / size AS share FROM met UNION ALL SELECT r, node, size, sj / size FROM met),
+  again AS (SELECT step + 1 AS step, coalesce(a.node, i) AS p, coalesce(b.node, j) AS q, coalesce(a.size, si) AS sp, coalesce(b.size, sj) AS sq, d, coalesce(a.share, 1) * coalesce(b.share, 1) AS w
+    FROM open_ LEFT JOIN moved a ON a.old = i LEFT JOIN moved b ON b.old = j)
+  SELECT step, least(p, q), greatest(p, q), sum(d * w), any_value(CASE WHEN p < q THEN sp ELSE sq END), any_value(CASE WHEN p < q THEN sq ELSE sp END), NULL, NULL, NULL, NULL, NULL FROM again WHERE p <> q GROUP BY step, least(p, q), greatest(p, q)
+  UNION ALL SELECT step, NULL, NULL, NULL, NULL, NULL, l, r, node, height, size FROM met)),
+dendro AS (SELECT l AS "left", r AS "right", node, height, size, step AS round FROM tree WHERE node IS NOT NULL)"""
+#: Places of leaves from the left, of one tree over all items.
+LEAVES = """walk(id, spot) AS (SELECT node, 0::BIGINT FROM dendro WHERE node NOT IN (SELECT "left" FROM dendro UNION ALL SELECT "right" FROM dendro)
+  UNION ALL SELECT c.id, c.spot FROM (SELECT unnest([{'id': o."left", 'spot': w.spot}, {'id': o."right", 'spot': w.spot + coalesce(l.size, 1)}]) AS c FROM walk w JOIN dendro o ON o.node = w.id LEFT JOIN dendro l ON l.node = o."left")),
+leaf AS (SELECT id, spot AS ord FROM walk WHERE id NOT IN (SELECT node FROM dendro))"""
+MONTHS_APART = f"WITH RECURSIVE {fx.SUPP}, d AS (SELECT a.sample_id AS i, b.sample_id AS j, sqrt(sum(pow(a.value - b.value, 2))) AS d FROM expr a JOIN expr b ON a.gene_id = b.gene_id AND a.sample_id < b.sample_id GROUP BY ALL), {LINK}"
+
+
+def _flat(height: str, items: str) -> str:
+    """flat(id, label): clusters below a height."""
+    return f"""up AS (SELECT c.id, node AS parent, height FROM (SELECT unnest([{{'id': "left"}}, {{'id': "right"}}]) AS c, node, height FROM dendro)), cut AS (SELECT {height} AS h),
+below(id, top) AS (SELECT node, node FROM dendro LEFT JOIN up ON up.id = node, cut WHERE dendro.height <= h AND coalesce(up.height > h, true) UNION ALL SELECT up.id, below.top FROM below JOIN up ON up.parent = below.id),
+flat AS (SELECT id, min(id) OVER (PARTITION BY coalesce(top, id)) AS label FROM ({items}) LEFT JOIN below USING (id))"""
+
+
 # --- cleaning --------------------------------------------------------------------------------
 @query(f"WITH {fx.EMB} SELECT gene_id FROM expr GROUP BY gene_id HAVING max(value) > 0.25")
 def p1_expressed_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +126,10 @@ def p4_good_samples_genes(spark, sf_dir):
     return clean.good_samples_genes(fx.supp(spark, sf_dir, filled=False)).groupBy("gene_id").agg(F.count("value").alias("n_samples"))
 
 
-@query()
+@query(f"""{MONTHS_APART}, {_flat("1500.0", "SELECT DISTINCT sample_id AS id FROM expr")}
+SELECT id AS sample_id FROM flat WHERE label = (SELECT label FROM flat GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)""")
 def p5_outlying_samples(spark, sf_dir):
-    return clean.samples_below(fx.supp(spark, sf_dir), cut=1e6)
+    return clean.samples_below(fx.supp(spark, sf_dir), cut=1500.0)
 
 
 @query(f"WITH {fx.SUPP_MODULES} SELECT gene_id, module FROM genes WHERE module IN ('ASIA', 'EUROPE')")
@@ -482,7 +512,7 @@ def c1_distance(spark, sf_dir):
     return rounded(cluster.euclidean(fx.emb(spark, sf_dir)), "d")
 
 
-@query()
+@query(MONTHS_APART + ' SELECT "left", "right", node, round(height, 6) AS height, size, round FROM dendro')
 def c2_linkage(spark, sf_dir):
     d = cluster.euclidean(fx.supp(spark, sf_dir), "sample_id", "gene_id")
     return rounded(cluster.linkage(d, fx.months(spark, sf_dir).select(F.col("sample_id").alias("id"))), "height")
@@ -604,18 +634,20 @@ def m4_multiset_eigengenes(spark, sf_dir):
     return rounded(modules.multiset_eigengenes(expr, fx.supp_modules(spark, sf_dir)), "value")
 
 
-@query()
+@query(f"{AVERAGE.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (SELECT a.module AS i, b.module AS j, 1 - corr(a.value, b.value) AS d FROM me a JOIN me b ON a.sample_id = b.sample_id AND a.module < b.module GROUP BY ALL), {LINK}, {LEAVES} SELECT id AS module, ord::INT AS ord FROM leaf")
 def m9_module_order(spark, sf_dir):
     return modules.order_modules(_average(spark, sf_dir))
 
 
-@query()
+@query(f"{SETS.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (SELECT i, j, avg(d) AS d FROM diss GROUP BY i, j), {LINK}, {LEAVES} SELECT id AS module, ord::INT AS ord FROM leaf")
 def m9_consensus_order(spark, sf_dir):
     me = _average(spark, sf_dir).withColumn("set_id", F.substring("sample_id", 1, 4).cast("int") % 2)
     return modules.consensus_order(me, "majority")
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.DIM}, d AS (SELECT a.gene_id AS i, b.gene_id AS j, sqrt(sum(pow(a.value - b.value, 2))) AS d FROM expr a JOIN expr b ON a.sample_id = b.sample_id AND a.gene_id < b.gene_id GROUP BY ALL), {LINK}, {LEAVES},
+{_flat("(SELECT avg(height) FROM dendro)", "SELECT DISTINCT gene_id AS id FROM expr")},
+placed AS (SELECT id, label, ord, min(ord) OVER (PARTITION BY label) AS first FROM flat JOIN leaf USING (id)) SELECT id, label, row_number() OVER (ORDER BY first, label, ord) - 1 AS ord FROM placed""")
 def c4_heatmap_rows(spark, sf_dir):
     """Dimensions in the order of a heatmap's rows: flat clusters of an average-linkage tree, each in leaf order."""
     expr = fx.dim(spark, sf_dir)

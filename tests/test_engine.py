@@ -22,7 +22,7 @@ import tree_cut  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"p5_outlying_samples", "c2_linkage", "m10_merge"}
+SLOW = {"m10_consensus_merge"}  # merge_on_consensus has a test of its own
 
 
 def rows(df):
