@@ -104,6 +104,23 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_read(spark, sf_dir, "documents"), least=7, occurrences=2, times=10, damage=31)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: hash(w[k : k + 4])) WHEN len(w) > 0 THEN [hash(w)] ELSE [] END)) AS s FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS class_id, count(*) AS n_copies FROM sets WHERE len(s) > 0 GROUP BY s
+), grams AS (SELECT class_id, len(s) AS n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.class_id <> b.class_id AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+), reach(id, other) AS (SELECT class_id, class_id FROM classes UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+groups AS (SELECT id AS class_id, min(other) AS group_id FROM reach GROUP BY id), degree AS (SELECT a AS class_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links, coalesce(group_id, doc_id) AS group_id
+FROM sets LEFT JOIN classes USING (s) LEFT JOIN degree USING (class_id) LEFT JOIN groups USING (class_id)
+"""
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -155,6 +172,27 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_rem
 FROM cut LEFT JOIN lost USING (doc_id)
 """
 
+# windows are cut from short pieces of a text, as DuckDB walks a string from its beginning
+OP9_SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, s + p AS p, hash(part[2 * p + 1 : 2 * p + 800]) AS a FROM (SELECT doc_id, s, part, unnest(range(len(part) // 2 - 399)) AS p FROM (
+    SELECT doc_id, s, h[2 * s + 1 : 2 * s + 1198] AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399, 200)) AS s FROM bytes WHERE len(h) >= 800)))
+), starts AS (
+  SELECT doc_id, p FROM windows JOIN (SELECT a FROM windows GROUP BY a HAVING count(*) > 1) USING (a)
+), spans AS (
+  SELECT doc_id, min(p) AS b, max(p) + 400 AS e FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+      SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS fresh FROM starts))
+  GROUP BY doc_id, run
+), gone AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM spans GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN bs IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(bs) + 2), lambda k:
+         h[2 * coalesce(es[k - 1], 0) + 1 : 2 * coalesce(bs[k], len(h) // 2)]), '') END)) AS kept_sha256
+FROM bytes LEFT JOIN gone USING (doc_id)
+"""
+
 OP10_SQL = (
     r"""
 WITH entries(list_name, pattern, action, listed_at) AS (VALUES """
@@ -248,9 +286,11 @@ QUERIES = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES = {
+    "op2_ngram_jaccard_join": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op9_suffix_array_dedup": OP9_SQL,
     "op10_url_filters": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op13_spelling_variants": OP13_SQL,
