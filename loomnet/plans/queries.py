@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomnet.functions import stats
@@ -126,6 +126,43 @@ def p4_good_samples_genes(spark, sf_dir):
     return clean.good_samples_genes(fx.supp(spark, sf_dir, filled=False)).groupBy("gene_id").agg(F.count("value").alias("n_samples"))
 
 
+#: Days of users, weighed by how many events they have, relative to the user's busiest day; what is under half of that is as good as missing.
+SEEN = """seen AS (SELECT e.*, w.n / max(w.n) OVER (PARTITION BY gene_id) AS w, CASE WHEN w.n >= 0.5 * max(w.n) OVER (PARTITION BY gene_id) THEN value END AS v
+  FROM expr e JOIN (SELECT strftime(ts, '%Y-%m-%d') AS sample_id, user_id::VARCHAR AS gene_id, count(*) AS n FROM events GROUP BY ALL) w USING (sample_id, gene_id))"""
+
+
+def _event_weights(spark, sf_dir):
+    e = fx.read(spark, sf_dir, "events")
+    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("sample_id"), F.col("user_id").cast("string").alias("gene_id")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query(f"""WITH {fx.EVENTS}, {SEEN}, o AS (SELECT count(DISTINCT sample_id) AS s, 1e-10 * max(abs(value)) AS tol FROM expr),
+m AS (SELECT gene_id, count(v) AS n, sum(w * v) / sum(w) AS mean FROM seen WHERE v IS NOT NULL GROUP BY gene_id), q AS (SELECT gene_id, sum(w * pow(v - mean, 2)) / sum(w) AS variance FROM seen JOIN m USING (gene_id) WHERE v IS NOT NULL GROUP BY gene_id)
+SELECT gene_id, n AS n_present, s - n AS n_missing, round(variance, 6) AS variance, n >= 4 AND s - n < 0.7 * s AND variance > tol * tol AS good FROM m JOIN q USING (gene_id), o""")
+def p2_weighted_good_genes(spark, sf_dir):
+    return rounded(clean.good_genes(fx.events(spark, sf_dir), min_fraction=0.3, weights=_event_weights(spark, sf_dir), min_relative_weight=0.5), "variance")
+
+
+@query(f"""WITH {fx.EVENTS}, {SEEN}, o AS (SELECT count(DISTINCT gene_id) AS g FROM expr)
+SELECT sample_id, count(v) AS n_present, g - count(v) AS n_missing, g - count(v) < 0.7 * g AND count(v) >= 4 AS good FROM seen, o GROUP BY sample_id, g""")
+def p3_weighted_good_samples(spark, sf_dir):
+    return clean.good_samples(fx.events(spark, sf_dir), min_fraction=0.3, weights=_event_weights(spark, sf_dir), min_relative_weight=0.5)
+
+
+def _weighted_round(k: int) -> str:
+    """One round over u<k> of dropping bad genes, then bad samples, with weights."""
+    return f"""m{k} AS (SELECT gene_id, count(v) AS n, sum(w * v) / sum(w) FILTER (WHERE v IS NOT NULL) AS mean FROM u{k} GROUP BY gene_id),
+g{k} AS (SELECT gene_id FROM u{k} JOIN m{k} USING (gene_id), (SELECT count(DISTINCT sample_id) AS s, 1e-10 * max(abs(value)) AS tol FROM u{k}) GROUP BY gene_id, n, s, tol
+ HAVING n >= 4 AND s - n < 0.7 * s AND coalesce(sum(w * pow(v - mean, 2)) / sum(w) FILTER (WHERE v IS NOT NULL), 0) > tol * tol), h{k} AS (SELECT * FROM u{k} WHERE gene_id IN (FROM g{k})),
+s{k} AS (SELECT sample_id FROM h{k}, (SELECT count(DISTINCT gene_id) AS g FROM h{k}) GROUP BY sample_id, g HAVING g - count(v) < 0.7 * g AND count(v) >= 4), u{k + 1} AS (SELECT * FROM h{k} WHERE sample_id IN (FROM s{k}))"""
+
+
+@query(f"WITH {fx.EVENTS}, {SEEN}, u0 AS (FROM seen), " + ", ".join(map(_weighted_round, range(5))) + " SELECT sample_id, gene_id, round(value, 6) AS value FROM u5")
+def p4_weighted_good_samples_genes(spark, sf_dir):
+    """The SQL spells out five rounds, more than these tables need until nothing changes."""
+    return rounded(clean.good_samples_genes(fx.events(spark, sf_dir), min_fraction=0.3, weights=_event_weights(spark, sf_dir), min_relative_weight=0.5), "value")
+
+
 @query(f"""{MONTHS_APART}, {_flat("1500.0", "SELECT DISTINCT sample_id AS id FROM expr")}
 SELECT id AS sample_id FROM flat WHERE label = (SELECT label FROM flat GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)""")
 def p5_outlying_samples(spark, sf_dir):
@@ -566,6 +603,20 @@ def s1_csv_scan(spark, sf_dir):
     return tables.read_expression(spark, path, sep=";")
 
 
+@query(f"WITH {fx.SUPP} SELECT sample_id, gene_id, value FROM expr")
+def s3_sparse_matrix(spark, sf_dir):
+    """Months by suppliers as compressed rows with their row and column tables; months without a cell are 0."""
+    cells = fx.supp(spark, sf_dir, filled=False).withColumn("column", F.col("gene_id").cast("long"))
+    month = (F.substring("sample_id", 1, 4).cast("long") - 1990) * 12 + F.substring("sample_id", 6, 2).cast("long") - 1
+    counts = cells.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).withColumn("row", month)
+    every = spark.range(12 * 20).select(F.col("id").alias("at")).join(counts, F.col("at") == F.col("row"), "left")  # months since 1990
+    indptr = every.select("at", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("row").orderBy("column")) - 1
+    entries = cells.withColumn("row", month).withColumn("inside", inside).join(indptr, F.col("row") == F.col("at")).select((F.col("start") + F.col("inside")).alias("at"), "column", "value")
+    obs, var = counts.select("row", "sample_id"), cells.select("column", "gene_id").distinct()
+    return tables.expression(spark, sparse=(indptr, entries, obs, var))[0]
+
+
 @query(f"WITH {fx.SUPP_MODULES} SELECT gene_id, module FROM genes")
 def s6_saved_analysis(spark, sf_dir):
     path = shared_path(spark, "saved")

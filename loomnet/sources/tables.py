@@ -1,9 +1,13 @@
-"""Sources and sinks: wide expression tables, metadata upserts, annotation, saved analyses."""
+"""Sources and sinks: wide and sparse expression matrices, metadata upserts, annotation, saved analyses."""
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,20 +21,122 @@ def wide_to_long(wide: DataFrame, id_column: str | None = None) -> DataFrame:
     return long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def read_expression(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """expr from delimited text with a header row."""
-    return wide_to_long(spark.read.csv(path, sep=sep, header=True))
+#: How a cell of text says that it has no value (fixed values, in lower case).
+MISSING = ("", "na", "n/a", "#n/a", "nan", "-nan", "null", "none", "<na>")
+#: Cells that a task hands back at once.
+CELLS = 1_000_000
+
+
+def _long(names: list[str], rows: Iterable[tuple[str | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Long rows of samples with a value for every gene, about CELLS at a time; NaN becomes null."""
+    genes, held = pa.array(names, pa.string()), []
+
+    def batch() -> pa.RecordBatch:
+        samples = pa.array([s for s, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), len(names))))
+        every = genes.take(pa.array(np.tile(np.arange(len(names)), len(held))))
+        values = pa.array(np.concatenate([v for _, v in held]), pa.float64(), from_pandas=True)
+        return pa.RecordBatch.from_arrays([samples, every, values], names=["sample_id", "gene_id", "value"])
 
+    for row in rows:
+        held.append(row)
+        if len(held) * len(names) >= CELLS:
+            yield batch()
+            held = []
+    if held:
+        yield batch()
 
-def expression(spark: SparkSession, path: str | None = None, frame: DataFrame | None = None, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None, sep: str = ",") -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(expr, samples, genes) from a file, else a wide frame, else a triple of tables (expr, samples, genes); ValueError for none."""
+
+def _number(cell: str) -> float:
+    return float("nan") if cell.strip().lower() in MISSING else float(cell)
+
+
+def read_expression(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """expr from delimited text: a row a sample, its id first, and a header that names the genes.
+
+    Lines are shared out as any text file's; a task gets the header and hands long rows back, so the plan doesn't grow with the number of genes. All
+    files of a folder carry the same header. Cells may be quoted, lines may not be broken within one. A cell of MISSING gives null; other text
+    that is no number, a line of another length and a gene named twice are errors. Blank lines are left out; a file without lines gives no row."""
+    lines = spark.read.text(path)
+    first = lines.first()
+    header = first[0] if first else ""
+    names = next(csv.reader([header], delimiter=sep), [])[1:]
+    if len(set(names)) < len(names):
+        raise ValueError("two columns have the same name")
+
+    def parsed(texts):
+        for cells in csv.reader(texts, delimiter=sep):
+            if len(cells) != len(names) + 1:
+                raise ValueError(f"the line of {cells[0]!r} has {len(cells) - 1} values, the header {len(names)}")
+            try:
+                values = np.array(cells[1:], float)
+            except ValueError:  # something that is no number
+                values = np.array([_number(c) for c in cells[1:]])
+            yield cells[0], values
+
+    def rows(batches):
+        texts = (line for batch in batches for line in batch.column(0).to_pylist() if line.strip() and line != header)
+        yield from _long(names, parsed(texts))
+
+    return lines.mapInArrow(rows, "sample_id string, gene_id string, value double")
+
+
+def sparse_expression(indptr: DataFrame, entries: DataFrame, obs: DataFrame, var: DataFrame, zeros: bool = True) -> DataFrame:
+    """expr from a matrix of compressed rows, samples by genes, with its row and column tables.
+
+    indptr(at, start): where each row's entries begin, and in one more row where they end. entries(at, column, value): the entries, numbered from 0. obs(row,
+    sample_id) and var(column, gene_id): what the rows and columns are called, each once; columns count from 0 without gaps. Entries of one cell are added up; an
+    entry whose row or column has no name is left out, as is one with a null column. Cells without an entry are 0, or absent with ``zeros=False``.
+    A null or NaN entry gives null.
+
+    Entries meet their rows in blocks of positions, so no task orders the whole matrix, and only stored entries are shuffled: zeros appear in the task
+    that has the row's entries, at most as many as there are genes."""
+    block = 65536
+    rows = indptr.select(F.col("at").alias("row"), F.col("start").alias("begin")).join(indptr.select((F.col("at") - 1).alias("row"), F.col("start").alias("end")), "row").where("begin < end")
+    named = obs.select("row", F.col("sample_id").cast("string").alias("sample_id"))
+    spans = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
+    cells = entries.select("at", "column", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"), F.floor(F.col("at") / block).alias("block")).where("column is not null")
+    placed = cells.join(spans, (cells["block"] == spans["block"]) & (cells["at"] >= spans["begin"]) & (cells["at"] < spans["end"])).select("row", "column", "value")
+    summed = placed.groupBy("row", "column").agg(F.sum("value").alias("value"))
+    value = F.when(~F.isnan("value"), F.col("value"))
+    genes = var.select("column", F.col("gene_id").cast("string").alias("gene_id"))
+    if not zeros:
+        return summed.join(named, "row").join(genes, "column").select("sample_id", "gene_id", value.alias("value"))
+    width = var.agg(F.max("column").cast("long")).first()[0]
+    width = 0 if width is None else width + 1
+    stored = summed.where((F.col("column") >= 0) & (F.col("column") < width)).groupBy("row").agg(F.collect_list(F.struct("column", "value")).alias("stored"))  # at most an entry a gene
+
+    def dense(batches):
+        every = pa.array(np.arange(width))
+        for batch in batches:
+            for sample, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.zeros(width)
+                if own.is_valid:
+                    values[own.values.field("column").to_numpy(zero_copy_only=False)] = own.values.field("value").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([sample], pa.string()).take(pa.array(np.zeros(width, int))), every, pa.array(values)], names=["sample_id", "column", "value"])
+
+    long = named.join(stored, "row", "left").select("sample_id", "stored").mapInArrow(dense, "sample_id string, column long, value double")
+    return long.join(genes, "column").select("sample_id", "gene_id", value.alias("value"))
+
+
+def expression(
+    spark: SparkSession,
+    path: str | None = None,
+    frame: DataFrame | None = None,
+    parts: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    sep: str = ",",
+    sparse: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(expr, samples, genes) from a file, else a wide frame, else a triple of tables (expr, samples, genes), else a sparse matrix (indptr,
+    entries, obs, var), whose obs and var become samples and genes; ValueError for none."""
     if path is not None:
         return read_expression(spark, path, sep), None, None
     if frame is not None:
         return wide_to_long(frame), None, None
     if parts is not None:
         return parts
-    raise ValueError("give a path, a wide frame or (expr, samples, genes)")
+    if sparse is not None:
+        return sparse_expression(*sparse), sparse[2].drop("row"), sparse[3].drop("column")
+    raise ValueError("give a path, a wide frame, (expr, samples, genes) or (indptr, entries, obs, var)")
 
 
 def upsert(info: DataFrame, new: DataFrame, key: str) -> DataFrame:

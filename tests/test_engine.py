@@ -277,6 +277,82 @@ def test_sources_round_trip(spark, tmp_path):
     assert again.config == own.config and rows(again.tables["membership"].toPandas()) == rows(own.tables["membership"].toPandas())
 
 
+def test_wide_text_of_many_genes(spark, tmp_path):
+    """The plan has no expression a gene; quoted cells, missing values, blank lines, several files, and what is no matrix."""
+    names = [f"g{k}" for k in range(20_000)]
+    for part in range(2):
+        lines = ["sample," + ",".join(names)] + [f"s{part}{r}," + ",".join(str(r + k) if k else "NA" for k in range(20_000)) for r in range(3)]
+        (tmp_path / f"{part}.csv").write_text("\n".join([*lines, "", ""]))
+    long = tables.read_expression(spark, str(tmp_path))
+    assert len(long._jdf.queryExecution().toString()) < 5_000
+    got = long.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("present"), F.sum("value").alias("total")).orderBy("sample_id").collect()
+    assert [tuple(r) for r in got] == [(f"s{p}{r}", 20_000, 19_999, 19_999.0 * r + 19_999 * 10_000) for p in range(2) for r in range(3)]
+
+    def read(text, sep=","):
+        path = tmp_path / f"{abs(hash(text))}.txt"
+        path.write_text(text)
+        return sorted(map(tuple, tables.read_expression(spark, str(path), sep).collect()), key=str)
+
+    assert read('id;"a;b";c\n"x;1";-1e3;nan\n', ";") == [("x;1", "a;b", -1000.0), ("x;1", "c", None)]
+    assert read("id,a\n") == [] and read("") == [] and read("id\nx\n") == []
+    for wrong in ("id,a\nx,1,2\n", "id,a\nx,word\n", "id,a,a\nx,1,2\n"):
+        with pytest.raises(Exception):  # noqa: B017 - on the driver or in a task
+            read(wrong)
+
+
+@pytest.mark.parametrize("zeros", [True, False])
+def test_sparse_matrix(spark, zeros):
+    """Against the dense matrix: an empty row, one over several blocks of positions, repeated entries, nulls and entries without a name."""
+    rng = np.random.default_rng(3)
+    kept = [sorted(rng.choice(70_000, n, replace=False).tolist()) for n in (5, 0, 69_000, 3)]
+    cells = [(r, c, float(r + c % 7 + 1)) for r, own in enumerate(kept) for c in own] + [(3, kept[3][0], 2.0), (3, kept[3][1], None), (3, 99_999, 1.0), (3, None, 1.0)]
+    starts = np.cumsum([0] + [sum(c[0] == r for c in cells) for r in range(4)]).tolist()
+    indptr = spark.createDataFrame(list(enumerate(starts)), "at long, start long")
+    entries = spark.createDataFrame([(at, c, v) for at, (_, c, v) in enumerate(cells)], "at long, column int, value double")
+    obs = spark.createDataFrame([(r, f"s{r}", "x") for r in range(4)], "row long, sample_id string, gene_id string")
+    var = spark.range(70_000).select(F.col("id").alias("column"), F.concat(F.lit("g"), "id").alias("gene_id"), F.lit(1).alias("value"))
+    expr, samples, genes = tables.expression(spark, sparse=(indptr, entries, obs, var))
+    if not zeros:
+        expr = tables.sparse_expression(indptr, entries, obs, var, zeros=False)
+    assert samples.columns == ["sample_id", "gene_id"] and genes.columns == ["gene_id", "value"]
+    got = {(r[0], r[1]): r[2] for r in expr.where("value != 0 or value is null").collect()}
+    want: dict = {}
+    for r, c, v in cells:
+        if c is not None and c < 70_000:
+            key = (f"s{r}", f"g{c}")
+            want[key] = None if v is None or (key in want and want[key] is None) else want.get(key, 0) + v
+    assert got == want and expr.count() == (4 * 70_000 if zeros else len(want))
+    empty = tables.sparse_expression(indptr, entries.limit(0), obs, var.limit(0), zeros)
+    assert empty.count() == 0
+
+
+def test_weighted_cleaning(spark):
+    """Weights scale by gene; light, missing and infinite ones hide values, negative ones are an error; equal weights change nothing."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 1, (6, 9))
+    w = rng.uniform(0.2, 1, (6, 9)) * 10.0 ** np.arange(6)[:, None]
+    w[1, :6], w[2, 0], w[3] = 0, np.inf, 0
+    as_weights = lambda m: expr_of(spark, m).withColumnRenamed("value", "weight")
+    got = {r.gene_id: r for r in clean.good_genes(expr_of(spark, x), weights=as_weights(w), min_relative_weight=0.1).collect()}
+    for g in range(6):
+        own = np.where(np.isfinite(w[g]), w[g], np.nan)
+        own = own / (np.nanmax(own) or 1)
+        seen = own >= 0.1
+        r = got[f"g{g:03d}"]
+        assert (r.n_present, r.n_missing) == (seen.sum(), 9 - seen.sum())
+        if seen.any():
+            assert r.variance == pytest.approx(np.average((x[g][seen] - np.average(x[g][seen], weights=own[seen])) ** 2, weights=own[seen]), rel=1e-6)
+        assert r.good == (seen.sum() >= 5)
+    kept = clean.good_samples_genes(expr_of(spark, x), weights=as_weights(w), min_relative_weight=0.1)
+    assert sorted(r[0] for r in kept.select("gene_id").distinct().collect()) == ["g000", "g002", "g004", "g005"] and kept.count() == 4 * 8  # the first sample keeps three values only
+    same = np.full((6, 9), 3.0)
+    plain, even = clean.good_genes(expr_of(spark, x)), clean.good_genes(expr_of(spark, x), weights=as_weights(same))
+    assert rows(plain.toPandas()) == rows(even.toPandas())
+    assert {r.good for r in clean.good_samples(expr_of(spark, x), weights=as_weights(same)).collect()} == {True}
+    with pytest.raises(Exception, match="negative"):
+        clean.good_genes(expr_of(spark, x), weights=as_weights(-same)).collect()
+
+
 def test_entry(spark):
     import __spark_entry__
 
