@@ -9,8 +9,8 @@ from loomnet.plans import fixtures as fx
 from loomnet.plans import queries
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"c1_distance", "n1_correlation_block", "n6_tom_mean_block", "m2_eigengene", "m2_variance_explained", "m4_multiset_eigengenes", "m10_merge", "n1_correlation_gaps", "n1_weighted_gaps", "n2_adjacency_selected", "n6_tom_tiles", "m2_component_by_blocks", "m2_three_components", "m2_imputed"}
-LOOPS = {"p4_good_samples_genes", "p5_outlying_samples", "c2_linkage", "c3_static_cut", "c6_module_detection", "m9_module_order", "m9_consensus_order", "c4_heatmap_rows", "c2_spanning_tree", "m10_consensus_round", "m10_consensus_merge"}  # results are read from tables
+PYTHON = {"c1_distance", "n1_correlation_block", "n6_tom_mean_block", "m2_eigengene", "m2_variance_explained", "m4_multiset_eigengenes", "m10_merge", "n1_correlation_gaps", "n1_weighted_gaps", "n2_adjacency_selected", "n6_tom_tiles", "m2_component_by_blocks", "m2_three_components", "m2_imputed", "s1_csv_scan", "s3_sparse_matrix"}
+LOOPS = {"p4_good_samples_genes", "p4_weighted_good_samples_genes", "p5_outlying_samples", "c2_linkage", "c3_static_cut", "c6_module_detection", "m9_module_order", "m9_consensus_order", "c4_heatmap_rows", "c2_spanning_tree", "m10_consensus_round", "m10_consensus_merge"}  # results are read from tables
 
 
 def plan(df):
