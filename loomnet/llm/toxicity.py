@@ -7,7 +7,8 @@ back for a few words, so that whom it is aimed at may come before or after it. C
 are worked out as clauses reach them. Every find's path weighs what its arcs weigh, and a text's score adds clauses, not isolated words.
 
 The insult lexicon grows from labelled rows: stems that hardly occur in texts labelled clean. Weights start from the grammar's own and are fitted
-to labelled rows by regularised logistic regression. Labels, language, source and id are never inputs of a score."""
+to labelled rows by regularised logistic regression that keeps the grammar's order: aimed weighs no less than unaimed, a phrase no less than a word, a threat
+no less than mere violence or an insult, and a negated or reported find no more than a plain one. Labels, language, source and id are never inputs of a score."""
 
 from __future__ import annotations
 
@@ -187,11 +188,12 @@ def lettered(data: np.ndarray, offsets: np.ndarray):
     return words, first, np.cumsum(ends)[at], at
 
 
-def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar:
+def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01, kept: float = 0.95) -> Grammar:
     """Fit a grammar to a bounded sample of rows of text and label (0 or 1).
 
     A stem of four letters or more joins the lexicon if at least ``share`` of the texts labelled 1 (and four at least) have it and
-    at least ``purity`` of the texts that have it are labelled 1. Without both labels the grammar's own lexicon and weights stand."""
+    at least ``purity`` of the texts that have it are labelled 1. It is as long as it can be: letters are added up to the whole word while ``kept`` of
+    its texts labelled 1 stay. Without both labels the grammar's own lexicon and weights stand."""
     rows = materialize(rows.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label")), "labelled")
 
     def stems(batches):
@@ -209,12 +211,8 @@ def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar
     bounded_batches(rows.sparkSession)
     toxic = rows.where("label = 1").count()
     counted = rows.mapInArrow(stems, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counted.where((F.col("toxic") >= max(4, share * toxic)) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).select("stem").collect()
-    chosen: dict[str, int] = {}
-    for stem in sorted((r[0] for r in found), key=lambda s: (len(s), s)):
-        if not any(stem[:n] in chosen for n in range(4, len(stem))):
-            chosen[stem] = INSULT
-    grammar = Grammar(chosen)
+    found = counted.where((F.col("toxic") >= max(4, share * toxic)) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).select("stem", "toxic").collect()
+    grammar = Grammar(dict.fromkeys(longest({r["stem"]: r["toxic"] for r in found}, kept), INSULT))
 
     def features(batches):
         for batch in pieces(batches, "text", 2_000_000):
@@ -227,19 +225,61 @@ def train(rows: DataFrame, purity: float = 0.95, share: float = 0.01) -> Grammar
     return grammar
 
 
+def longest(found: dict[str, int], kept: float) -> list[str]:
+    """Of stems with their numbers of texts those that begin no other one's words: the shortest, each lengthened while a longer one keeps that share of its texts."""
+    chosen: list[str] = []
+    covered: set[str] = set()
+    for stem in sorted(found, key=lambda s: (len(s), s)):
+        if not any(stem[:n] in covered for n in range(4, len(stem))):
+            covered.add(stem)
+            longer = [s for s in found if s.startswith(stem) and found[s] >= kept * found[stem]]
+            chosen.append(max(longer, key=lambda s: (len(s), found[s], s)))
+    return chosen
+
+
+def _order() -> list[tuple[int, int]]:
+    """Pairs of patterns of which the second weighs at least what the first does."""
+    at = np.arange(len(PATTERNS)).reshape(len(KINDS), 2, len(MODES))
+    rises = [(at[:, 0], at[:, 1]), (at[0], at[1]), (at[2], at[3]), (at[0], at[3]), (at[:, :, 1], at[:, :, 0]), (at[:, :, 2], at[:, :, 0])]
+    return [(int(i), int(j)) for low, high in rises for i, j in zip(low.ravel(), high.ravel(), strict=True)]
+
+
+ORDER = _order()
+
+
 def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to the prior weights."""
+    """Logistic regression by Newton steps, drawn to the prior weights, with weights of at least 0 in ORDER: what breaks these is penalised, and the little that is left
+    of it is evened out at the end. A step is halved while it makes things worse."""
     x = np.column_stack([x, np.ones(len(x))])
+    n = len(prior)
+    bounds = np.zeros((len(ORDER) + n - 1, n))  # each row times the weights is to be 0 or more
+    for k, (low, high) in enumerate(ORDER):
+        bounds[k, low], bounds[k, high] = -1, 1
+    bounds[len(ORDER) :, :-1] = np.eye(n - 1)
+    stiff = 100 * (strength + times.sum())
+
+    def cost(w):
+        z = x @ w
+        broken = np.minimum(bounds @ w, 0)
+        return (times * (np.logaddexp(0, z) - y * z)).sum() + strength / 2 * ((w - prior) ** 2).sum() + stiff / 2 * (broken**2).sum()
+
     w = prior.copy()
-    for _ in range(30):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (times * (p - y)) + strength * (w - prior)
-        bend = (x * (times * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+        broken = bounds[bounds @ w < 0]
+        slope = x.T @ (times * (p - y)) + strength * (w - prior) + stiff * broken.T @ (broken @ w)
+        bend = (x * (times * p * (1 - p))[:, None]).T @ x + strength * np.eye(n) + stiff * broken.T @ broken
         step = np.linalg.solve(bend, slope)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        now, share = cost(w), 1.0
+        while share > 1e-6 and cost(w - share * step) > now:
+            share /= 2
+        w = w - share * step
+        if np.abs(share * step).max() < 1e-8:
             break
     w[:-1] = np.maximum(w[:-1], 0)
+    for _ in range(3):  # a pattern is at most three rises above the least
+        for low, high in ORDER:
+            w[high] = max(w[high], w[low])
     return w
 
 

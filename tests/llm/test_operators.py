@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import os
 import random
+import re
 import sys
 import time
 import zlib
@@ -387,12 +388,64 @@ def test_machine_by_brute_force():
 
 def test_toxicity_query(spark):
     """The registered query: every document scored by the grammar alone, held-out rows and their accuracy."""
-    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    toxic = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    out = {r.doc_id: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.01").collect()}
-    assert set(out) == set(docs) and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in out.items())
+    docs = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    out = {r.doc_id: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    assert set(out) == docs and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in out.items())
     held = [i for i in toxic if out[i].held_out]
-    assert np.mean([out[i].predicted == toxic[i] for i in held]) >= 0.9
+    assert np.mean([out[i].predicted == toxic[i] for i in held]) >= 0.95
+    rude = [i for i in held if toxic[i]]
+    assert rude and np.mean([out[i].predicted for i in rude]) >= 0.85  # what is always clean would not pass
+    assert np.mean([out[i].predicted for i in held if not toxic[i]]) <= 0.02
+
+
+def test_toxicity_of_ordinary_words(spark):
+    """Trained on the given labels: stems are no beginnings of ordinary words; aimed finds, phrases and threats weigh no less than words alone."""
+    sf = "/root/testdata/sf0.1"
+    grammar = toxicity.train_on_labels(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    score = lambda text: float(grammar.scores(grammar.features(pa.array([text])))[0])
+    for text in ("the path to the lake", "stupendous views", "it is worth a visit", "clowder of cats, a discgolf track, strasse", "he lost his keys", "", "do not kill the process"):
+        assert score(text) < 0.5, text
+    for text in ("you are a waste of space", "you pathetic loser", "such an utter idiot", "i will hurt you", "he is a moron"):
+        assert score(text) >= 0.5, text
+    assert score("you are an idiot") >= score("what an idiot") and score("such an utter idiot") >= score("what an idiot")
+    assert score("he said you are an idiot") <= score("you are an idiot") >= score("you are not an idiot")
+    w = grammar.weights[:-1]
+    assert (w >= 0).all() and all(w[low] <= w[high] for low, high in toxicity.ORDER)
+
+
+def test_longest_stems():
+    assert toxicity.longest({"path": 50, "pathe": 50, "pathetic": 50, "vequ": 40, "vequa": 20, "lost": 30, "lostra": 29}, 0.95) == ["lostra", "pathetic", "vequ"]
+    assert toxicity.longest({}, 0.95) == []
+
+
+def test_toxicity_fit_is_the_best_in_order():
+    """No other weights in order cost less: small moves that stay in order don't help."""
+    rng = np.random.default_rng(2)
+    x = np.log1p(rng.poisson(0.3, (300, len(toxicity.PATTERNS))))
+    y = (x[:, 0] - x[:, 3] + rng.normal(0, 0.5, 300) > 0.2).astype(float)  # against the order: a target lowers
+    times, prior = np.ones(300), toxicity.Grammar().weights
+    cost = lambda w: (np.logaddexp(0, x @ w[:-1] + w[-1]) - y * (x @ w[:-1] + w[-1])).sum() + ((w - prior) ** 2).sum() / 2
+    best = toxicity.fit(x, y, times, prior)
+    ordered = lambda w: (w[:-1] >= 0).all() and all(w[low] <= w[high] for low, high in toxicity.ORDER)
+    assert ordered(best) and best[3] == pytest.approx(best[0], abs=1e-2)
+    for _ in range(3000):
+        other = best + rng.normal(0, 10.0 ** rng.uniform(-3, 0), len(best)) * (rng.random(len(best)) < 0.2)
+        assert not ordered(other) or cost(other) >= cost(best) - 0.02
+
+
+def test_toxicity_from_text_to_score(spark):
+    """Whole texts by a plain reader: clauses cut at marks, words of letters, digits and apostrophes, patterns found by looking around."""
+    own = toxicity.Grammar({"vequ": toxicity.INSULT})
+    rng = random.Random(4)
+    some = "you idiot not said such an utter waste of space vequai LOSER i will kill them naïve don't x1".split()
+    texts = ["".join(rng.choice(some) + rng.choice([" ", " ", " ", ", ", ". ", "!", "\n", ";", " - "]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    texts += ["", " .. ", "idiot " * 2_000, "idiot. " * 300_000] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect() if r.text]
+    got = own.scores(own.features(pa.array(texts)))
+    for text, score in zip(texts, got, strict=True):
+        found = [p for clause in re.split(r"[.!?;:\n]", text) for p in brute.clause_patterns([w.lower() for w in re.findall(r"[0-9A-Za-z'\u0080-\U0010ffff]+", clause)], own.symbol, toxicity)]
+        z = sum(own.weights[k] * np.log1p(found.count(p)) for k, p in enumerate(toxicity.PATTERNS)) + own.weights[-1]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), text[:80]
 
 
 def test_toxicity(spark):
