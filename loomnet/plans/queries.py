@@ -245,7 +245,7 @@ for _kind, _s in (("unsigned", UNSIGNED), ("signed", SIGNED), ("signed hybrid",
 
 
 def _powers(spark, sf_dir):
-    return network.power_connectivity(network.correlation(fx.supp(spark, sf_dir)), POWERS)
+    return network.connectivity_by_power(fx.supp(spark, sf_dir), POWERS)
 
 
 @query(SCAN + FIT + """SELECT power, round(r_sq, 5) AS r_sq, round(slope, 5) AS slope, round(avg(k), 6) AS mean_k, round(median(k), 6) AS median_k, round(max(k), 6) AS max_k
