@@ -317,7 +317,7 @@ z AS (SELECT module, count(*) AS n FROM genes GROUP BY module)
 SELECT gene_id, module, round(t, 6) AS k_total, round(CASE WHEN n < 3 THEN 0 ELSE coalesce(w, 0) END, 6) + 0.0 AS k_within, round(t - CASE WHEN n < 3 THEN 0 ELSE coalesce(w, 0) END, 6) + 0.0 AS k_out,
  round(2 * CASE WHEN n < 3 THEN 0 ELSE coalesce(w, 0) END - t, 6) + 0.0 AS k_diff FROM s JOIN z USING (module)""")
 def n10_intramodular(spark, sf_dir):
-    return rounded(network.intramodular(_supp_adjacency(spark, sf_dir), fx.supp_modules(spark, sf_dir)), "k_total", "k_within", "k_out", "k_diff")
+    return rounded(network.intramodular_of(fx.supp(spark, sf_dir), fx.supp_modules(spark, sf_dir), "signed hybrid", 3), "k_total", "k_within", "k_out", "k_diff")
 
 
 @query(f"""WITH {fx.EMB}, {fx.EMB_MODULES}, {R}, {ADJ.format(s=HYBRID, p=6)}, {BOTH}, c AS (SELECT x.module, x.gene_id, 1 + coalesce(sum(a) FILTER (y.module = x.module), 0) AS connectivity
