@@ -308,10 +308,6 @@ def n8_soft_connectivity(spark, sf_dir):
 SUPP_ADJ = f"WITH {fx.SUPP}, {fx.SUPP_MODULES}, {R}, {ADJ.format(s=HYBRID, p=3)}, {BOTH}"
 
 
-def _supp_adjacency(spark, sf_dir):
-    return network.adjacency(network.correlation(fx.supp(spark, sf_dir)), "signed hybrid", 3)
-
-
 @query(SUPP_ADJ + """, s AS (SELECT x.gene_id, x.module, sum(a) AS t, sum(a) FILTER (x.module = y.module) AS w FROM both_ JOIN genes x ON x.gene_id = g JOIN genes y ON y.gene_id = o GROUP BY ALL),
 z AS (SELECT module, count(*) AS n FROM genes GROUP BY module)
 SELECT gene_id, module, round(t, 6) AS k_total, round(CASE WHEN n < 3 THEN 0 ELSE coalesce(w, 0) END, 6) + 0.0 AS k_within, round(t - CASE WHEN n < 3 THEN 0 ELSE coalesce(w, 0) END, 6) + 0.0 AS k_out,
@@ -576,11 +572,12 @@ top AS (SELECT gene_id, module, r, nth FROM (SELECT *, row_number() OVER (PARTIT
 """
 
 
-def _subnetwork(spark, sf_dir):
+def _subnetwork(spark, sf_dir, with_edges=True):
     genes, expr = fx.supp_modules(spark, sf_dir), fx.supp(spark, sf_dir)
     named = genes.join(fx.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("gene_id"), F.col("s_name").alias("name")), "gene_id")
     kme = modules.signed_kme(expr, modules.average_expression(expr, genes))
-    return lookup.subnetwork(network.tom(_supp_adjacency(spark, sf_dir)), kme, named, ["ASIA", "EUROPE"], 10, 100, 0.0001)
+    overlap = lambda ids: network.tom_among(expr, ids, "signed hybrid", 3)
+    return lookup.subnetwork(overlap, kme, named, ["ASIA", "EUROPE"], 10, 100, 0.0001, with_edges=with_edges)
 
 
 @query(SUB_TOM + "SELECT i, j, round(t, 6) + 0.0 AS t FROM tom WHERE i IN (SELECT gene_id FROM top) AND j IN (SELECT gene_id FROM top) AND t >= 0.0001 AND t <> 0 ORDER BY round(t, 9) DESC, i, j LIMIT 100")
@@ -591,7 +588,7 @@ def n9_subnetwork_edges(spark, sf_dir):
 
 @query(SUB_TOM + "SELECT gene_id, gene_id AS label, module, module AS color, 'dot' AS shape, gene_id || chr(10) || 'name: ' || s_name AS title, round(r, 6) + 0.0 AS r, nth::INT AS rank FROM top JOIN supplier ON s_suppkey::VARCHAR = gene_id")
 def s14_subnetwork_nodes(spark, sf_dir):
-    return rounded(_subnetwork(spark, sf_dir)[0], "r")
+    return rounded(_subnetwork(spark, sf_dir, with_edges=False)[0], "r")
 
 
 # --- further entries of the inventory -----------------------------------------------------------------------
