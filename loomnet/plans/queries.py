@@ -207,9 +207,8 @@ def s5_sample_upsert(spark, sf_dir):
 
 @query(f"WITH {fx.SUPP} SELECT sample_id, gene_id, value FROM expr")
 def s2_wide_to_long(spark, sf_dir):
-    """A wide table, a supplier a column, read back into long form."""
-    long = fx.supp(spark, sf_dir)
-    return tables.wide_to_long(long.groupBy("sample_id").pivot("gene_id").agg(F.first("value")))
+    """A wide table, a supplier a column (or, of very many, an entry of a map), read back into long form."""
+    return tables.wide_to_long(tables.long_to_wide(fx.supp(spark, sf_dir)))
 
 
 @query("""SELECT gene1, gene2, score FROM (SELECT l_suppkey::VARCHAR AS gene1, l_partkey::VARCHAR AS gene2, sum(l_quantity) AS score,
