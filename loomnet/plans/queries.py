@@ -595,7 +595,7 @@ def s14_subnetwork_nodes(spark, sf_dir):
 def s1_csv_scan(spark, sf_dir):
     """A wide table written as delimited text and scanned again."""
     path = shared_path(spark, "csv")
-    fx.supp(spark, sf_dir).groupBy("sample_id").pivot("gene_id").agg(F.first("value")).write.csv(path, sep=";", header=True)
+    tables.write_expression(fx.supp(spark, sf_dir), path, sep=";")
     return tables.read_expression(spark, path, sep=";")
 
 
