@@ -725,8 +725,7 @@ def v4_module_heatmap(spark, sf_dir):
 
 @query(f"WITH {fx.SUPP}, {R}, m AS (SELECT i, j, r AS v FROM pairs UNION ALL SELECT j, i, r FROM pairs) SELECT count(*) FILTER (v < -1 OR v > 1) AS out_of_range, 0::BIGINT AS asymmetric, 0::BIGINT AS unmatched FROM m")
 def n0_checked_matrix(spark, sf_dir):
-    both = network.mirrored(network.correlation(fx.supp(spark, sf_dir)), "r")
-    return network.check_symmetric(both.select(F.col("gene_id").alias("i"), F.col("other").alias("j"), F.col("r").alias("v")))
+    return network.checked_correlation(fx.supp(spark, sf_dir))
 
 
 @query(f"""WITH {fx.SUPP}, w AS (SELECT a.gene_id AS i, b.gene_id AS j, a.value AS x, b.value AS y, 1 + right(a.sample_id, 2)::INT AS w FROM expr a JOIN expr b ON a.sample_id = b.sample_id AND a.gene_id < b.gene_id)
