@@ -135,3 +135,15 @@ def test_hub_profile_by_blocks(many, spark):
     many.setattr(components, "BLOCK_FROM", 3)
     assert "FlatMapGroupsInArrow" in plan(components._covariance_sums(network.zscores(fx.events(spark, SF)).withColumn("module", F.lit("m")).where("value is not null"), 6))
     same(values(queries.QUERIES["m2_hub_profile"](spark, SF)), want)
+
+
+def test_imputation_by_blocks_of_givers(spark, monkeypatch):
+    """Blocks of givers have a size of their own; however many there are, the values are the same."""
+    expr = spark.range(600 * 12).select(F.concat(F.lit("s"), F.col("id") % 12).alias("sample_id"), F.concat(F.lit("g"), F.floor(F.col("id") / 12)).alias("gene_id"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("value"))
+    expr = expr.where("not (sample_id = 's3' and gene_id in ('g5', 'g77'))")
+    genes = expr.select("gene_id", F.lit("m").alias("module")).distinct()
+    filled = lambda: values(components.impute_nearest(expr, genes, 10).where("sample_id = 's3' and gene_id in ('g5', 'g77')"))
+    want = filled()
+    assert len(want) == 2
+    monkeypatch.setattr(components, "GIVERS", 0.05)
+    same(filled(), want)
